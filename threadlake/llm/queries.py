@@ -6,27 +6,69 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadlake.llm import bpe, store, token_records
+from threadlake.llm import bpe, decontaminate, licenses, quality, ring, store, token_records
+from threadlake.llm.store import table
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents' ids as binary records, reads the files back and places each document among all ids."""
     to = store.fresh_path(spark, "op5")
-    token_records.write(store.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), to)
+    token_records.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), to)
     return token_records.placed(spark, to).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
 
 
+def op6_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ring.assign(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(store.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op5_token_records": op5_token_records,
+        "op6_ring": op6_ring,
         "op8_bpe": op8_bpe,
+        "op9_licenses": op9_licenses,
+        "op10_quality": op10_quality,
     }
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"list_filter(string_split_regex({_LOWER.format('text')}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS padded FROM documents WHERE doc_id IS NOT NULL),
+i AS (SELECT item_id, row_number() OVER () AS k, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+s AS (
+  SELECT item_id, k, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')) END)) AS shingle
+  FROM i WHERE len(w) > 0),
+f AS (
+  SELECT doc_id, item_id, k, count(*) AS n_item, count(*) FILTER (WHERE contains(padded, ' ' || shingle || ' ')) AS n_found
+  FROM d CROSS JOIN s GROUP BY doc_id, item_id, k)
+SELECT DISTINCT doc_id, item_id, n_item, n_found, n_found / n_item AS containment
+FROM f WHERE n_found >= 0.75 * n_item
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontaminate": OP1_SQL}
