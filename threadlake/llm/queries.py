@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import bpe, decontaminate, licenses, near_dup, quality, ring, store, token_records
+from threadlake.llm import bpe, decontaminate, embed_dup, licenses, near_dup, quality, ring, store, token_records
 from threadlake.llm.store import table
 
 
@@ -20,6 +20,10 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_embed_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents' ids as binary records, reads the files back and places each document among all ids."""
     to = store.fresh_path(spark, "op5")
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_near_dup": op2_near_dup,
+        "op3_embed_dup": op3_embed_dup,
         "op5_token_records": op5_token_records,
         "op6_ring": op6_ring,
         "op8_bpe": op8_bpe,
@@ -89,6 +94,18 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM documents d JOIN least USING (doc_id) LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
+OP3_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.vec_id <> y.vec_id
+  WHERE list_inner_product(x.v, y.v) >= 0.95 * sqrt(list_inner_product(x.v, x.v)) * sqrt(list_inner_product(y.v, y.v))),
+reach(vec_id, other) AS (SELECT vec_id, vec_id FROM e UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON reach.other = link.a),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM e JOIN least USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_near_dup": OP2_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_near_dup": OP2_SQL, "op3_embed_dup": OP3_SQL}
