@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlake.llm import bpe, decontaminate, embed_dup, licenses, near_dup, quality, ring, store, token_records
+from threadlake.llm import bpe, decontaminate, embed_dup, licenses, line_dedup, near_dup, quality, quotes, ring, store, token_records
 from threadlake.llm.store import table
 
 
@@ -24,6 +25,10 @@ def op3_embed_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents' ids as binary records, reads the files back and places each document among all ids."""
     to = store.fresh_path(spark, "op5")
@@ -36,6 +41,10 @@ def op6_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -54,11 +63,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": op1_decontaminate,
         "op2_near_dup": op2_near_dup,
         "op3_embed_dup": op3_embed_dup,
+        "op4_line_dedup": op4_line_dedup,
         "op5_token_records": op5_token_records,
         "op6_ring": op6_ring,
+        "op7_quotes": op7_quotes,
         "op8_bpe": op8_bpe,
         "op9_licenses": op9_licenses,
         "op10_quality": op10_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 
