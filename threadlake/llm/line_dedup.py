@@ -11,8 +11,11 @@ bits, and a step is a few additions and shifts.
 
 Copies of a line are one node. A probed key's members are tried against the key's
 smallest indexed line; keys that then still hold several components are tried
-across them, so no link is missed and no group is expanded into its pairs. All
-of it is DataFrame functions.
+across them, so no link is missed. Before a pair becomes a row, a sketch of
+character counts must allow it: CLASSES classes of characters are counted, each
+count is a cyclic code that changes one bit a step, and an edit changes two counts
+by one at most, so sketches of linked lines differ in 2 EDITS bits at most. All of
+it is DataFrame functions.
 
 Lines of fewer than MIN_CHARS characters, white space around them not counted,
 are too short for a fixed number of edits to mean likeness; they are never linked
@@ -30,6 +33,7 @@ from threadlake.llm.components import components
 
 EDITS = 2
 MIN_CHARS = 25
+CLASSES = 16
 #: At most so many rows of a few numbers are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -120,6 +124,23 @@ def entries(line: Column, length: Column, edits: int = EDITS) -> Column:
     return F.array(*out)
 
 
+def count_sketch(line: Column) -> Column:
+    """Two longs: for each class of characters, 8 bits whose pattern moves by one bit as the class's count grows by one."""
+    letters = "abcdefghijklmnop"[:CLASSES]
+    classed = F.array_join(F.transform(F.split(line, ""), lambda c: F.substring(F.lit(letters), F.pmod(F.xxhash64(c), F.lit(CLASSES)).cast("int") + 1, F.lit(1))), "")
+    counts = F.transform(F.array(*[F.lit(c) for c in letters]), lambda c: (F.octet_length(classed) - F.octet_length(F.replace(classed, c, F.lit("")))).cast("int") % 16)
+    # The count k mod 16 as a cyclic code: k ones from below up to 8, then ones vanish from below.
+    codes = F.array(*[F.lit((1 << k) - 1 if k <= 8 else 255 & ~((1 << (k - 8)) - 1)).cast("long") for k in range(16)])
+    coded = F.transform(counts, lambda k: F.get(codes, k))
+    pack = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 8).bitwiseOR(x))
+    return F.struct(pack(F.slice(coded, 1, 8)).alias("s1"), pack(F.slice(coded, 9, 8)).alias("s2"))
+
+
+def _allowed(x: str, y: str, edits: int) -> Column:
+    flips = F.bit_count(F.col(f"{x}.s.s1").bitwiseXOR(F.col(f"{y}.s.s1"))) + F.bit_count(F.col(f"{x}.s.s2").bitwiseXOR(F.col(f"{y}.s.s2")))
+    return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= edits) & (flips <= 2 * edits)
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), form (without white space around), n (characters), k1, k2 (128 bits of hash)."""
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
@@ -140,25 +161,27 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     keys = store.saved(keys, "keys")
     shared = store.saved(entry.join(_bounded(keys), "key").select("key", "node", "n", "indexed", "low").distinct(), "shared")
     nodes = store.saved(shared.select("node").distinct(), "nodes")
-    texts = store.saved(long.select(F.col("k1").alias("node"), "form", "n").join(_bounded(nodes), "node").groupBy("node").agg(F.min(F.struct("form", "n")).alias("t")).select("node", "t.form", "t.n"), "texts")
+    texts = store.saved(long.select(F.col("k1").alias("node"), "form", "n").join(_bounded(nodes), "node").groupBy("node").agg(F.min(F.struct("form", "n")).alias("t")).select("node", "t.form", "t.n", count_sketch(F.col("t.form")).alias("s")), "texts")
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        x, y = texts.select(F.col("node").alias("a"), F.struct("n", "s").alias("x")), texts.select(F.col("node").alias("b"), F.struct("n", "s").alias("y"))
+        return pairs.join(x, "a").join(y, "b").where(_allowed("x", "y", edits)).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x = texts.select(F.col("node").alias("a"), F.struct("n", "form").alias("x"))
-        y = texts.select(F.col("node").alias("b"), F.struct("n", "form").alias("y"))
-        both = pairs.join(x, "a").join(y, "b").where(F.abs(F.col("x.n") - F.col("y.n")) <= edits)
-        ordered = both.select("a", "b", F.greatest("x", "y").alias("p"), F.least("x", "y").alias("t"))
+        x, y = texts.select(F.col("node").alias("a"), F.struct("n", "form").alias("x")), texts.select(F.col("node").alias("b"), F.struct("n", "form").alias("y"))
+        ordered = pairs.join(x, "a").join(y, "b").select("a", "b", F.greatest("x", "y").alias("p"), F.least("x", "y").alias("t"))
         return store.saved(ordered.where(edit_distance(F.col("p.form"), F.col("t.form"), edits) <= edits).select("a", "b"), "links")
 
     pair = [F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b")]
-    tried = store.saved(shared.where("node <> low").select(*pair).distinct(), "tried")
+    tried = store.saved(allowed(shared.where("node <> low").select(*pair).distinct()), "tried")
     found = verified(tried)
     of = components(found)
 
     placed = shared.drop("low").join(of, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    open_ = store.saved(placed.join(mixed, "key"), "open")
+    open_ = store.saved(placed.join(mixed, "key").join(texts.select("node", "s"), "node"), "open")
     x, y = open_.where("indexed").alias("x"), open_.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & (F.abs(F.col("x.n") - F.col("y.n")) <= edits)
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & _allowed("x", "y", edits)
     crossing = x.join(y, near).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     more = store.saved(crossing.join(tried, ["a", "b"], "left_anti"), "crossing")
     if more.take(1):
