@@ -1,0 +1 @@
+"""threadlake: search and analysis of recorded conversations, on Spark DataFrames."""
