@@ -157,31 +157,30 @@ def report(library: Library) -> DataFrame:
     return library["runs"].withColumn("rank", rank).where("rank = 1").drop("rank").withColumn("complete", F.col("status") == "completed")
 
 
-def collapse_adjacent(messages: DataFrame) -> DataFrame:
+def collapse_adjacent(records: DataFrame) -> DataFrame:
     """Of neighbouring messages that tell the same (actor, timestamp, segments) in the other record family, one stays.
 
-    messages: ID, ordinal, family (event or response), actor, timestamp, segments
-    (any comparable value). A collapse changes what the next message's neighbour is, so
-    this is a fold: within a run of equal messages, each that is of the other family
-    than the one held is taken into it. The response wins and keeps the held ordinal.
-    A run of equal neighbours is folded as an array; runs are split by a window first.
+    records: ID, ordinal, family (event, response, or null for a record that isn't a
+    message and parts its neighbours), actor, timestamp, segments (any comparable
+    value). Each message that equals the one held and is of the other family is taken
+    into it, and what is held then counts as a response, which wins. The held ordinal
+    stays. As that changes what the next message meets, it is a fold; a window first
+    cuts a conversation into runs of equal neighbours, and only a run is folded.
     """
     w = Window.partitionBy(*C.ID).orderBy("ordinal")
-    same = F.lit(True)
+    same = F.col("family").isNotNull() & F.lag("family").over(w).isNotNull()
     for c in ("actor", "timestamp", "segments"):
         same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
-    runs = messages.withColumn("begins", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("begins").over(w))
+    runs = records.withColumn("begins", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("begins").over(w))
     grouped = runs.groupBy(*C.ID, "run", "actor", "timestamp", "segments").agg(F.array_sort(F.collect_list(F.struct("ordinal", "family"))).alias("m"))
 
     def step(held, x):
-        last = F.element_at(held, -1)
-        other = (F.size(held) > 0) & ~F.coalesce(last["merged"], F.lit(False)) & (last["family"] != x["family"])
-        one = F.struct(x["ordinal"].alias("ordinal"), x["family"].alias("family"), F.lit(False).alias("merged"))
-        joined = F.struct(last["ordinal"].alias("ordinal"), F.lit("response").alias("family"), F.lit(True).alias("merged"))
-        return F.when(other, F.concat(F.slice(held, 1, F.size(held) - 1), F.array(joined))).otherwise(F.concat(held, F.array(one)))
-
-    none = F.array().cast("array<struct<ordinal:bigint,family:string,merged:boolean>>")
-    folded = grouped.select(*C.ID, "actor", "timestamp", "segments", F.explode(F.aggregate("m", none, lambda h, x: F.when(F.size(h) == 0, F.array(F.struct(x["ordinal"].alias("ordinal"), x["family"].alias("family"), F.lit(False).alias("merged")))).otherwise(step(h, x)))).alias("e"))
+        last = F.try_element_at(held, F.lit(-1))
+        merged = F.concat(F.slice(held, F.lit(1), F.size(held) - 1), F.array(F.struct(last["ordinal"].alias("ordinal"), F.lit("response").alias("family"))))
+        return F.when((F.size(held) > 0) & (last["family"] != x["family"]), merged).otherwise(F.array_append(held, x))
+
+    none = F.array().cast("array<struct<ordinal:bigint,family:string>>")
+    folded = grouped.select(*C.ID, "actor", "timestamp", "segments", F.explode(F.aggregate("m", none, step)).alias("e"))
     return folded.select(*C.ID, "e.ordinal", "e.family", "actor", "timestamp", "segments")
 
 

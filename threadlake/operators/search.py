@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -208,8 +209,6 @@ def _token_spans(text: str) -> list[tuple[str, int, int]]:
 
 def with_snippets(rows: DataFrame, library: Library, query: str) -> DataFrame:
     """snippet and snippet_truncated for a page of hits; only their texts are read."""
-    import pandas as pd
-
     @F.pandas_udf("text string, truncated boolean")
     def cut(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([snippet(t, query) for t in texts], columns=["text", "truncated"])

@@ -165,8 +165,10 @@ QUALIFY row_number() OVER (PARTITION BY entry_kind ORDER BY timestamp DESC, nati
 SELECT CASE WHEN digest < '1' THEN 'left' ELSE 'right' END AS side, digest, count(*) AS n FROM term WHERE digest < '1' OR digest >= '9' GROUP BY ALL""",
         "adjacent_collapse": f"""{_WITH}, e AS (SELECT {_KEY}, split_part(text, ' ', 1) AS segments FROM entry WHERE source_kind = 'event'),
 r AS (SELECT *, ordinal - row_number() OVER (PARTITION BY {_ID}, segments ORDER BY ordinal) AS run FROM e),
-p AS (SELECT *, row_number() OVER (PARTITION BY {_ID}, segments, run ORDER BY ordinal) AS place, count(*) OVER (PARTITION BY {_ID}, segments, run) AS size FROM r)
-SELECT {_KEY}, CASE WHEN place < size THEN 'response' WHEN ordinal % 2 = 0 THEN 'event' ELSE 'response' END AS family, segments FROM p WHERE place % 2 = 1""",
+p AS (SELECT *, row_number() OVER (PARTITION BY {_ID}, segments, run ORDER BY ordinal) AS place, count(*) OVER (PARTITION BY {_ID}, segments, run) AS size FROM r),
+q AS (SELECT *, (ordinal - place + 1) % 2 = 0 AS event_first FROM p)
+SELECT {_KEY}, CASE WHEN event_first AND size = 1 THEN 'event' ELSE 'response' END AS family, segments FROM q
+WHERE place = 1 OR (NOT event_first AND place % 2 = 1) OR (event_first AND place >= 4 AND place % 2 = 0)""",
         "tool_link": f"""{_WITH} SELECT {_ID}, 'call-' || (ordinal - 2) AS tool_call_id, ordinal - 2 AS call_ordinal, ordinal AS result_ordinal, false AS malformed FROM entry WHERE source_kind = 'event' AND ordinal % 4 = 3""",
         "transcript_window": f"{_WITH} SELECT {_KEY}, entry_kind FROM entry WHERE ordinal BETWEEN 5 AND 14",
         "transcript_budget": f"""{_WITH}, t AS (SELECT {_KEY}, strlen(text) AS whole, strlen(translate(text, 'éèêçñáíóúüöäßÉÈÊÇÑÁÍÓÚÜÖÄ', '')) AS size FROM entry WHERE source_kind = 'conversation' AND text IS NOT NULL),
