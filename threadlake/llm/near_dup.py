@@ -14,8 +14,13 @@ Groups of copies are never expanded into pairs:
 * In each band's bucket, every member is tried with the bucket's smallest member.
   The links that hold give components.
 * A bucket that then still holds several components may hide links between
-  them: there, members of different components are tried with each other. After
-  that, any two representatives of a bucket are either in one component or have been tried.
+  them. Its sketches are compared in tiles of TILE members at most, and a tile
+  emits only a spanning forest of the components between which some pair is
+  promising. The representatives of components so joined are gathered, in pairs of
+  tiles again, and all intersections of full sets across components come from one
+  product of the tile's membership matrix; only a spanning forest of the links
+  leaves a task. After that, any two representatives of a bucket are in one
+  component or have been tried, and no step made a row for each pair of a group.
 """
 
 from __future__ import annotations
@@ -40,6 +45,8 @@ SKETCH_BITS = 512
 #: Sketches that estimate less than this are too far apart; five deviations below the threshold.
 SKETCH_FLOOR = 0.45
 NUMERATOR, DENOMINATOR = 75, 100
+#: Members of a tile; for full sets also so many shingles in all, about.
+TILE, TILE_SETS, TILE_SHINGLES = 1024, 256, 500_000
 #: At most so many rows of two ids are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -184,6 +191,125 @@ def confirmed(edges: DataFrame, docs: DataFrame) -> DataFrame:
     return store.saved(paired.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
+def _tile_pairs(members: DataFrame, key: str, texts: DataFrame | None = None) -> DataFrame:
+    """Each member of a group once for every pair of tiles that its own is in, dealt and sorted by (group, i, j)."""
+    tiled = members.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+    paired = tiled.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("other").withColumnRenamed(key, "group")
+    if texts is not None:
+        paired = paired.join(texts, "rep")
+    first = ["group", "i", "j", "tile", "rep", "c"]
+    rest = [c for c in paired.columns if c not in first]
+    return paired.select(*first, *rest).repartition(store.partitions_of(members.sparkSession), "group", "i", "j").sortWithinPartitions("group", "i", "j")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, pa.Table]]:
+    """(whether two tiles meet, tile, rep, c, the group's rows) of each (group, i, j); a group has two tiles at most."""
+    held: list[pa.RecordBatch] = []
+    now = None
+
+    def whole() -> tuple:
+        table = pa.Table.from_batches(held)
+        tile, rep, c = (table.column(k).to_numpy() for k in (3, 4, 5))
+        return now[1] != now[2], tile, rep, c, table
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and tuple(keys[a]) != now:
+                yield whole()
+                held = []
+            now = tuple(keys[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()
+
+
+def _forest(near: np.ndarray, names: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of names that join the labels which near pairs connect; each takes two labels that weren't yet joined."""
+    at = {x: i for i, x in enumerate(dict.fromkeys(labels.tolist()))}
+    parent = list(range(len(at)))
+    out = []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    left = len(at) - 1
+    for p in np.flatnonzero(near.any(axis=1)).tolist():
+        if not left:
+            break
+        for q in np.flatnonzero(near[p]).tolist():
+            x, y = root(at[labels[p]]), root(at[labels[q]])
+            if x != y:
+                parent[x] = y
+                left -= 1
+                out.append((int(names[p]), int(names[q])))
+    return out
+
+
+def _across(meet: bool, tile: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The pairs that a task tries: of different components, and of different tiles where two meet."""
+    wanted = c[:, None] < c[None, :]
+    return wanted & (tile[:, None] != tile[None, :]) if meet else wanted
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs) if pairs else ([], [])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _promising_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for meet, tile, _, c, table in _groups(batches):
+        wanted = _across(meet, tile, c)
+        if wanted.any():
+            n = table.column("n").to_numpy().astype(np.float64)
+            words = np.array(table.column("sketch").to_pylist(), dtype=np.int64)
+            signs = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1).astype(np.float32) * 2 - 1
+            flips = (SKETCH_BITS - signs @ signs.T) / 2
+            near = wanted & (flips <= max_flips()) & (np.minimum(n[:, None], n) * DENOMINATOR >= np.maximum(n[:, None], n) * NUMERATOR)
+            yield _edges(_forest(near, c, c))
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all pairwise intersections of sets of hashes, by products of slices of their membership matrix."""
+    sizes = [len(x) for x in sets]
+    out = np.diag(np.array(sizes, dtype=np.float64))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    shared = counts[column] > 1
+    owner, column = owner[shared], column[shared]
+    if not len(column):
+        return out
+    column = np.unique(column, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(sets)))
+    step = 4096
+    for first in range(0, int(column[-1]) + 1, step):
+        a, b = np.searchsorted(column, [first, first + step])
+        part = np.zeros((len(sets), step), dtype=np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        total += part @ part.T
+    np.fill_diagonal(total, sizes)
+    return total
+
+
+def _cross_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for meet, tile, rep, c, table in _groups(batches):
+        wanted = _across(meet, tile, c)
+        if wanted.any():
+            sets = [np.unique(h[i:j]) for h, begin in shingle_sets(table.column("text").to_pylist()) for i, j in zip(begin[:-1].tolist(), begin[1:].tolist())]
+            size = np.array([len(x) for x in sets], dtype=np.float64)
+            common = intersections(sets)
+            linked = wanted & (DENOMINATOR * common >= NUMERATOR * (size[:, None] + size - common))
+            yield _edges(_forest(linked, rep, c))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text).
 
@@ -218,13 +344,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of = components(links)
 
     placed = shared.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
-    open_ = store.saved(placed.join(mixed, "key").join(sketches, "rep").select("key", "rep", "c", "n", "sketch"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    crossing = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _near("x", "y"))
-    more = store.saved(crossing.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
-    if more.take(1):
-        of = components(links.unionByName(confirmed(more, docs)))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("size")).where("least <> most")
+    tiles = mixed.select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    open_ = store.saved(placed.join(tiles, "key").join(sketches, "rep").select("key", "tiles", "rep", "c", "n", "sketch"), "open")
+    joined = store.saved(_tile_pairs(open_, "key").mapInArrow(_promising_components, "a long, b long"), "promising")
+    clusters = store.saved(components(joined).select(F.col("node").alias("c"), F.col("component").alias("cluster")), "clusters")
+    if clusters.take(1):
+        everyone = reps.select("rep", "n").join(of.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("c"))
+        gathered = store.saved(everyone.join(clusters, "c"), "gathered")
+        share = F.greatest(F.count("*") / TILE_SETS, F.sum("n") / TILE_SHINGLES)
+        sized = gathered.join(gathered.groupBy("cluster").agg(F.ceil(share).cast("int").alias("tiles")), "cluster")
+        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(_bounded(gathered.select("rep")), "rep")
+        more = _tile_pairs(sized.select("cluster", "tiles", "rep", "c"), "cluster", texts).mapInArrow(_cross_links, "a long, b long")
+        of = components(links.unionByName(store.saved(more, "crossing")))
 
     named = reps.select("f1", "f2", "n", "rep").join(of.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
     return (
