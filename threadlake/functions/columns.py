@@ -113,7 +113,3 @@ TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 def tokens(text: Column) -> Column:
     """The search tokens of a text in order."""
     return F.regexp_extract_all(folded(text), F.lit(TOKEN), 0)
-
-
-def strip_nulls(columns: list[Column]) -> Column:
-    return F.array_compact(F.array(*columns))
