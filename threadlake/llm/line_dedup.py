@@ -42,6 +42,11 @@ def _bounded(saved: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(saved) if saved.count() <= most else saved
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value worked out once: inside a lambda, an expression would be for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def edit_distance(pattern: Column, text: Column, most: int = EDITS) -> Column:
     """The edit distance of two strings if it is at most `most`, else a larger number.
 
@@ -51,24 +56,24 @@ def edit_distance(pattern: Column, text: Column, most: int = EDITS) -> Column:
     """
     width = 2 * most + 2
     full = (1 << width) - 1
-    p, t = F.split(pattern, ""), F.split(text, "")
     m, n = F.char_length(pattern), F.char_length(text)
-    # For each column: which of the band's characters equal the text's, and which bit is followed once the band has left the pattern's end.
-    last = m - most
-
-    def column(chars_p: Column, chars_t: Column):
-        def of(i: Column) -> Column:
-            c = F.get(chars_t, i)
-            at = i - (most + 1)
-            bits = [F.when((at + b >= 0) & (F.get(chars_p, F.greatest(at + b, F.lit(0))) == c), 1 << b).otherwise(0) for b in range(width)]
+    chars = F.struct(F.split(pattern, "").alias("p"), F.split(text, "").alias("t"), (m - most).alias("last"))
+
+    def columns(s: Column) -> Column:
+        """For each column: which of the band's characters equal the text's, and which bit is followed once the band has left the pattern's end."""
+
+        def of(c: Column, i: Column) -> Column:
+            bits = []
+            for b in range(width):
+                at = i + (b - most - 1)
+                same = F.get(s["p"], at) == c if b > most else F.when(at >= 0, F.get(s["p"], at) == c)
+                bits.append(F.when(same, 1 << b).otherwise(0))
             eq = bits[0]
             for x in bits[1:]:
                 eq = eq.bitwiseOR(x)
-            return eq + F.when(i < last, 0).otherwise((i - last + 1) * (full + 1))
-
-        return of
+            return eq + F.when(i < s["last"], 0).otherwise((i - s["last"] + 1) * (full + 1))
 
-    columns = F.transform(F.sequence(F.lit(0), n - 1), column(p, t))
+        return F.transform(s["t"], of)
 
     def step(s: Column, packed: Column) -> Column:
         eq = packed.bitwiseAND(F.lit(full))
@@ -88,52 +93,72 @@ def edit_distance(pattern: Column, text: Column, most: int = EDITS) -> Column:
             )
             return F.struct(vp.alias("vp"), down.bitwiseAND(hp).alias("vn"), (s["d"] + moved).alias("d"))
 
-        return F.get(F.transform(F.array(d0), with_d0), F.lit(0))
+        return _let(d0, with_d0)
 
     start = F.struct(F.lit(full & ~((1 << (most + 1)) - 1)).alias("vp"), F.lit(0).alias("vn"), F.lit(most).alias("d"))
-    inside = F.aggregate(columns, start, step, lambda s: s["d"])
+    inside = _let(chars, lambda s: F.aggregate(columns(s), start, step, lambda x: x["d"]))
     return F.when(m - n > most, m - n).when(n <= most, F.levenshtein(pattern, text)).otherwise(inside)
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of a line of that length; the last segments are the longer ones."""
-    parts = edits + 1
-    short = F.floor(length / parts).cast("int")
-    longer = length % parts
-    begin = short * i + F.greatest(F.lit(0), F.lit(i - parts) + longer)
-    return begin, short + F.when(longer >= parts - i, 1).otherwise(0)
+def trimmed(p: Column, t: Column, sizes: tuple[int, ...] = (512, 256, 128, 64, 32, 16, 8)) -> Column:
+    """p and t without most of the beginning and end that they share, which changes no edit distance."""
 
+    def step(s: Column, k: Column) -> Column:
+        front = (F.char_length(s["t"]) >= k) & (F.left(s["p"], k) == F.left(s["t"], k))
+        cut = lambda x: F.when(front, F.right(x, F.char_length(x) - k)).otherwise(x)
+        return _let(F.struct(cut(s["p"]).alias("p"), cut(s["t"]).alias("t")), lambda r: back(r, k))
 
-def _entry(line: Column, length: Column, i: int, begin: Column, size: Column, indexed: bool) -> Column:
-    return F.struct(F.xxhash64(length, F.lit(i), F.substring(line, begin + 1, size)).alias("key"), F.lit(indexed).alias("indexed"))
+    def back(s: Column, k: Column) -> Column:
+        end = (F.char_length(s["t"]) >= k) & (F.right(s["p"], k) == F.right(s["t"], k))
+        cut = lambda x: F.when(end, F.left(x, F.char_length(x) - k)).otherwise(x)
+        return F.struct(cut(s["p"]).alias("p"), cut(s["t"]).alias("t"))
 
+    return F.aggregate(F.array(*map(F.lit, sizes)), F.struct(p.alias("p"), t.alias("t")), step)
 
-def entries(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """The index entries and probes of a line."""
-    out = []
-    for i in range(edits + 1):
-        begin, size = _segment(length, i, edits)
-        out.append(_entry(line, length, i, begin, size, True))
-    for shorter in range(edits + 1):
-        target = length - shorter
-        for i in range(edits + 1):
-            begin, size = _segment(target, i, edits)
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                if shorter or shift:  # else it is the line's own index entry
-                    out.append(_entry(line, target, i, begin + shift, size, False))
-    return F.array(*out)
+
+def keys(line: str = "wide", length: str = "n", edits: int = EDITS) -> Column:
+    """The keys of a line's index entries (the first edits + 1) and then of its probes, as an array of longs.
+
+    line is the line in UTF-32: with four bytes to every character, a substring is
+    cut out without a walk to where it begins.
+
+    Segment i of a line of n characters starts at i (n div parts), and the last
+    n mod parts segments have a character more.
+    """
+    parts = edits + 1
+    index = [(0, i, 0) for i in range(parts)]
+    probes = [
+        (shorter, i, shift)
+        for shorter in range(parts)
+        for i in range(parts)
+        for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1)
+        if shorter or shift  # else it is the line's own index entry
+    ]
+    # A fold over a constant list: spelled out, the keys' code is too long a method for the JVM to compile.
+    places = F.array(*[F.struct(F.lit(a).alias("shorter"), F.lit(i).alias("i"), F.lit(d).alias("shift")) for a, i, d in index + probes])
+
+    def key(k: Column) -> Column:
+        n = F.col(length) - k["shorter"]
+        more = n % parts
+        short = ((n - more) / parts).cast("int")
+        begin = short * k["i"] + F.greatest(F.lit(0), k["i"] - parts + more) + k["shift"]
+        size = short + F.when(more >= F.lit(parts) - k["i"], 1).otherwise(0)
+        return F.xxhash64(n, k["i"], F.substring(line, begin * 4 + 1, size * 4))
+
+    return F.transform(places, key)
 
 
 def count_sketch(line: Column) -> Column:
     """Two longs: for each class of characters, 8 bits whose pattern moves by one bit as the class's count grows by one."""
     letters = "abcdefghijklmnop"[:CLASSES]
     classed = F.array_join(F.transform(F.split(line, ""), lambda c: F.substring(F.lit(letters), F.pmod(F.xxhash64(c), F.lit(CLASSES)).cast("int") + 1, F.lit(1))), "")
-    counts = F.transform(F.array(*[F.lit(c) for c in letters]), lambda c: (F.octet_length(classed) - F.octet_length(F.replace(classed, c, F.lit("")))).cast("int") % 16)
+    count = lambda s: F.transform(F.array(*[F.lit(c) for c in letters]), lambda c: (F.octet_length(s) - F.octet_length(F.replace(s, c, F.lit("")))).cast("int") % 16)
+    counts = _let(classed, count)
     # The count k mod 16 as a cyclic code: k ones from below up to 8, then ones vanish from below.
     codes = F.array(*[F.lit((1 << k) - 1 if k <= 8 else 255 & ~((1 << (k - 8)) - 1)).cast("long") for k in range(16)])
     coded = F.transform(counts, lambda k: F.get(codes, k))
     pack = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 8).bitwiseOR(x))
-    return F.struct(pack(F.slice(coded, 1, 8)).alias("s1"), pack(F.slice(coded, 9, 8)).alias("s2"))
+    return _let(coded, lambda x: F.struct(pack(F.slice(x, 1, 8)).alias("s1"), pack(F.slice(x, 9, 8)).alias("s2")))
 
 
 def _allowed(x: str, y: str, edits: int) -> Column:
@@ -151,15 +176,16 @@ def lines(docs: DataFrame) -> DataFrame:
 def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """node, component: classes of different lines that links join; nodes are k1 of lines()."""
     long = lines(docs).where(F.col("n") >= min_chars)
-    entry = long.select(F.col("k1").alias("node"), F.col("n"), F.explode(entries(F.col("form"), F.col("n"), edits)).alias("e")).select("node", "n", "e.key", "e.indexed")
-    keys = (
+    wide = long.select(F.col("k1").alias("node"), "n", F.encode("form", "UTF-32").alias("wide"))
+    entry = wide.select("node", "n", F.posexplode(keys(edits=edits)).alias("at", "key")).select("node", "n", "key", (F.col("at") <= edits).alias("indexed"))
+    met = (
         entry.groupBy("key")
         .agg(F.min(F.when(F.col("indexed"), F.col("node"))).alias("low"), F.min("node").alias("least"), F.max("node").alias("most"))
         .where("low IS NOT NULL AND least <> most")
         .select("key", "low")
     )
-    keys = store.saved(keys, "keys")
-    shared = store.saved(entry.join(_bounded(keys), "key").select("key", "node", "n", "indexed", "low").distinct(), "shared")
+    met = store.saved(met, "keys")
+    shared = store.saved(entry.join(_bounded(met), "key").select("key", "node", "n", "indexed", "low").distinct(), "shared")
     nodes = store.saved(shared.select("node").distinct(), "nodes")
     texts = store.saved(long.select(F.col("k1").alias("node"), "form", "n").join(_bounded(nodes), "node").groupBy("node").agg(F.min(F.struct("form", "n")).alias("t")).select("node", "t.form", "t.n", count_sketch(F.col("t.form")).alias("s")), "texts")
 
@@ -169,8 +195,9 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = texts.select(F.col("node").alias("a"), F.struct("n", "form").alias("x")), texts.select(F.col("node").alias("b"), F.struct("n", "form").alias("y"))
-        ordered = pairs.join(x, "a").join(y, "b").select("a", "b", F.greatest("x", "y").alias("p"), F.least("x", "y").alias("t"))
-        return store.saved(ordered.where(edit_distance(F.col("p.form"), F.col("t.form"), edits) <= edits).select("a", "b"), "links")
+        middle = trimmed(F.greatest("x", "y")["form"], F.least("x", "y")["form"])
+        near = _let(middle, lambda s: edit_distance(s["p"], s["t"], edits) <= edits)
+        return store.saved(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"), "links")
 
     pair = [F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b")]
     tried = store.saved(allowed(shared.where("node <> low").select(*pair).distinct()), "tried")
