@@ -56,7 +56,7 @@ class Library:
     def spine(self) -> DataFrame:
         """One row for each tracked conversation with its effective state, activity and freshness; title and the like are null without a document."""
         t, s, d = self["tracking"], self["sources"], self["documents"].withColumn("has_document", F.lit(True))
-        joined = t.join(F.broadcast(s), ["source_kind", "instance_id"]).join(d, C.ID, "left")
+        joined = t.join(s, ["source_kind", "instance_id"]).join(d, C.ID, "left")
         has = F.coalesce("has_document", F.lit(False))
         cov = F.col("coverage_status")
         latest = tuple(F.col(f"latest_{k}") for k in ("scheme", "digest", "adapter"))

@@ -304,7 +304,9 @@ def records(spark: SparkSession, listed: DataFrame, folder: str, instance: str)
             yield pd.DataFrame(out, columns=["path", "no", "line"])
 
     split = files.mapInPandas(lines, "path string, no long, line string")
-    return split.join(F.broadcast(listed), F.col("path").endswith(F.col("rollout_path"))).select(
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    same = (name("path") == name("rollout_path")) & F.col("path").endswith(F.col("rollout_path"))
+    return split.join(listed, same).select(
         F.lit("codex").alias("source_kind"), F.lit(instance).alias("instance_id"), F.col("id").alias("native_id"), "no", "line"
     )
 
