@@ -37,6 +37,8 @@ MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _TAIL = struct.Struct("<I")
 END_ID = 0
+#: The files' totals are broadcast up to so many files.
+BROADCAST_FILES = 100_000
 
 
 def masked_crc(data: bytes | memoryview) -> int:
@@ -212,5 +214,7 @@ def placed(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.broadcast(spark.createDataFrame(bases, "file string, base long"))
+    base = spark.createDataFrame(bases, "file string, base long")
+    if len(bases) <= BROADCAST_FILES:
+        base = F.broadcast(base)
     return read(spark, path).join(base, "file").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
