@@ -233,7 +233,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.slices(batches):
             rows = codec(path).process(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [

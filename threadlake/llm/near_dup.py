@@ -136,7 +136,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n, f1, f2 (fingerprint of the set), bands, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.slices(batches):
             parts = list(zip(*_signatures(batch.column(1).to_pylist())))
             if not parts:
                 continue

@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Discriminan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {k: [0, np.zeros(N_FEATURES), np.zeros((N_FEATURES, N_FEATURES))] for k in (0, 1)}
-        for batch in batches:
+        for batch in W.slices(batches):
             x, y = features(batch.column(1).to_pylist()), np.array(batch.column(0).to_pylist())
             for k, s in sums.items():
                 part = x[y == k]
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.slices(batches):
             s = model.scores(features(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array(s >= threshold).cast(pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -198,7 +198,7 @@ def accepted(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD)
     """The rows of docs that score at least the threshold, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.slices(batches):
             yield batch.filter(pa.array(model.scores(features(batch.column("text").to_pylist())) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Characters that are worked on at once; a longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -89,6 +89,13 @@ def blocks(texts: list[str], size: int = BLOCK) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def slices(batches: Iterator, rows: int = 1000) -> Iterator:
+    """Arrow batches in parts of that many rows, so that few texts are Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def code_points(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     """All texts end to end, as a string and as code points, and where each starts (with the total at the end)."""
     whole = "".join(texts)
@@ -172,7 +179,7 @@ class WordTable:
     in order; clear() empties them. The table is emptied when it holds limit words, so memory is bounded.
     """
 
-    def __init__(self, learn: Callable[[list[str]], None], clear: Callable[[], None], limit: int = 1_000_000):
+    def __init__(self, learn: Callable[[list[str]], None], clear: Callable[[], None], limit: int = 400_000):
         self._learn, self._clear, self._limit = learn, clear, limit
         self._slots: dict[int, int] = {}
 
