@@ -225,6 +225,21 @@ def test_line_classes(spark):
     assert {r.text for r in cut.where("doc_id IS NULL OR doc_id = 9001").collect()} == {"no id", None}
 
 
+def test_long_lines_may_differ_in_more_edits(spark):
+    letters = ["abcdefgh ", "eaodt. xyz", "|%&*$#", "\u4e2d\u6587\u5b57\u7b26\u4e00\u4e8c\u4e09\u4e0a\u4e0b", "xqkz", "x"]
+    base = ["".join(RND.choice(letters[i % 6]) for _ in range(RND.choice((90, 146, 152, 210, 388, 597)))) for i in range(24)]
+    base += [prose(60), prose(110), "The same passage of many words. " * 9]
+    lines = [edited(b, k).strip() for b in base for k in (0, 1, 2, 3, 5, 8, 14)]
+    RND.shuffle(lines)
+    got = {r.doc_id: r.class_doc_id for r in line_dedup.line_classes(frame(spark, list(enumerate(lines)))).collect()}
+    most = lambda i, j: max(2, max(len(lines[i]), len(lines[j])) // 50)
+    pairs = [(i, j, lines[i], lines[j]) for i in range(len(lines)) for j in range(i) if abs(len(lines[i]) - len(lines[j])) <= most(i, j)]
+    known = spark.createDataFrame(pairs, "i int, j int, a string, b string").select("i", "j", F.levenshtein("a", "b").alias("d")).collect()
+    links = [(r.i, r.j) for r in known if r.d <= most(r.i, r.j)]
+    assert [got[i] for i in range(len(lines))] == groups(len(lines), links)
+    assert sum(r.d > 2 for r in known if (r.i, r.j) in set(links)) > 50
+
+
 # token records
 
 

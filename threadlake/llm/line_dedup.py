@@ -1,20 +1,32 @@
-"""Line near-duplicates within a few edits, by the segment-partition edit join.
-
-Two lines are linked if at most EDITS insertions, deletions and substitutions of
-characters turn one into the other. A line is cut into EDITS + 1 segments; a line
-within EDITS edits of it holds one of them unchanged, near its place. So every line
-is indexed by (its length, segment number, segment) and probes, for each length
-up to EDITS shorter than its own, the substrings at which a segment can stand
-(left and right shifts together stay within EDITS). Pairs that meet are verified
-by banded bit-parallel edit distance: a column of the band is a word of 2 EDITS + 2
-bits, and a step is a few additions and shifts.
-
-Copies of a line are one node. A probed key's members are tried against the key's
-smallest indexed line; keys that then still hold several components are tried
-across them, so no link is missed. Before a pair becomes a row, a sketch of
-character counts must allow it: CLASSES classes of characters are counted, each
-count is a cyclic code that changes one bit a step, and an edit changes two counts
-by one at most, so sketches of linked lines differ in 2 EDITS bits at most. All of
+"""Line near-duplicates within a few edits, by chunks of content and the segment-partition edit join.
+
+Two lines are linked if few insertions, deletions and substitutions of characters
+turn one into the other: one for each CHARS_AN_EDIT characters of the longer line,
+and EDITS at least.
+
+A line is cut at the blanks behind some letters. Where a cut is depends on two
+neighbouring characters, so an edit changes two chunks of a line at most: of lines
+within k edits, each has all but 2k of its chunks in common with the other. So they
+meet in the first 2k + 1 chunks of each by any common order; the longest come first,
+as they are the rarest. If neither has more than 2k chunks, they may share none:
+
+* lines with no more edits than EDITS are cut into EDITS + 1 segments. A line within
+  EDITS edits holds one of them unchanged, near its place. So every line is indexed
+  by (its length, segment number, segment) and probes, for each length up to EDITS
+  shorter than its own, the substrings at which a segment can stand (left and right
+  shifts together stay within EDITS).
+* longer ones are cut again behind each of many characters. Those with too few chunks
+  even so, such as runs of one character, meet all such lines of about their length.
+
+Pairs that meet are verified by banded edit distance, up to EDITS bit-parallel: a
+column of the band is a word of 2 EDITS + 2 bits, and a step is a few additions and shifts.
+
+Copies of a line are one node. A key's members are tried against the smallest line
+that is indexed by it and of about their length; keys that then still hold several
+components are tried across them, so no link is missed. Before a pair becomes a row,
+a sketch of character counts must allow it: CLASSES classes of characters are counted,
+each count is a cyclic code that changes one bit a step, and an edit changes two counts
+by one at most, so sketches of lines within k edits differ in 2k bits at most. All of
 it is DataFrame functions.
 
 Lines of fewer than MIN_CHARS characters, white space around them not counted,
@@ -24,14 +36,23 @@ and always kept.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threadlake.llm import store
 from threadlake.llm import text_sql as T
 from threadlake.llm.components import components
 
 EDITS = 2
+#: Longer lines may differ in one edit for so many characters.
+CHARS_AN_EDIT = 50
+#: Cuts depend on two neighbouring characters; the second pattern is for long lines that the first leaves with few chunks.
+CHUNKS = r"(?<=[eaodt.,]) "
+_STRIPES = [(at, at + size - 1) for begin, end, step, size in ((0x80, 0x700, 32, 4), (0x3040, 0x3100, 32, 4), (0x4E00, 0xA000, 256, 32), (0xAC00, 0xD7A4, 256, 32)) for at in range(begin, end, step)]
+FINE_CHUNKS = "(?<=[ea|%13579" + "".join(f"\\u{x:04x}-\\u{y:04x}" for x, y in _STRIPES) + "])"
 MIN_CHARS = 25
 CLASSES = 16
 #: At most so many rows of a few numbers are broadcast.
@@ -161,9 +182,59 @@ def count_sketch(line: Column) -> Column:
     return _let(coded, lambda x: F.struct(pack(F.slice(x, 1, 8)).alias("s1"), pack(F.slice(x, 9, 8)).alias("s2")))
 
 
+def edits_of(n: Column, edits: int = EDITS) -> Column:
+    """How many edits link a line of n characters to one that isn't longer."""
+    return F.greatest(F.lit(edits), F.floor(n / CHARS_AN_EDIT).cast("int"))
+
+
+def near_length(n: Column, edits: int = EDITS) -> Column:
+    """A number for the length, which differs by one at most between linked lines."""
+    flat = CHARS_AN_EDIT * (edits + 1)  # shorter lines have the least number of edits
+    ratio = math.log(CHARS_AN_EDIT / (CHARS_AN_EDIT - 1)) * 1.005
+    return F.when(n < flat, F.floor(n / (edits + 1))).otherwise(CHARS_AN_EDIT + F.floor(F.log(n / flat) / ratio)).cast("int")
+
+
+def chunk_keys(chunks: Column, most: Column) -> Column:
+    """The first so many of the chunks, the longest first, as an array of longs: length and 48 bits of hash."""
+    key = lambda c: F.shiftleft(-F.least(F.char_length(c), F.lit(32_767)).cast("long"), 48).bitwiseOR(F.xxhash64(c).bitwiseAND(F.lit((1 << 48) - 1)))
+    return F.array_distinct(F.slice(F.array_sort(F.transform(chunks, key)), F.lit(1), most))
+
+
+def entries(form: str = "form", wide: str = "wide", length: str = "n", edits: int = EDITS) -> Column:
+    """All keys under which a line meets others, as an array of (key, b, indexed).
+
+    Members of a key meet if b differs by one at most and one of them is indexed. b is
+    near_length(), or -1 for a segment's key, which has the length in it.
+    """
+    n = F.col(length)
+    flat = CHARS_AN_EDIT * (edits + 1)
+    # The most edits to a line that is longer: (n + k) div CHARS_AN_EDIT = k at the most.
+    most = 2 * F.greatest(F.lit(edits), F.floor(n / (CHARS_AN_EDIT - 1)).cast("int")) + 1
+    entry = lambda key, b, indexed: F.struct(key.alias("key"), b.alias("b"), indexed.alias("indexed"))
+    none = F.array().cast("array<struct<key:bigint,b:int,indexed:boolean>>")
+
+    def of_chunks(salt: int):
+        return lambda s: F.transform(chunk_keys(s["c"], s["most"]), lambda k: entry(k.bitwiseXOR(F.lit(salt)), s["b"], F.lit(True)))
+
+    def same_length(s: Column) -> Column:
+        return F.array(*[entry(F.xxhash64(F.lit("length"), s["b"] + d), F.lit(-1), F.lit(True)) for d in (0, 1)])
+
+    def fine(s: Column) -> Column:
+        cut = F.struct(F.filter(F.split(form, FINE_CHUNKS), lambda c: c != "").alias("c"), s["b"].alias("b"), s["most"].alias("most"))
+        return _let(cut, lambda f: F.concat(of_chunks(1)(f), F.when(F.size(f["c"]) < f["most"], same_length(f)).otherwise(none)))
+
+    def all_of(s: Column) -> Column:
+        few = F.size(s["c"]) < s["most"]
+        segments = F.transform(keys(wide, length, edits), lambda k, i: entry(k, F.lit(-1), i <= edits))
+        return F.concat(of_chunks(0)(s), F.when(few & (n < flat), segments).otherwise(none), F.when(few & (n >= flat - edits - 1), fine(s)).otherwise(none))
+
+    return _let(F.struct(F.split(form, CHUNKS).alias("c"), near_length(n, edits).alias("b"), most.alias("most")), all_of)
+
+
 def _allowed(x: str, y: str, edits: int) -> Column:
+    most = edits_of(F.greatest(f"{x}.n", f"{y}.n"), edits)
     flips = F.bit_count(F.col(f"{x}.s.s1").bitwiseXOR(F.col(f"{y}.s.s1"))) + F.bit_count(F.col(f"{x}.s.s2").bitwiseXOR(F.col(f"{y}.s.s2")))
-    return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= edits) & (flips <= 2 * edits)
+    return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= most) & (flips <= 2 * most)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -176,16 +247,11 @@ def lines(docs: DataFrame) -> DataFrame:
 def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """node, component: classes of different lines that links join; nodes are k1 of lines()."""
     long = lines(docs).where(F.col("n") >= min_chars)
-    wide = long.select(F.col("k1").alias("node"), "n", F.encode("form", "UTF-32").alias("wide"))
-    entry = wide.select("node", "n", F.posexplode(keys(edits=edits)).alias("at", "key")).select("node", "n", "key", (F.col("at") <= edits).alias("indexed"))
-    met = (
-        entry.groupBy("key")
-        .agg(F.min(F.when(F.col("indexed"), F.col("node"))).alias("low"), F.min("node").alias("least"), F.max("node").alias("most"))
-        .where("low IS NOT NULL AND least <> most")
-        .select("key", "low")
-    )
-    met = store.saved(met, "keys")
-    shared = store.saved(entry.join(_bounded(met), "key").select("key", "node", "n", "indexed", "low").distinct(), "shared")
+    wide = long.select(F.col("k1").alias("node"), "n", "form", F.encode("form", "UTF-32").alias("wide"))
+    entry = wide.select("node", "n", F.explode(entries(edits=edits)).alias("e")).select("node", "n", "e.key", "e.b", "e.indexed")
+    near = Window.partitionBy("key").orderBy("b").rangeBetween(-1, 1)
+    met = entry.select("*", F.max("indexed").over(near).alias("found"), F.min("node").over(near).alias("least"), F.max("node").over(near).alias("most"))
+    shared = store.saved(met.where("found AND least <> most").select("key", "node", "n", "b", "indexed").distinct(), "shared")
     nodes = store.saved(shared.select("node").distinct(), "nodes")
     texts = store.saved(long.select(F.col("k1").alias("node"), "form", "n").join(_bounded(nodes), "node").groupBy("node").agg(F.min(F.struct("form", "n")).alias("t")).select("node", "t.form", "t.n", count_sketch(F.col("t.form")).alias("s")), "texts")
 
@@ -196,19 +262,23 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = texts.select(F.col("node").alias("a"), F.struct("n", "form").alias("x")), texts.select(F.col("node").alias("b"), F.struct("n", "form").alias("y"))
         middle = trimmed(F.greatest("x", "y")["form"], F.least("x", "y")["form"])
-        near = _let(middle, lambda s: edit_distance(s["p"], s["t"], edits) <= edits)
+        most = edits_of(F.greatest("x.n", "y.n"), edits)
+        within = lambda s: F.when(most == edits, edit_distance(s["p"], s["t"], edits) <= edits).otherwise(F.call_function("levenshtein", s["p"], s["t"], most) >= 0)
+        near = _let(middle, within)
         return store.saved(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"), "links")
 
     pair = [F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b")]
-    tried = store.saved(allowed(shared.where("node <> low").select(*pair).distinct()), "tried")
+    lows = shared.where("indexed").groupBy("key", "b").agg(F.min("node").alias("low"))
+    tried = store.saved(allowed(shared.join(lows, ["key", "b"]).where("node <> low").select(*pair).distinct()), "tried")
     found = verified(tried)
     of = components(found)
 
-    placed = shared.drop("low").join(of, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    placed = shared.join(of, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
     open_ = store.saved(placed.join(mixed, "key").join(texts.select("node", "s"), "node"), "open")
-    x, y = open_.where("indexed").alias("x"), open_.alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & _allowed("x", "y", edits)
+    around = F.when(F.col("b") < 0, F.array("b")).otherwise(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1))
+    x, y = open_.where("indexed").alias("x"), open_.withColumn("b", F.explode(around)).alias("y")
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.b") == F.col("y.b")) & (F.col("x.c") != F.col("y.c")) & _allowed("x", "y", edits)
     crossing = x.join(y, near).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     more = store.saved(crossing.join(tried, ["a", "b"], "left_anti"), "crossing")
     if more.take(1):
