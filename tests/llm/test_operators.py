@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from threadlake.llm import bpe, components, decontaminate, embed_dup, licenses, line_dedup, near_dup, quality, quotes, ring, store, token_records
+from threadlake.llm import bpe, components, decontaminate, embed_dup, licenses, line_dedup, near_dup, quality, queries, quotes, ring, store, token_records
 from threadlake.llm import words as W
 
 RND = random.Random(5)
@@ -240,6 +240,14 @@ def test_long_lines_may_differ_in_more_edits(spark):
     assert sum(r.d > 2 for r in known if (r.i, r.j) in set(links)) > 50
 
 
+def test_copies_of_short_lines(spark, tmp_path):
+    docs = [(1, "Ietzte.\n\nIetzte. \nIetzte!"), (2, " \n\tIetzte.\nx"), (3, "x\n")]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.kept) for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    repeats = {(1, 2): (1, 0, False), (2, 1): (1, 0, False), (3, 0): (2, 2, False)}
+    assert got == {(d, n): repeats.get((d, n), (d, n, True)) for d, t in docs for n in range(t.count("\n") + 1)}
+
+
 # token records
 
 

@@ -30,8 +30,10 @@ by one at most, so sketches of lines within k edits differ in 2k bits at most. A
 it is DataFrame functions.
 
 Lines of fewer than MIN_CHARS characters, white space around them not counted,
-are too short for a fixed number of edits to mean likeness; they are never linked
-and always kept.
+are too short for a fixed number of edits to mean likeness; no edits link them.
+Their exact copies are one class from copies_from characters on: by default
+MIN_CHARS, so that they are always kept; the queries and the pipeline take
+every line that isn't blank (NOT_BLANK).
 """
 
 from __future__ import annotations
@@ -54,6 +56,8 @@ CHUNKS = r"(?<=[eaodt.,]) "
 _STRIPES = [(at, at + size - 1) for begin, end, step, size in ((0x80, 0x700, 32, 4), (0x3040, 0x3100, 32, 4), (0x4E00, 0xA000, 256, 32), (0xAC00, 0xD7A4, 256, 32)) for at in range(begin, end, step)]
 FINE_CHUNKS = "(?<=[ea|%13579" + "".join(f"\\u{x:04x}-\\u{y:04x}" for x, y in _STRIPES) + "])"
 MIN_CHARS = 25
+#: For copies_from: exact copies of all lines but blank ones are one class.
+NOT_BLANK = 1
 CLASSES = 16
 #: At most so many rows of a few numbers are broadcast.
 BROADCAST_ROWS = 500_000
@@ -286,10 +290,10 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     return of
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, copies_from: int = MIN_CHARS) -> DataFrame:
     """One row for each line of docs (doc_id, text): doc_id, line_no, class_doc_id, class_line_no, kept.
 
-    A class is all lines that links reach from one another; it is named by its first
+    A class is all lines that links reach from one another, or all copies of a line of copies_from characters or more; it is named by its first
     line, by doc_id (null first) and line number, and only that one is kept. Lines end at
     a line feed; a null text has no lines, an empty one has one empty line. Lines that
     share doc_id and line_no with the first of their class, in repeated rows, are all
@@ -300,8 +304,8 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     named = each.join(_bounded(of.withColumnRenamed("node", "k1")), "k1", "left").select(
         "doc_id",
         "line_no",
-        F.when(F.col("n") >= min_chars, F.coalesce("component", "k1")).alias("c1"),
-        F.when(F.col("n") >= min_chars, F.when(F.col("component").isNull(), F.col("k2")).otherwise(0)).alias("c2"),
+        F.when(F.col("n") >= copies_from, F.coalesce("component", "k1")).alias("c1"),
+        F.when(F.col("n") >= copies_from, F.when(F.col("component").isNull(), F.col("k2")).otherwise(0)).alias("c2"),
     )
     named = store.saved(named, "named")
     groups = named.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
@@ -316,12 +320,12 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     )
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, copies_from: int = MIN_CHARS) -> DataFrame:
     """The rows of docs with every line that isn't kept taken out of text; n_chars follows, other columns stay.
 
     A row without a doc_id keeps its text. A document may end up empty; its row stays.
     """
-    gone = line_classes(docs).where("NOT kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone_lines"))
+    gone = line_classes(docs, copies_from=copies_from).where("NOT kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone_lines"))
     gone = store.saved(gone.withColumnRenamed("doc_id", "gone_id"), "gone-lines")
     cut = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone_lines", i)), "\n")
     joined = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left")

@@ -26,7 +26,7 @@ def op3_embed_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"), copies_from=line_dedup.NOT_BLANK)
 
 
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
