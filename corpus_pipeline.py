@@ -23,8 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-equal lines, only the first in the corpus stays."""
-    return line_dedup.without_repeated_lines(docs)
+    """Of near-equal lines, and of copies of shorter ones, only the first in the corpus stays."""
+    return line_dedup.without_repeated_lines(docs, copies_from=line_dedup.NOT_BLANK)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

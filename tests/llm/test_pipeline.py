@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from tests.test_oracle import agree
-from threadlake.llm import queries
+from threadlake.llm import line_dedup, queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
@@ -28,6 +28,13 @@ def test_stages(spark):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == now.count()
 
 
+def test_no_line_is_repeated(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    after = dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, DATA)
+    lines = line_dedup.lines(after.where("doc_id IS NOT NULL")).where("n > 0")
+    assert lines.groupBy("form").count().where("count > 1").count() == 0 < lines.count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query(spark, name):
     agree(spark, name, queries.queries()[name], queries.oracle_sql()[name])
