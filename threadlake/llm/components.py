@@ -38,12 +38,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     edges = store.saved(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        r = edges.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).collect()[0]
-        if not r["n"] or (r["n"], r["h"]) == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
-            ).distinct()
-        mark = (r["n"], r["h"])
-        edges = store.saved(_small_star(_large_star(edges)), "edges")
+    while edges.take(1):
+        after = store.saved(_small_star(_large_star(edges)), "edges")
+        # The same pairs as before: equal in number, and none is new.
+        same = edges.count() == after.count() and not after.join(edges, ["u", "v"], "left_anti").take(1)
+        store.drop(edges)
+        edges = after
+        if same:
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    ).distinct()

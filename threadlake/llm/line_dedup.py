@@ -8,7 +8,8 @@ A line is cut at the blanks behind some letters. Where a cut is depends on two
 neighbouring characters, so an edit changes two chunks of a line at most: of lines
 within k edits, each has all but 2k of its chunks in common with the other. So they
 meet in the first 2k + 1 chunks of each by any common order; the longest come first,
-as they are the rarest. If neither has more than 2k chunks, they may share none:
+as they are the rarest, and each takes in the beginning of the next. If neither has
+more than 2k chunks that are long enough, they may share none:
 
 * lines with no more edits than EDITS are cut into EDITS + 1 segments. A line within
   EDITS edits holds one of them unchanged, near its place. So every line is indexed
@@ -21,9 +22,10 @@ as they are the rarest. If neither has more than 2k chunks, they may share none:
 Pairs that meet are verified by banded edit distance, up to EDITS bit-parallel: a
 column of the band is a word of 2 EDITS + 2 bits, and a step is a few additions and shifts.
 
-Copies of a line are one node. A key's members are tried against the smallest line
-that is indexed by it and of about their length; keys that then still hold several
-components are tried across them, so no link is missed. Before a pair becomes a row,
+Copies of a line are one node, and of a line with very many copies only the first is
+indexed. A key's members are tried against a pivot, TURNS times, and each key draws its
+own: where many lines are near, most are linked to some pivot. Keys that then still hold
+several components are tried across them, so no link is missed. Before a pair becomes a row,
 a sketch of character counts must allow it: CLASSES classes of characters are counted,
 each count is a cyclic code that changes one bit a step, and an edit changes two counts
 by one at most, so sketches of lines within k edits differ in 2k bits at most. All of
@@ -58,7 +60,13 @@ FINE_CHUNKS = "(?<=[ea|%13579" + "".join(f"\\u{x:04x}-\\u{y:04x}" for x, y in _S
 MIN_CHARS = 25
 #: For copies_from: exact copies of all lines but blank ones are one class.
 NOT_BLANK = 1
+#: Characters of the next chunk that a piece takes in.
+AHEAD = 6
 CLASSES = 16
+#: A line with more copies than this, and than one in HOT_LINES of all lines, is indexed by its first copy alone.
+LEAST_HOT, HOT_LINES = 8, 100_000
+#: So many times the members of a key are tried with one of them, before what is left is tried across components.
+TURNS = 2
 #: At most so many rows of a few numbers are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -198,10 +206,24 @@ def near_length(n: Column, edits: int = EDITS) -> Column:
     return F.when(n < flat, F.floor(n / (edits + 1))).otherwise(CHARS_AN_EDIT + F.floor(F.log(n / flat) / ratio)).cast("int")
 
 
-def chunk_keys(chunks: Column, most: Column) -> Column:
-    """The first so many of the chunks, the longest first, as an array of longs: length and 48 bits of hash."""
-    key = lambda c: F.shiftleft(-F.least(F.char_length(c), F.lit(32_767)).cast("long"), 48).bitwiseOR(F.xxhash64(c).bitwiseAND(F.lit((1 << 48) - 1)))
-    return F.array_distinct(F.slice(F.array_sort(F.transform(chunks, key)), F.lit(1), most))
+def chunk_keys(chunks: Column, most: Column, ahead: int = 0) -> Column:
+    """(keys, few): the first so many pieces, the longest first, as longs of length and 48 bits of hash; whether there are fewer.
+
+    With ahead, a piece is a chunk of more characters than that, together with so many
+    characters of the next chunk: an edit near the end of a chunk changes it and the one
+    behind, an edit near its beginning the one before and it, so still two pieces at most.
+    """
+    beyond = -(ahead << 48) if ahead else 0  # the keys of chunks that are long enough are less
+
+    def key(c: Column, i: Column) -> Column:
+        seen = F.xxhash64(c, F.substring(F.coalesce(F.get(chunks, i + 1), F.lit("")), 1, ahead)) if ahead else F.xxhash64(c)
+        return F.shiftleft(-F.least(F.char_length(c), F.lit(32_767)).cast("long"), 48).bitwiseOR(seen.bitwiseAND(F.lit((1 << 48) - 1)))
+
+    def first(x: Column) -> Column:
+        few = F.coalesce(F.get(x, most - 1) >= F.lit(beyond), F.lit(True))
+        return F.struct(F.array_distinct(F.filter(F.slice(x, F.lit(1), most), lambda k: k < F.lit(beyond))).alias("keys"), few.alias("few"))
+
+    return _let(F.sort_array(F.transform(chunks, key)), first)
 
 
 def entries(form: str = "form", wide: str = "wide", length: str = "n", edits: int = EDITS) -> Column:
@@ -217,20 +239,22 @@ def entries(form: str = "form", wide: str = "wide", length: str = "n", edits: in
     entry = lambda key, b, indexed: F.struct(key.alias("key"), b.alias("b"), indexed.alias("indexed"))
     none = F.array().cast("array<struct<key:bigint,b:int,indexed:boolean>>")
 
-    def of_chunks(salt: int):
-        return lambda s: F.transform(chunk_keys(s["c"], s["most"]), lambda k: entry(k.bitwiseXOR(F.lit(salt)), s["b"], F.lit(True)))
+    def met(keys: Column, salt: int, b: Column) -> Column:
+        return F.transform(keys, lambda k: entry(k.bitwiseXOR(F.lit(salt)), b, F.lit(True)))
 
     def same_length(s: Column) -> Column:
         return F.array(*[entry(F.xxhash64(F.lit("length"), s["b"] + d), F.lit(-1), F.lit(True)) for d in (0, 1)])
 
     def fine(s: Column) -> Column:
-        cut = F.struct(F.filter(F.split(form, FINE_CHUNKS), lambda c: c != "").alias("c"), s["b"].alias("b"), s["most"].alias("most"))
-        return _let(cut, lambda f: F.concat(of_chunks(1)(f), F.when(F.size(f["c"]) < f["most"], same_length(f)).otherwise(none)))
+        cut = F.filter(F.split(form, FINE_CHUNKS), lambda c: c != "")
+        return _let(cut, lambda c: _let(chunk_keys(c, s["most"]), lambda f: F.concat(met(f["keys"], 1, s["b"]), F.when(f["few"], same_length(s)).otherwise(none))))
 
     def all_of(s: Column) -> Column:
-        few = F.size(s["c"]) < s["most"]
-        segments = F.transform(keys(wide, length, edits), lambda k, i: entry(k, F.lit(-1), i <= edits))
-        return F.concat(of_chunks(0)(s), F.when(few & (n < flat), segments).otherwise(none), F.when(few & (n >= flat - edits - 1), fine(s)).otherwise(none))
+        def with_pieces(f: Column) -> Column:
+            segments = F.transform(keys(wide, length, edits), lambda k, i: entry(k, F.lit(-1), i <= edits))
+            return F.concat(met(f["keys"], 0, s["b"]), F.when(f["few"] & (n < flat), segments).otherwise(none), F.when(f["few"] & (n >= flat - edits - 1), fine(s)).otherwise(none))
+
+        return _let(chunk_keys(s["c"], s["most"], AHEAD), with_pieces)
 
     return _let(F.struct(F.split(form, CHUNKS).alias("c"), near_length(n, edits).alias("b"), most.alias("most")), all_of)
 
@@ -248,46 +272,93 @@ def lines(docs: DataFrame) -> DataFrame:
     return form.select("doc_id", "line_no", "form", F.char_length("form").alias("n"), F.xxhash64("form").alias("k1"), F.xxhash64(F.lit("line"), "form").alias("k2"))
 
 
-def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """node, component: classes of different lines that links join; nodes are k1 of lines()."""
+def forms(docs: DataFrame) -> DataFrame:
+    """One row for each different line: k1, k2, n, size (its copies), first (doc_id and line_no of the first)."""
+    each = lines(docs).select("doc_id", "line_no", "n", "k1", "k2")
+    return each.groupBy("k1", "k2").agg(F.min("n").alias("n"), F.count("*").alias("size"), F.min(F.struct("doc_id", "line_no")).alias("first"))
+
+
+def _indexed_lines(docs: DataFrame, of: DataFrame, min_chars: int) -> DataFrame:
+    """Lines of min_chars or more; of those with the most copies, only the first.
+
+    Copies are one node, so their keys say nothing new. A line with a share of more than
+    1 / HOT_LINES of all lines is hot, so there are HOT_LINES of them at most to broadcast,
+    and no copies that stay fill a key.
+    """
+    total = of.agg(F.sum("size").alias("n")).collect()[0]["n"] or 0
+    hot = of.where((F.col("n") >= min_chars) & (F.col("size") > max(LEAST_HOT, total // HOT_LINES))).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), "first")
     long = lines(docs).where(F.col("n") >= min_chars)
-    wide = long.select(F.col("k1").alias("node"), "n", "form", F.encode("form", "UTF-32").alias("wide"))
-    entry = wide.select("node", "n", F.explode(entries(edits=edits)).alias("e")).select("node", "n", "e.key", "e.b", "e.indexed")
-    near = Window.partitionBy("key").orderBy("b").rangeBetween(-1, 1)
-    met = entry.select("*", F.max("indexed").over(near).alias("found"), F.min("node").over(near).alias("least"), F.max("node").over(near).alias("most"))
-    shared = store.saved(met.where("found AND least <> most").select("key", "node", "n", "b", "indexed").distinct(), "shared")
-    nodes = store.saved(shared.select("node").distinct(), "nodes")
-    texts = store.saved(long.select(F.col("k1").alias("node"), "form", "n").join(_bounded(nodes), "node").groupBy("node").agg(F.min(F.struct("form", "n")).alias("t")).select("node", "t.form", "t.n", count_sketch(F.col("t.form")).alias("s")), "texts")
+    copy = (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")) & ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")))
+    return long.join(F.broadcast(hot), copy, "left_anti")
+
+
+def _spread(b: Column) -> Column:
+    """Where members of about the same length stand: at b and beside it; a segment's key has the length in it."""
+    return F.explode(F.when(b < 0, F.array(b)).otherwise(F.array(b - 1, b, b + 1)))
+
 
-    def allowed(pairs: DataFrame) -> DataFrame:
-        x, y = texts.select(F.col("node").alias("a"), F.struct("n", "s").alias("x")), texts.select(F.col("node").alias("b"), F.struct("n", "s").alias("y"))
-        return pairs.join(x, "a").join(y, "b").where(_allowed("x", "y", edits)).select("a", "b")
+def links(docs: DataFrame, of: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """k1, k2, component of the different lines that links join; components are numbers of no meaning. of is forms(docs), saved."""
+    long = _indexed_lines(docs, of, min_chars)
+    wide = F.when(F.col("n") < CHARS_AN_EDIT * (edits + 1), F.encode("form", "UTF-32")).alias("wide")
+    entry = long.select("k1", "n", "form", wide).select("k1", F.explode(entries(edits=edits)).alias("e")).select("k1", "e.key", "e.b", "e.indexed")
+    near = Window.partitionBy("key").orderBy("b").rangeBetween(-1, 1)
+    met = entry.select("*", F.max("indexed").over(near).alias("found"), F.min("k1").over(near).alias("least"), F.max("k1").over(near).alias("most"))
+    shared = store.saved(met.where("found AND least <> most").select("key", "k1", "b", "indexed").distinct(), "shared")
+    nodes = store.saved(shared.select("k1").distinct(), "nodes")
+    # Lines that differ may have k1 in common, so a node is a number for (k1, k2) from here on.
+    text = long.select("k1", "k2", "form", "n").join(_bounded(nodes), "k1").groupBy("k1", "k2").agg(F.min(F.struct("form", "n")).alias("t"))
+    texts = store.saved(text.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "t.form", "t.n", count_sketch(F.col("t.form")).alias("s")), "texts")
+    members = store.saved(shared.join(_bounded(texts.select("k1", "id", "n", "s")), "k1").drop("k1"), "members")
+    store.drop(shared, nodes)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        x, y = texts.select(F.col("node").alias("a"), F.struct("n", "form").alias("x")), texts.select(F.col("node").alias("b"), F.struct("n", "form").alias("y"))
+        x, y = texts.select(F.col("id").alias("a"), F.struct("n", "form").alias("x")), texts.select(F.col("id").alias("b"), F.struct("n", "form").alias("y"))
         middle = trimmed(F.greatest("x", "y")["form"], F.least("x", "y")["form"])
         most = edits_of(F.greatest("x.n", "y.n"), edits)
         within = lambda s: F.when(most == edits, edit_distance(s["p"], s["t"], edits) <= edits).otherwise(F.call_function("levenshtein", s["p"], s["t"], most) >= 0)
-        near = _let(middle, within)
-        return store.saved(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"), "links")
-
-    pair = [F.greatest("node", "low").alias("a"), F.least("node", "low").alias("b")]
-    lows = shared.where("indexed").groupBy("key", "b").agg(F.min("node").alias("low"))
-    tried = store.saved(allowed(shared.join(lows, ["key", "b"]).where("node <> low").select(*pair).distinct()), "tried")
-    found = verified(tried)
-    of = components(found)
-
-    placed = shared.join(of, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    open_ = store.saved(placed.join(mixed, "key").join(texts.select("node", "s"), "node"), "open")
-    around = F.when(F.col("b") < 0, F.array("b")).otherwise(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1))
-    x, y = open_.where("indexed").alias("x"), open_.withColumn("b", F.explode(around)).alias("y")
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.b") == F.col("y.b")) & (F.col("x.c") != F.col("y.c")) & _allowed("x", "y", edits)
-    crossing = x.join(y, near).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    more = store.saved(crossing.join(tried, ["a", "b"], "left_anti"), "crossing")
-    if more.take(1):
-        of = components(found.unionByName(verified(more)))
-    return of
+        return store.saved(pairs.join(x, "a").join(y, "b").where(_let(middle, within)).select("a", "b"), "links")
+
+    pair = [F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")]
+    tried = found = joined = None
+    open_ = members.withColumn("c", F.col("id"))
+    for turn in range(TURNS):
+        # Each key has a pivot of its own, so a member that meets others in many keys is tried with many of them.
+        order = F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("order"), "id", "n", "s", "c")
+        pivots = open_.where("indexed").groupBy("key", "b").agg(F.min(order).alias("p")).select("key", F.col("b").alias("at"), "p.id", "p.n", "p.s", "p.c")
+        x, y = open_.select("key", _spread(F.col("b")).alias("at"), "id", "n", "s", "c").alias("x"), pivots.alias("y")
+        meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.c") != F.col("y.c")) & _allowed("x", "y", edits)
+        fresh = x.join(y, meet).select(*pair).distinct()
+        fresh = store.saved(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "tried")
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        new = verified(fresh)
+        found = new if found is None else found.unionByName(new)
+        joined = components(found)
+        placed = members.join(_bounded(joined.withColumnRenamed("node", "id")), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
+        open_ = store.saved(placed.join(mixed, "key"), "open")
+    # What is left of a key in several components, across them.
+    x, y = open_.where("indexed").alias("x"), open_.withColumn("at", _spread(F.col("b"))).alias("y")
+    once = (F.col("x.id") < F.col("y.id")) | ~F.col("y.indexed")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.b") == F.col("y.at")) & (F.col("x.c") != F.col("y.c")) & once & _allowed("x", "y", edits)
+    crossing = store.saved(x.join(y, meet).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
+    if crossing.take(1):
+        joined = components(found.unionByName(verified(crossing)))
+    return texts.select("id", "k1", "k2").join(joined.withColumnRenamed("node", "id"), "id").select("k1", "k2", "component")
+
+
+def _repeated(docs: DataFrame, edits: int, min_chars: int, copies_from: int) -> DataFrame:
+    """k1, k2, class_doc_id, class_line_no of the lines that have a copy or a link, saved."""
+    of = store.saved(forms(docs), "forms")
+    linked = store.saved(links(docs, of, edits, min_chars), "linked")
+    wanted = of.where(F.col("n") >= copies_from)
+    joined = wanted.join(_bounded(linked), ["k1", "k2"]).select("k1", "k2", "component", "first")
+    firsts = joined.groupBy("component").agg(F.min("first").alias("class"))
+    classed = joined.join(firsts, "component").select("k1", "k2", "class")
+    copies = wanted.where("size > 1").join(_bounded(linked), ["k1", "k2"], "left_anti").select("k1", "k2", F.col("first").alias("class"))
+    out = store.saved(classed.unionByName(copies).select("k1", "k2", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no")), "repeated")
+    store.drop(of, linked)
+    return out
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, copies_from: int = MIN_CHARS) -> DataFrame:
@@ -299,38 +370,34 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     share doc_id and line_no with the first of their class, in repeated rows, are all
     kept: they can't be told apart. Other columns are left out; an empty table gives no rows.
     """
-    of = store.saved(links(docs, edits, min_chars), "line-components")
-    each = lines(docs).select("doc_id", "line_no", "n", "k1", "k2")
-    named = each.join(_bounded(of.withColumnRenamed("node", "k1")), "k1", "left").select(
-        "doc_id",
-        "line_no",
-        F.when(F.col("n") >= copies_from, F.coalesce("component", "k1")).alias("c1"),
-        F.when(F.col("n") >= copies_from, F.when(F.col("component").isNull(), F.col("k2")).otherwise(0)).alias("c2"),
-    )
-    named = store.saved(named, "named")
-    groups = named.where("c1 IS NOT NULL").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
-    first = named.join(groups, ["c1", "c2"], "left")
-    alone = F.col("first").isNull()
-    return first.select(
+    repeated = _repeated(docs, edits, min_chars, copies_from).withColumn("classed", F.lit(True))
+    each = lines(docs).select("doc_id", "line_no", "k1", "k2").join(_bounded(repeated), ["k1", "k2"], "left")
+    alone = F.col("classed").isNull()
+    return each.select(
         "doc_id",
         "line_no",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_doc_id"),
-        F.when(alone, F.col("line_no")).otherwise(F.col("first.line_no")).alias("class_line_no"),
-        (alone | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no")))).alias("kept"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_doc_id")).alias("class_doc_id"),
+        F.when(alone, F.col("line_no")).otherwise(F.col("class_line_no")).alias("class_line_no"),
+        (alone | (F.col("class_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("class_line_no") == F.col("line_no")))).alias("kept"),
     )
 
 
 def without_repeated_lines(docs: DataFrame, copies_from: int = MIN_CHARS) -> DataFrame:
     """The rows of docs with every line that isn't kept taken out of text; n_chars follows, other columns stay.
 
-    A row without a doc_id keeps its text. A document may end up empty; its row stays.
+    A row without a doc_id keeps its text, and a null text stays null. A document may end
+    up empty; its row stays. Rows that share a doc_id lose the same line numbers. Columns
+    of any name may stand beside; an empty table gives no rows.
     """
-    gone = line_classes(docs, copies_from=copies_from).where("NOT kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone_lines"))
-    gone = store.saved(gone.withColumnRenamed("doc_id", "gone_id"), "gone-lines")
-    cut = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone_lines", i)), "\n")
-    joined = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left")
-    text = F.when(F.col("gone_lines").isNull(), docs["text"]).otherwise(cut)
-    out = joined.withColumn("text", text)
+    gone = line_classes(docs, copies_from=copies_from).where("NOT kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("line_no").alias("lines"))
+    name = store.free_name(docs)
+    gone = store.saved(gone.select(F.struct("doc_id", "lines").alias(name)), "gone-lines")
+    joined = docs.join(_bounded(gone), F.col("doc_id").cast("long") == F.col(f"{name}.doc_id"), "left")
+    all_lines = F.split(F.col("text").cast("string"), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(f"{name}.lines"))
+    cut = F.array_join(_let(all_lines, lambda x: F.transform(left, lambda i: F.get(x, i))), "\n")
+    touched = F.col(name).isNotNull() & F.col("text").isNotNull()
+    out = joined.withColumn("text", F.when(touched, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone_lines").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(touched, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)

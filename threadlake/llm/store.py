@@ -33,19 +33,31 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a path of fresh_path() that nothing reads any more."""
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(hadoop).delete(target, True)
-
-
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends here, and any executor may be lost."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of saved() that nothing reads any more, neither now nor in a result that is still to be worked out."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        target = jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        target.getFileSystem(hadoop).delete(target, True)
+
+
+def free_name(df: DataFrame) -> str:
+    """A column name that df doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, "threadlake"
+    while name in taken:
+        name += "_"
+    return name
 
 
 def partitions_of(spark: SparkSession) -> int:
