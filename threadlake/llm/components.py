@@ -2,7 +2,7 @@
 
 Every step is a group-by minimum and a join on the same key, so a hub with many
 links is pre-aggregated, and its join can be split where it is skewed. Each round
-is written to the shared folder; nothing but two numbers goes to the driver.
+is written to the shared folder; nothing but three numbers goes to the driver.
 """
 
 from __future__ import annotations
@@ -38,14 +38,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     edges = store.saved(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    while edges.take(1):
-        after = store.saved(_small_star(_large_star(edges)), "edges")
-        # The same pairs as before: equal in number, and none is new.
-        same = edges.count() == after.count() and not after.join(edges, ["u", "v"], "left_anti").take(1)
-        store.drop(edges)
-        edges = after
-        if same:
+    mark = None
+    while True:
+        # Two hashes of every pair, 128 bits in all, and their number: the same again only if the pairs are the same.
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", F.lit(1), "u"))).collect()[0])
+        if now == mark or not now[0]:
             break
+        before, mark = edges, now
+        edges = store.saved(_small_star(_large_star(edges)), "edges")
+        store.drop(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
     ).distinct()

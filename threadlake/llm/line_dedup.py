@@ -16,8 +16,9 @@ more than 2k chunks that are long enough, they may share none:
   by (its length, segment number, segment) and probes, for each length up to EDITS
   shorter than its own, the substrings at which a segment can stand (left and right
   shifts together stay within EDITS).
-* longer ones are cut again behind each of many characters. Those with too few chunks
-  even so, such as runs of one character, meet all such lines of about their length.
+* longer ones are cut again at every blank, and if that is too few, too, behind each of
+  many characters. Those with too few chunks even so, such as runs of one character,
+  meet all such lines of about their length.
 
 Pairs that meet are verified by banded edit distance, up to EDITS bit-parallel: a
 column of the band is a word of 2 EDITS + 2 bits, and a step is a few additions and shifts.
@@ -26,10 +27,10 @@ Copies of a line are one node, and of a line with very many copies only the firs
 indexed. A key's members are tried against a pivot, TURNS times, and each key draws its
 own: where many lines are near, most are linked to some pivot. Keys that then still hold
 several components are tried across them, so no link is missed. Before a pair becomes a row,
-a sketch of character counts must allow it: CLASSES classes of characters are counted,
-each count is a cyclic code that changes one bit a step, and an edit changes two counts
-by one at most, so sketches of lines within k edits differ in 2k bits at most. All of
-it is DataFrame functions.
+a sketch of character counts must allow it: characters are counted in 40 classes (frequent
+letters one by one, the rest by the low bits of their code points), each count is a cyclic
+code that changes one bit a step, and an edit changes two counts by one at most, so
+sketches of lines within k edits differ in 2k bits at most. All of it is DataFrame functions.
 
 Lines of fewer than MIN_CHARS characters, white space around them not counted,
 are too short for a fixed number of edits to mean likeness; no edits link them.
@@ -60,15 +61,17 @@ FINE_CHUNKS = "(?<=[ea|%13579" + "".join(f"\\u{x:04x}-\\u{y:04x}" for x, y in _S
 MIN_CHARS = 25
 #: For copies_from: exact copies of all lines but blank ones are one class.
 NOT_BLANK = 1
-#: Characters of the next chunk that a piece takes in.
-AHEAD = 6
-CLASSES = 16
+#: Characters of the next chunk that a piece takes in, and of the next word.
+AHEAD, WORD_AHEAD = 6, 4
+#: Characters that are counted one by one; those of the rest that agree in the low four bits of their code points are counted together.
+SINGLES = " abcdefghiklmnoprstuvwyA"
+SKETCH_LONGS = (len(SINGLES) + 16) // 8
 #: A line with more copies than this, and than one in HOT_LINES of all lines, is indexed by its first copy alone.
 LEAST_HOT, HOT_LINES = 8, 100_000
 #: So many times the members of a key are tried with one of them, before what is left is tried across components.
 TURNS = 2
-#: At most so many rows of a few numbers are broadcast.
-BROADCAST_ROWS = 500_000
+#: At most so many rows of a few numbers are broadcast, and of one number.
+BROADCAST_ROWS, BROADCAST_KEYS = 500_000, 2_000_000
 
 
 def _bounded(saved: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -182,16 +185,24 @@ def keys(line: str = "wide", length: str = "n", edits: int = EDITS) -> Column:
 
 
 def count_sketch(line: Column) -> Column:
-    """Two longs: for each class of characters, 8 bits whose pattern moves by one bit as the class's count grows by one."""
-    letters = "abcdefghijklmnop"[:CLASSES]
-    classed = F.array_join(F.transform(F.split(line, ""), lambda c: F.substring(F.lit(letters), F.pmod(F.xxhash64(c), F.lit(CLASSES)).cast("int") + 1, F.lit(1))), "")
-    count = lambda s: F.transform(F.array(*[F.lit(c) for c in letters]), lambda c: (F.octet_length(s) - F.octet_length(F.replace(s, c, F.lit("")))).cast("int") % 16)
-    counts = _let(classed, count)
+    """Five longs: for each class of characters, 8 bits whose pattern moves by one bit as the class's count grows by one."""
+    times = lambda s, c: (F.octet_length(s) - F.octet_length(F.replace(s, F.lit(c), F.lit("")))).cast("int")
+    rest = F.translate(line, SINGLES, "")
+    digits = F.regexp_replace(F.hex(F.encode(rest, "UTF-32")), ".......(.)", "$1")
     # The count k mod 16 as a cyclic code: k ones from below up to 8, then ones vanish from below.
     codes = F.array(*[F.lit((1 << k) - 1 if k <= 8 else 255 & ~((1 << (k - 8)) - 1)).cast("long") for k in range(16)])
-    coded = F.transform(counts, lambda k: F.get(codes, k))
-    pack = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 8).bitwiseOR(x))
-    return _let(coded, lambda x: F.struct(pack(F.slice(x, 1, 8)).alias("s1"), pack(F.slice(x, 9, 8)).alias("s2")))
+
+    def packed(counts: list[Column]) -> Column:
+        out = F.get(codes, counts[0] % 16)
+        for c in counts[1:]:
+            out = F.shiftleft(out, 8).bitwiseOR(F.get(codes, c % 16))
+        return out
+
+    def of(s: Column) -> Column:
+        counts = [times(s["line"], c) for c in SINGLES] + [times(s["digits"], c) for c in "0123456789ABCDEF"]
+        return F.struct(*[packed(counts[i * 8 : i * 8 + 8]).alias(f"s{i}") for i in range(SKETCH_LONGS)])
+
+    return _let(F.struct(line.alias("line"), digits.alias("digits")), of)
 
 
 def edits_of(n: Column, edits: int = EDITS) -> Column:
@@ -226,42 +237,40 @@ def chunk_keys(chunks: Column, most: Column, ahead: int = 0) -> Column:
     return _let(F.sort_array(F.transform(chunks, key)), first)
 
 
+#: The low bits of an entry.
+_CHUNK, _SEGMENT, _PROBE = 0, 1, 2
+
+
 def entries(form: str = "form", wide: str = "wide", length: str = "n", edits: int = EDITS) -> Column:
-    """All keys under which a line meets others, as an array of (key, b, indexed).
+    """All keys under which a line meets others, as an array of longs.
 
-    Members of a key meet if b differs by one at most and one of them is indexed. b is
-    near_length(), or -1 for a segment's key, which has the length in it.
+    The low two bits tell what an entry is. Lines that have a chunk's key meet if their
+    near_length() differs by one at most. The key of a segment has the length in it, and one of
+    the two lines is to have it as an index entry, not as a probe.
     """
     n = F.col(length)
     flat = CHARS_AN_EDIT * (edits + 1)
     # The most edits to a line that is longer: (n + k) div CHARS_AN_EDIT = k at the most.
     most = 2 * F.greatest(F.lit(edits), F.floor(n / (CHARS_AN_EDIT - 1)).cast("int")) + 1
-    entry = lambda key, b, indexed: F.struct(key.alias("key"), b.alias("b"), indexed.alias("indexed"))
-    none = F.array().cast("array<struct<key:bigint,b:int,indexed:boolean>>")
-
-    def met(keys: Column, salt: int, b: Column) -> Column:
-        return F.transform(keys, lambda k: entry(k.bitwiseXOR(F.lit(salt)), b, F.lit(True)))
-
-    def same_length(s: Column) -> Column:
-        return F.array(*[entry(F.xxhash64(F.lit("length"), s["b"] + d), F.lit(-1), F.lit(True)) for d in (0, 1)])
-
-    def fine(s: Column) -> Column:
-        cut = F.filter(F.split(form, FINE_CHUNKS), lambda c: c != "")
-        return _let(cut, lambda c: _let(chunk_keys(c, s["most"]), lambda f: F.concat(met(f["keys"], 1, s["b"]), F.when(f["few"], same_length(s)).otherwise(none))))
-
-    def all_of(s: Column) -> Column:
-        def with_pieces(f: Column) -> Column:
-            segments = F.transform(keys(wide, length, edits), lambda k, i: entry(k, F.lit(-1), i <= edits))
-            return F.concat(met(f["keys"], 0, s["b"]), F.when(f["few"] & (n < flat), segments).otherwise(none), F.when(f["few"] & (n >= flat - edits - 1), fine(s)).otherwise(none))
+    none = F.array().cast("array<bigint>")
+    marked = lambda key, bits: key.bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(bits))
+    salted = lambda keys, salt: F.transform(keys, lambda k: marked(k.bitwiseXOR(F.lit(salt)), _CHUNK))
+    segments = F.transform(keys(wide, length, edits), lambda k, i: marked(k, _PROBE) - F.when(i <= edits, _PROBE - _SEGMENT).otherwise(0))
+    same_length = F.array(*[marked(F.xxhash64(F.lit("length"), near_length(n, edits) + d), _SEGMENT) for d in (0, 1)])
 
-        return _let(chunk_keys(s["c"], s["most"], AHEAD), with_pieces)
+    def cut(chunks: Column, ahead: int, salt: int, further: Column) -> Column:
+        """The keys of the chunks, and those of `further` if they are too few."""
+        return _let(chunk_keys(chunks, most, ahead), lambda f: F.when(f["few"], F.concat(salted(f["keys"], salt), further)).otherwise(salted(f["keys"], salt)))
 
-    return _let(F.struct(F.split(form, CHUNKS).alias("c"), near_length(n, edits).alias("b"), most.alias("most")), all_of)
+    fine = _let(F.filter(F.split(form, FINE_CHUNKS), lambda c: c != ""), lambda c: cut(c, 0, 4, same_length))
+    words = _let(F.split(form, " "), lambda c: cut(c, WORD_AHEAD, 8, fine))
+    finer = F.concat(F.when(n < flat, segments).otherwise(none), F.when(n >= flat - edits - 1, words).otherwise(none))
+    return _let(F.split(form, CHUNKS), lambda c: cut(c, AHEAD, 0, finer))
 
 
 def _allowed(x: str, y: str, edits: int) -> Column:
     most = edits_of(F.greatest(f"{x}.n", f"{y}.n"), edits)
-    flips = F.bit_count(F.col(f"{x}.s.s1").bitwiseXOR(F.col(f"{y}.s.s1"))) + F.bit_count(F.col(f"{x}.s.s2").bitwiseXOR(F.col(f"{y}.s.s2")))
+    flips = sum((F.bit_count(F.col(f"{x}.s.s{i}").bitwiseXOR(F.col(f"{y}.s.s{i}"))) for i in range(SKETCH_LONGS)), F.lit(0))
     return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= most) & (flips <= 2 * most)
 
 
@@ -301,13 +310,15 @@ def links(docs: DataFrame, of: DataFrame, edits: int = EDITS, min_chars: int = M
     """k1, k2, component of the different lines that links join; components are numbers of no meaning. of is forms(docs), saved."""
     long = _indexed_lines(docs, of, min_chars)
     wide = F.when(F.col("n") < CHARS_AN_EDIT * (edits + 1), F.encode("form", "UTF-32")).alias("wide")
-    entry = long.select("k1", "n", "form", wide).select("k1", F.explode(entries(edits=edits)).alias("e")).select("k1", "e.key", "e.b", "e.indexed")
+    spread = long.select("k1", "n", "form", wide).select("k1", near_length(F.col("n"), edits).alias("b"), F.explode(entries(edits=edits)).alias("e"))
+    kind = F.col("e").bitwiseAND(F.lit(3))
+    entry = spread.select("k1", F.col("e").bitwiseAND(F.lit(-4)).alias("key"), F.when(kind == _CHUNK, F.col("b")).otherwise(-1).alias("b"), (kind != _PROBE).alias("indexed"))
     near = Window.partitionBy("key").orderBy("b").rangeBetween(-1, 1)
     met = entry.select("*", F.max("indexed").over(near).alias("found"), F.min("k1").over(near).alias("least"), F.max("k1").over(near).alias("most"))
     shared = store.saved(met.where("found AND least <> most").select("key", "k1", "b", "indexed").distinct(), "shared")
     nodes = store.saved(shared.select("k1").distinct(), "nodes")
     # Lines that differ may have k1 in common, so a node is a number for (k1, k2) from here on.
-    text = long.select("k1", "k2", "form", "n").join(_bounded(nodes), "k1").groupBy("k1", "k2").agg(F.min(F.struct("form", "n")).alias("t"))
+    text = long.select("k1", "k2", "form", "n").join(_bounded(nodes, BROADCAST_KEYS), "k1").groupBy("k1", "k2").agg(F.min(F.struct("form", "n")).alias("t"))
     texts = store.saved(text.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "t.form", "t.n", count_sketch(F.col("t.form")).alias("s")), "texts")
     members = store.saved(shared.join(_bounded(texts.select("k1", "id", "n", "s")), "k1").drop("k1"), "members")
     store.drop(shared, nodes)
@@ -320,7 +331,7 @@ def links(docs: DataFrame, of: DataFrame, edits: int = EDITS, min_chars: int = M
         return store.saved(pairs.join(x, "a").join(y, "b").where(_let(middle, within)).select("a", "b"), "links")
 
     pair = [F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")]
-    tried = found = joined = None
+    tried = joined = None
     open_ = members.withColumn("c", F.col("id"))
     for turn in range(TURNS):
         # Each key has a pivot of its own, so a member that meets others in many keys is tried with many of them.
@@ -332,8 +343,7 @@ def links(docs: DataFrame, of: DataFrame, edits: int = EDITS, min_chars: int = M
         fresh = store.saved(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "tried")
         tried = fresh if tried is None else tried.unionByName(fresh)
         new = verified(fresh)
-        found = new if found is None else found.unionByName(new)
-        joined = components(found)
+        joined = components(new if joined is None else joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
         placed = members.join(_bounded(joined.withColumnRenamed("node", "id")), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
         open_ = store.saved(placed.join(mixed, "key"), "open")
@@ -343,7 +353,7 @@ def links(docs: DataFrame, of: DataFrame, edits: int = EDITS, min_chars: int = M
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.b") == F.col("y.at")) & (F.col("x.c") != F.col("y.c")) & once & _allowed("x", "y", edits)
     crossing = store.saved(x.join(y, meet).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
     if crossing.take(1):
-        joined = components(found.unionByName(verified(crossing)))
+        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(crossing)))
     return texts.select("id", "k1", "k2").join(joined.withColumnRenamed("node", "id"), "id").select("k1", "k2", "component")
 
 
