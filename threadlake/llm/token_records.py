@@ -4,15 +4,16 @@ A file is a run of frames, in ascending order of document id:
 
     8 bytes  length of the payload, unsigned, little-endian
     4 bytes  masked checksum of those 8 bytes
-    payload  document id (8 bytes, signed), then the ids (2 bytes each where the
-             vocabulary has at most 65,536 ids, else 4), little-endian
+    payload  document id (8 bytes, signed), how many bytes an id takes (1 byte: 2 where
+             the vocabulary has at most 65,536 ids, else 4), then the ids; little-endian
     4 bytes  masked checksum of the payload
     1 byte   a line feed, which Spark's writer puts after every row
 
 The checksum is CRC-32, rotated right by 15 bits plus a constant, so that a
 checksum stored among data isn't itself checked as data. An offset index beside
 the files holds (file, row, doc_id, offset, length) for every frame: a reader
-that shuffles picks rows of the index and seeks. Spark's own text writer writes
+that shuffles picks rows of the index (fetch). The number of files follows the
+bytes of text, so that a file is about FILE_BYTES of text. Spark's own text writer writes
 the frames, so commits are atomic on any file system and a lost executor's work
 is simply done again; the driver never holds ids.
 """
@@ -37,6 +38,8 @@ MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _TAIL = struct.Struct("<I")
 END_ID = 0
+#: Text that goes into a file, about; its ids take half of that or so.
+FILE_BYTES = 64 << 20
 #: The files' totals are broadcast up to so many files.
 BROADCAST_FILES = 100_000
 
@@ -52,6 +55,13 @@ def frame(payload: bytes) -> bytes:
     return n + _TAIL.pack(masked_crc(n)) + payload + _TAIL.pack(masked_crc(payload))
 
 
+def ids_of(payload: memoryview) -> np.ndarray:
+    """The ids of a payload, by the width that it names."""
+    if payload[8] not in (2, 4):
+        raise ValueError(f"ids can't take {payload[8]} bytes")
+    return np.frombuffer(payload[9:], dtype=f"<u{payload[8]}")
+
+
 def frames(data: bytes | memoryview) -> Iterator[tuple[int, int, memoryview]]:
     """(offset, length with the line feed, payload) of each frame of a file; a damaged file raises ValueError."""
     view, at = memoryview(data), 0
@@ -71,11 +81,12 @@ def frames(data: bytes | memoryview) -> Iterator[tuple[int, int, memoryview]]:
 
 
 class Encoder:
-    """The tokenizers library's ids of whole texts; it is asked once for each distinct piece while the table holds it.
+    """The tokenizers library's ids of whole texts; its model is asked once for each distinct piece while the table holds it.
 
     The file's byte-level pre-tokenizer cuts a text into pieces that are encoded
-    each by itself, so a text's ids are its pieces' ids end to end. The pieces are
-    cut here for a whole batch at once. A text with a special token goes to the
+    each by itself, so a text's ids are its pieces' ids end to end. That cutting is
+    done here, for a whole batch at once, not by the library; the tests compare the
+    ids with those of the library's encode. A text with a special token goes to the
     library whole.
     """
 
@@ -152,35 +163,40 @@ def write(docs: DataFrame, tokenizer_path: str, to: str, end_id: int = END_ID, p
 
     docs has doc_id and text; other columns are left out. A null text counts as
     empty; a null doc_id raises, as a record needs one. Rows with equal doc_id stay
-    side by side. An empty table gives an index without rows.
+    side by side, ordered by a hash of their text, and may go on in the next file.
+    An empty table gives an index without rows.
     """
     spark = docs.sparkSession
-    parts = parts or max(store.partitions_of(spark), 1)
+    rows = docs.select(F.expr("coalesce(cast(doc_id as long), raise_error('a record needs a doc_id'))").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).collect()[0][0] or 0
+        parts = max(store.partitions_of(spark), -(-size // FILE_BYTES), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
-        for batch in batches:
+        end, width = np.array([end_id], dtype=enc.dtype).tobytes(), bytes([enc.dtype.itemsize])
+        for batch in W.slices(batches):
             ids = zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()))
-            rows = [frame(i.to_bytes(8, "little", signed=True) + x.tobytes() + end) for i, x in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["frame"])
-
-    ordered = (
-        docs.select(F.expr("coalesce(cast(doc_id as long), raise_error('a record needs a doc_id'))").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(parts, "doc_id")
-        .sortWithinPartitions("doc_id")
-    )
+            made = [frame(i.to_bytes(8, "little", signed=True) + width + x.tobytes() + end) for i, x in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["frame"])
+
+    tie = F.xxhash64("text").alias("tie")
+    ordered = rows.select("doc_id", "text", tie).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(f"{to}/data")
     read(spark, to, index_only=True).write.parquet(f"{to}/index")
 
 
-def read(spark: SparkSession, path: str, index_only: bool = False, dtype: str = "<u2") -> DataFrame:
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """file, content; a file is one row, whose size FILE_BYTES bounds."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data")
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+
+
+def read(spark: SparkSession, path: str, index_only: bool = False) -> DataFrame:
     """Every record of the files: file, row, doc_id, offset, length, n_tokens, ids_crc32 (over 4-byte ids).
 
-    A file is read whole by one task; the writer's number of parts bounds its size.
-    A frame whose checksum fails stops the read.
+    A file is read whole by one task. A frame whose checksum fails stops the read.
     """
-    kind = np.dtype(dtype)
     columns = ["file", "row", "doc_id", "offset", "length", "n_tokens", "ids_crc32"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
@@ -189,18 +205,35 @@ def read(spark: SparkSession, path: str, index_only: bool = False, dtype: str =
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 out = []
                 for row, (offset, length, body) in enumerate(frames(content.as_buffer())):
-                    ids = np.frombuffer(body[8:], dtype=kind)
+                    ids = ids_of(body)
                     crc = 0 if index_only else zlib.crc32(ids.astype("<u4").tobytes())
                     out.append((name, row, int.from_bytes(body[:8], "little", signed=True), offset, length, len(ids), crc))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=columns)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data")
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    out = named.mapInArrow(run, "file string, row long, doc_id long, offset long, length long, n_tokens long, ids_crc32 long")
+    out = _files(spark, path).mapInArrow(run, "file string, row long, doc_id long, offset long, length long, n_tokens long, ids_crc32 long")
     return out.drop("ids_crc32") if index_only else out
 
 
+def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """doc_id and ids of the rows of the index that wanted holds (file, offset, length), in no order; other columns are left out.
+
+    Only the files that hold one are opened, and in them only the frames asked for are read and
+    checked. A row that stands twice in wanted gives its record twice; an empty table gives none.
+    """
+    places = wanted.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("places"))  # no more than a file's records
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, at in zip(batch.column(0), batch.column(1).to_pylist()):
+                view = memoryview(content.as_buffer())
+                found = [next(frames(view[p["offset"] : p["offset"] + p["length"]]))[2] for p in at]
+                keys = pa.array([int.from_bytes(x[:8], "little", signed=True) for x in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([keys, pa.array([ids_of(x).tolist() for x in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return _files(spark, path).join(places, "file").select("content", "places").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def placed(spark: SparkSession, path: str) -> DataFrame:
     """read() with start: the number of ids in all documents before it, over all files in order.
 
