@@ -36,6 +36,9 @@ for _name, _chars in (
 ):
     _CLASS[list(_chars)] = _NAMES.index(_name)
 N_FEATURES = 19
+#: Shares that are usual in prose. Every text is counted as if so many characters and words of such prose stood beside it, so that a text of a few words is judged by little.
+USUAL = {"upper": 0.02, "digit": 0.003, "stop": 0.02, "mark": 0.002, "bar": 0.002, "shout": 0.002, "high": 0.02, "other": 0.003, "lower": 0.78, "short": 0.4, "wide": 0.1, "repeated": 0.3, "lines": 0.05}
+USUAL_CHARS, USUAL_WORDS = 500.0, 100.0
 
 
 def features(texts: list[str | None]) -> np.ndarray:
@@ -72,15 +75,17 @@ def features(texts: list[str | None]) -> np.ndarray:
         line_owner = doc[line_starts[full]] if full.any() else np.zeros(0, np.int64)
         lines = np.bincount(line_owner, minlength=n_docs).astype(float)
         line_distinct = _distinct(line_owner, W.slice_hashes(data, line_starts[full], line_ends[full]), n_docs)
-        share = lambda x, of: np.log((x + 0.2) / (of + 20.0))
+        share = lambda x, of, usual, weight: np.log((x + weight * usual) / (of + weight))
+        of_chars = lambda kind: share(tally[:, _NAMES.index(kind)], size, USUAL[kind], USUAL_CHARS)
+        of_words = lambda x, kind: share(x, words, USUAL[kind], USUAL_WORDS)
         mean = letters / np.maximum(words, 1)
         out.append(
             np.column_stack(
                 [
                     np.log1p(size), np.log1p(words), np.log1p(mean), np.log1p(np.maximum(squares / np.maximum(words, 1) - mean**2, 0)),
-                    *(share(tally[:, _NAMES.index(k)], size) for k in ("upper", "digit", "stop", "mark", "bar", "shout", "high", "other")),
-                    share(short, words), share(wide, words), share(words - distinct, words), np.log1p(lines),
-                    share(lines, words), np.log((lines - line_distinct + 0.1) / (lines + 1.0)), share(tally[:, _NAMES.index("lower")], size),
+                    *(of_chars(k) for k in ("upper", "digit", "stop", "mark", "bar", "shout", "high", "other")),
+                    of_words(short, "short"), of_words(wide, "wide"), of_words(words - distinct, "repeated"), np.log1p(lines),
+                    of_words(lines, "lines"), np.log((lines - line_distinct + 0.1) / (lines + 1.0)), of_chars("lower"),
                 ]
             )
         )
@@ -147,8 +152,9 @@ def discriminant(moments: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> Disc
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Discriminant:
     """Learns from labelled documents that aren't held out; only doc_id, text and quality are read.
 
-    Labels that are null or neither 0 nor 1 are left out. Moments are summed where
-    the texts are; one small row per task goes to the driver.
+    Labels that are null or neither 0 nor 1 are left out; a label that stands twice, or a document
+    that does, counts twice. Other columns of any name may stand beside. Moments are summed where
+    the texts are; one small row per task goes to the driver. From an empty table every score is a half.
     """
     sample = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -195,7 +201,10 @@ def score(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) ->
 
 
 def accepted(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score at least the threshold, with all their columns."""
+    """The rows of docs that score at least the threshold, with all their columns.
+
+    Null and empty texts are scored like any other, repeated rows alike; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches):
