@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions import columns as C
-from threadlake.operators import entries, filters, ingest, lineage, listing, maintenance, scope, search, transcript
+from threadlake.operators import doctor, entries, filters, ingest, lineage, listing, maintenance, scope, search, transcript
 from threadlake.operators.library import Library
 from threadlake.plans.requests import ConversationFilter, EntryFilter
 from threadlake.sources import tables
@@ -85,7 +85,7 @@ def entry_preview(lib: Library) -> DataFrame:
 
 
 def entry_bodies(lib: Library) -> DataFrame:
-    return entries.bodies(entries.selected(lib, EntryFilter(source="conversation")), lib).select(*KEY, "body")
+    return entries.bodies(entries.selected(lib), lib).select(*KEY, "body")
 
 
 def content_intern(lib: Library) -> DataFrame:
@@ -99,7 +99,7 @@ def content_orphans(lib: Library) -> DataFrame:
 
 
 def content_recurrence(lib: Library) -> DataFrame:
-    used = lib["occurrences"].groupBy("digest").agg(F.count("*").alias("occurrences"), F.count_distinct(F.struct(*C.ID)).alias("conversations"))
+    used = lib["occurrences"].where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("occurrences"), F.count_distinct(F.struct(*C.ID)).alias("conversations"))
     return used.where("occurrences > 1")
 
 
@@ -129,10 +129,14 @@ def search_matched_terms(lib: Library) -> DataFrame:
 
 
 def search_best_segment(lib: Library) -> DataFrame:
-    found = search.hits(search.matching(lib, ALL, EntryFilter(source="conversation")), ALL)
+    found = search.hits(search.matching(lib, ALL, mode="any"), ALL, "any")
     return found.select(*KEY, "segment_ordinal", "additional_segments", F.round("score", 6).alias("score"))
 
 
+def search_origin(lib: Library) -> DataFrame:
+    return search.matching(lib, ALL, EntryFilter(origin="human"), "any").select(*KEY, "segment_ordinal", "digest")
+
+
 def search_topk(lib: Library) -> DataFrame:
     return search.page(lib, ALL, EntryFilter(source="document"), limit=20).select(*KEY, F.round("score", 6).alias("score"))
 
@@ -142,8 +146,52 @@ def context_adjacent(lib: Library) -> DataFrame:
 
 
 def context_linked(lib: Library) -> DataFrame:
-    return entries.linked(entries.selected(lib, EntryFilter(source="event")), lib, 1)
+    """Partners beyond the neighbours, five of each entry at most: calls of every tenth user have more."""
+    return entries.linked(entries.selected(lib, EntryFilter(source="event")), lib, 1, most=5)
+
+
+def context_bodies(lib: Library) -> DataFrame:
+    """Bodies as they stand in contexts, of events (plain ASCII), cut at 40 bytes."""
+    whole = entries.bodies(entries.selected(lib, EntryFilter(source="event")), lib)
+    return whole.select(*KEY, C.truncated_utf8(F.col("body"), 40).alias("body")).where("body IS NOT NULL")
+
+
+def entries_keyset_page(lib: Library) -> DataFrame:
+    anchor = ("event", "testdata", "12", 7)
+    return entries.page(lib, EntryFilter(source="event"), "all", 40, anchor).select(*KEY, "entry_kind")
+
+
+def canonical_timestamps(lib: Library) -> DataFrame:
+    """Every event's time as it is, with another zone, without milliseconds, and in month 13."""
+    t = F.col("timestamp")
+    forms = {"good": t, "zone": F.replace(t, F.lit("Z"), F.lit("+00:00")), "short": F.concat(F.left(t, F.lit(19)), F.lit("Z")), "broken": F.concat(F.left(t, F.lit(5)), F.lit("13"), F.substring(t, 8, 30))}
+    stamped = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("stamp")) for k, v in forms.items()])).alias("x")
+    each = lib["entries"].where("source_kind = 'event'").select(*KEY, stamped)
+    return each.select(*KEY, F.col("x.form").alias("form"), C.is_canonical_timestamp(F.col("x.stamp")).alias("canonical"))
+
 
+def segment_metadata(lib: Library) -> DataFrame:
+    kept = lib["occurrences"].where("metadata IS NOT NULL")
+    return kept.select(*KEY, "segment_ordinal", F.explode("metadata").alias("name", "value"))
+
+
+def foreign_keys(lib: Library) -> DataFrame:
+    """The check on a library that lacks the documents of some users and some texts: entries, relations and contents are without their parents."""
+    holes = lib.with_tables(documents=lib["documents"].where("NOT (source_kind = 'event' AND CAST(native_id AS BIGINT) % 8 = 1)"), contents=lib["contents"].where("digest >= '1'"))
+    return doctor.foreign_keys(holes)
+
+
+def vocabulary_diff(lib: Library) -> DataFrame:
+    """An index that lacks the texts of half of the digests, against the whole one: the terms that it counts otherwise."""
+    return search.vocabulary_difference(search.postings(lib["contents"]), search.postings(lib["contents"].where("digest < '8'")))
+
+
+def run_report(lib: Library) -> DataFrame:
+    """Every event as a run of a source for each type, views as failed ones: the latest of each."""
+    runs = lib["entries"].where("source_kind = 'event'").select(
+        (F.col("native_id").cast("long") * 1_000_000 + F.col("ordinal")).alias("run_id"), F.lit("event").alias("source_kind"), F.col("entry_kind").alias("instance_id"), F.when(F.col("entry_kind") == "view", "failed").otherwise("completed").alias("status")
+    )
+    return ingest.report(lib.with_tables(runs=runs)).select("instance_id", "run_id", "complete")
 
 def lineage_roots(lib: Library) -> DataFrame:
     return _flat_root(lineage.roots(lib))
@@ -202,10 +250,10 @@ def transcript_window(lib: Library) -> DataFrame:
 
 
 def transcript_budget(lib: Library) -> DataFrame:
-    """Conversations' texts under a budget that cuts many of them."""
-    texts = lib["occurrences"].where("source_kind = 'conversation'").join(lib["contents"], "digest").select(*KEY, F.translate("text", "éèêçñáíóúüöäßÉÈÊÇÑÁÍÓÚÜÖÄ", "").alias("text"))
-    shown = transcript.budgeted(texts, C.ID, ["ordinal"], per_text=300, total=1000)
-    return shown.select(*KEY, F.col("emitted").cast("long").alias("emitted"), "truncated")
+    """All conversations' texts under a budget that cuts many of them, also within a letter of several bytes."""
+    texts = lib["occurrences"].join(lib["contents"], "digest", "left").select(*KEY, "segment_ordinal", "text")
+    shown = transcript.budgeted(texts, C.ID, ["ordinal", "segment_ordinal"], per_text=300, total=1000)
+    return shown.select(*KEY, "segment_ordinal", F.col("emitted").cast("long").alias("emitted"), "truncated")
 
 
 def sha256_text(lib: Library) -> DataFrame:
@@ -227,7 +275,8 @@ def metadata_filters(lib: Library) -> DataFrame:
 _QUERIES = (
     list_conversations, list_by_workspace_state, list_activity_bounds, list_keyset_page, capture_scope, coverage_counts, freshness, document_metrics, manifest,
     entries_all, entries_first, entries_last, entries_origin, entry_counts, entry_preview, entry_bodies, content_intern, content_orphans, content_recurrence,
-    search_all, search_any, search_phrase, search_support, search_matched_terms, search_best_segment, search_topk, context_adjacent, context_linked,
+    search_all, search_any, search_phrase, search_support, search_matched_terms, search_best_segment, search_origin, search_topk, context_adjacent, context_linked, context_bodies,
+    entries_keyset_page, canonical_timestamps, segment_metadata, foreign_keys, vocabulary_diff, run_report,
     lineage_roots, lineage_support, changed_detect, missing_reconcile, run_retention, projection_diff, adjacent_collapse, tool_link, transcript_window,
     transcript_budget, sha256_text, identity_codec, metadata_filters,
 )
