@@ -3,7 +3,7 @@ import json
 import pytest
 
 from threadlake.functions import columns as C
-from threadlake.operators import doctor, ingest, maintenance, output, transcript
+from threadlake.operators import doctor, ingest, maintenance, output, search, transcript
 from threadlake.operators.library import SCHEMAS, Store
 from threadlake.operators.service import Engine, Writer
 from threadlake.plans.requests import ListRequest, ManifestRequest, OperationError, SearchRequest, TranscriptRequest
@@ -35,8 +35,8 @@ def candidates(spark, revisions):
 
 def index(spark, path, conversations, revisions, at, failure=None):
     heads = spark.createDataFrame([], SCHEMAS["documents"]).select(*C.ID, "title", "workspace", "created_at", "updated_at")
-    read, failures = normal.snapshot(normal.read_documents(records(spark, conversations), rollout.normalise), heads, "rollout:")
-    return Writer(spark, path).index("codex", "home", candidates(spark, revisions) if revisions is not None else None, read, failures, at, at, failure)
+    read = normal.read_documents(records(spark, conversations), rollout.normalise)
+    return Writer(spark, path).index_read("codex", "home", candidates(spark, revisions) if revisions is not None else None, read, heads, "rollout:", at, at, failure=failure)
 
 
 def states(spark, path):
@@ -67,7 +67,7 @@ def test_incremental_runs(spark, tmp_path):
     assert {r.text for r in lib["contents"].collect()} == {"hello", "more", "new", "again", "ok"}
     assert {k: n for k, n in Engine(lib).doctor().items() if n} == {}
     scope = Engine(lib).list(ListRequest())["capture_scope"]
-    assert scope["status"] == "complete" and scope["tracked"] == 4 and scope["retained_missing"] == 1
+    assert scope["status"] == "complete" and scope["tracked"] == 4 and scope["source_missing"] == 1
 
     engine = Engine.open(spark, path)
     shown = engine.show(TranscriptRequest(("codex", "home", "b"), full=True))
@@ -77,6 +77,9 @@ def test_incremental_runs(spark, tmp_path):
     with pytest.raises(OperationError, match="another revision"):
         engine.show(TranscriptRequest(("codex", "home", "b"), expected_digest="0" * 64))
     revisions = engine.manifest(ManifestRequest())["revisions"]
+    digest = {r["native_id"]: r["document_digest"] for r in revisions}["b"]
+    assert len(digest) == 64 and engine.show(TranscriptRequest(("codex", "home", "b"), full=True, expected_digest=digest))["document_digest"] == digest
+    assert {k: n for k, n in engine.doctor(full=True).items() if n} == {}
     assert [r["native_id"] for r in revisions] == ["a", "b", "bad", "c"]
     for command, result in (("show", shown), ("manifest", engine.manifest()), ("search", engine.search(SearchRequest("again"))), ("list", engine.list())):
         assert json.loads(output.to_json(command, result))["disposition"] == "untrusted-history"
@@ -93,9 +96,11 @@ def test_incremental_runs(spark, tmp_path):
         writer.forget(("codex", "home", "b"))
     before = writer.paths()["generation"]
     assert writer.compact() == before and Engine.open(spark, path).library.generation == before + 1
+    assert {k: n for k, n in Engine.open(spark, path).doctor(full=True).items() if n} == {}
     writer.store.lock()
     with pytest.raises(OperationError, match="another writer"):
-        writer.repair_orphans()
+        Writer(spark, path).repair_orphans()
+    assert writer.paths()["lock"] == "held"
     writer.store.unlock()
     with pytest.raises(ValueError):
         writer.clear()
@@ -103,6 +108,88 @@ def test_incremental_runs(spark, tmp_path):
     assert Store(spark, path).open() is None
 
 
+def parts(path):
+    """How many parts each table has, by the newest manifest."""
+    newest = sorted(path.glob("manifest-*.json"))[-1]
+    return {n: len(p) for n, p in json.loads(newest.read_text())["parts"].items()}
+
+
+def test_commits_write_what_changed(spark, tmp_path):
+    """An unchanged run adds no body; changed conversations add parts; a merge leaves one; the index follows all the while."""
+    path = str(tmp_path / "lib")
+    three = {"a": [said("alpha shared")], "b": [said("beta shared")], "c": [said("gamma")]}
+    index(spark, path, three, dict.fromkeys(three, "1"), T[0])
+    first = parts(tmp_path / "lib")
+    size = lambda: sum(f.stat().st_size for n in ("entries", "contents", "postings") for f in (tmp_path / "lib").rglob(f"{n}/*.parquet"))
+    before = size()
+    index(spark, path, three, dict.fromkeys(three, "1"), T[1])
+    assert size() == before and parts(tmp_path / "lib") == first
+    index(spark, path, three | {"a": [said("alpha changed")], "c": [said("shared once more")]}, {"a": "2", "b": "1", "c": "2"}, T[2])
+    now = parts(tmp_path / "lib")
+    assert now["entries"] == first["entries"] + 1 and now["tracking"] == 1
+    engine = Engine.open(spark, path)
+    assert {r.text for r in engine.library["contents"].collect()} == {"alpha changed", "beta shared", "shared once more"}
+    assert {h["native_id"] for h in engine.search(SearchRequest("shared"))["hits"]} == {"b", "c"} and not engine.search(SearchRequest("gamma"))["hits"]
+    assert {k: n for k, n in engine.doctor(full=True).items() if n} == {}
+    # A text that comes back after it was dropped is there again.
+    index(spark, path, three | {"c": [said("gamma")]}, {"a": "2", "b": "1", "c": "3"}, T[3])
+    engine = Engine.open(spark, path)
+    assert [h["native_id"] for h in engine.search(SearchRequest("gamma"))["hits"]] == ["c"] and {k: n for k, n in engine.doctor(full=True).items() if n} == {}
+
+
+def test_a_query_reads_only_its_own_terms(spark, tmp_path):
+    path = str(tmp_path / "lib")
+    lib = index(spark, path, {"a": [said("alpha beta")]}, {"a": "1"}, T[0])
+    plan = search.phrase_counts(search.index(lib), [["alpha"]])._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term, [alpha])" in plan or "EqualTo(term,alpha)" in plan
+
+
+@pytest.mark.parametrize("step", ["_write", "_rename"])
+def test_a_crash_leaves_the_old_generation(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "lib")
+    index(spark, path, {"a": [said("one")]}, {"a": "1"}, T[0])
+    before = Store(spark, path).manifest()
+    writer, real = Writer(spark, path), getattr(Store, step)
+
+    def crash(self, name, *more):
+        if name.startswith("manifest-"):
+            raise RuntimeError("lost")
+        return real(self, name, *more)
+
+    monkeypatch.setattr(Store, step, crash)
+    with pytest.raises(RuntimeError):
+        writer.forget(("codex", "home", "a"))
+    monkeypatch.undo()
+    assert Store(spark, path).manifest() == before and set(states(spark, path)) == {"a"}
+    writer.forget(("codex", "home", "a"))
+    assert states(spark, path) == {} and Store(spark, path).manifest()["library_id"] == before["library_id"]
+
+
+def test_locks_pins_and_interrupted_runs(spark, tmp_path):
+    path = str(tmp_path / "lib")
+    index(spark, path, {"a": [said("one")]}, {"a": "1"}, T[0])
+    lost, writer = Store(spark, path), Writer(spark, path)
+    # A writer that entered its run and was lost: its lock runs out and the next run ends it.
+    lost.lock(seconds=-1)
+    lost.commit(ingest.begun(lost.open(), "codex", "home", T[1]))
+    assert writer.paths()["lock"] == "expired" and doctor.run_states(lost.open()).collect()[0].active == 1
+    writer.store.lock()
+    with pytest.raises(OperationError, match="taken over"):
+        lost.commit(lost.open())
+    lost.unlock()
+    assert writer.paths()["lock"] == "held"
+    writer.store.unlock()
+    index(spark, path, {"a": [said("one")]}, {"a": "1"}, T[2])
+    found = doctor.run_states(Store(spark, path).open()).collect()[0]
+    assert (found.active, found.interrupted, found.completed) == (0, 1, 2)
+    engine = Engine.open(spark, path, pin_seconds=600)
+    writer.compact()
+    assert len(engine.list()["conversations"]) == 1
+    for name in [n for n in writer.store._names() if n.startswith("pin-")]:
+        writer.store.unpin(name)
+    assert writer.compact() == 2
+
+
 def test_doctor_finds_what_is_broken(spark, tmp_path):
     path = str(tmp_path / "lib")
     lib = index(spark, path, {"a": [said("hello"), said("x")]}, {"a": "1"}, T[0])

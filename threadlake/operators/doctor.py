@@ -65,20 +65,48 @@ def digests(library: Library) -> DataFrame:
 
 
 def runs(library: Library) -> DataFrame:
-    """Runs whose counts don't agree with each other or with their items."""
+    """Runs whose counts don't agree with each other or with their items, or whose times don't fit their status."""
     items = library["run_items"].groupBy("run_id").agg(F.count("*").alias("items"))
     r = library["runs"].join(items, "run_id", "left").fillna(0, ["items"])
     bad = (F.col("discovered") != F.col("unchanged") + F.col("indexed") + F.col("failed")) | (F.col("stale") > F.col("failed")) | (F.col("failed") + F.col("missing") != F.col("items") + F.col("omitted_items"))
-    return r.where((F.col("status") == "completed") & bad).select("run_id")
+    open_ = F.col("status") == "active"
+    return r.where(((F.col("status") == "completed") & bad) | (open_ != F.col("finished_at").isNull()) | (~open_ & (F.col("finished_at") < F.col("started_at")))).select("run_id")
+
+
+def run_states(library: Library) -> DataFrame:
+    """One row: how many runs are active, interrupted, failed and completed."""
+    states = ("active", "interrupted", "failed", "completed")
+    return library["runs"].agg(*[F.count_if(F.col("status") == s).alias(s) for s in states])
 
 
 def failure_codes(library: Library) -> DataFrame:
     return library["tracking"].where(F.col("latest_failure").isNotNull() & ~F.col("latest_failure").isin(*FAILURES)).select(*C.ID, "latest_failure")
 
 
-def text_index(library: Library, stored: DataFrame) -> DataFrame:
+def text_index(library: Library, stored: DataFrame | None = None) -> DataFrame:
     """Where stored postings and those of the contents differ (term, digest, positions, side)."""
-    return maintenance.difference(search.postings(library["contents"]), stored)
+    made = search.postings(library["contents"])
+    kept = library.stored("postings") if stored is None else stored
+    return maintenance.difference(made, made if kept is None else kept)
+
+
+def vocabulary(library: Library) -> DataFrame:
+    """Terms of which the stored index counts other texts or instances than the contents have."""
+    made, kept = search.postings(library["contents"]), library.stored("postings")
+    return search.vocabulary_difference(made, made if kept is None else kept)
+
+
+def index_coverage(library: Library) -> DataFrame:
+    """Contents whose length isn't stored, and stored lengths without a content or with another number of tokens: digest, side."""
+    made, kept = search.lengths(library["contents"]), library.stored("lengths")
+    return maintenance.difference(made, made if kept is None else kept).select("digest", "side")
+
+
+def metrics(library: Library) -> DataFrame:
+    """Documents whose stored metrics aren't those of their rows, or that refer to a text that isn't there."""
+    made, kept = listing.computed_metrics(library), library.stored("metrics")
+    broken = made.where("text_bytes < 0").select(*C.ID)
+    return broken if kept is None else broken.unionByName(maintenance.difference(made, kept.select(made.columns)).select(*C.ID)).distinct()
 
 
 CHECKS: dict[str, Callable[[Library], DataFrame]] = {
@@ -86,15 +114,15 @@ CHECKS: dict[str, Callable[[Library], DataFrame]] = {
     "documents": documents,
     "contents": contents,
     "orphans": maintenance.orphans,
-    "metrics": lambda library: listing.metrics(library).where("text_bytes < 0"),
+    "metrics": metrics,
     "runs": runs,
     "failure-codes": failure_codes,
 }
 
 
 def diagnose(library: Library, full: bool = False) -> DataFrame:
-    """check, broken: the number of rows that break each check's rule; full also recomputes every document's digest."""
-    checks = CHECKS | ({"digests": digests} if full else {})
+    """check, broken: the number of rows that break each check's rule; full also recomputes every document's digest and the text index."""
+    checks = CHECKS | ({"digests": digests, "text-index": text_index, "vocabulary": vocabulary, "index-coverage": index_coverage} if full else {})
     out = None
     for name, check in checks.items():
         one = check(library).agg(F.count("*").alias("broken")).select(F.lit(name).alias("check"), "broken")

@@ -3,19 +3,21 @@
 A run over one source takes the discovered candidates (identity and revision),
 the documents read of the changed ones and the failures. Every step is a join on
 the identity, so a run over millions of conversations is a few shuffles; nothing
-is updated in place, the result is the next generation's tables.
+is updated in place. The result is the next generation's tables and, as a delta, what
+of them is new: an unchanged conversation's rows are neither read nor written.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadlake.functions import columns as C
-from threadlake.operators.library import SCHEMAS, Library
+from threadlake.operators import transcript
+from threadlake.operators.library import SCHEMAS, Delta, Library
 from threadlake.plans.requests import OperationError
 
 REVISION = ["scheme", "digest", "adapter"]
@@ -67,6 +69,31 @@ def referenced(library: Library) -> DataFrame:
     return library["contents"].join(used, "digest", "left_semi").select("digest", "text")
 
 
+def unreferenced(digests: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Those of the digests that no occurrence refers to."""
+    return digests.where("digest IS NOT NULL").select("digest").distinct().join(occurrences.where("digest IS NOT NULL").select("digest"), "digest", "left_anti")
+
+
+def begun(library: Library, kind: str, instance: str, at: str) -> Library:
+    """The library with an active run of the source, whose coverage is unknown until it ends.
+
+    The writer's lock is held, so any other run that still counts as active was interrupted: it ends here.
+    """
+    spark = library.spark
+    run_id = _next_run(library)
+    stopped = library["runs"].withColumns({"finished_at": F.when(F.col("status") == "active", F.lit(at)).otherwise(F.col("finished_at")), "status": F.when(F.col("status") == "active", "interrupted").otherwise(F.col("status"))})
+    row = (run_id, kind, instance, "active", at, None, None, *[0] * 7)
+    runs = stopped.select(library["runs"].columns).unionByName(spark.createDataFrame([row], SCHEMAS["runs"]))
+    changed = {"runs": runs, "sources": _covered(library, kind, instance, "unknown", at)}
+    return library.with_tables(Delta(changed), **changed)
+
+
+def _covered(library: Library, kind: str, instance: str, status: str, at: str) -> DataFrame:
+    source = library.spark.createDataFrame([(kind, instance)], "source_kind string, instance_id string")
+    others = library["sources"].join(F.broadcast(source), ["source_kind", "instance_id"], "left_anti")
+    return others.unionByName(source.select("*", F.lit(status).alias("coverage_status"), F.lit(at).alias("coverage_observed_at")))
+
+
 def run(library: Library, kind: str, instance: str, candidates: DataFrame | None, snapshot: Snapshot, failures: DataFrame, started_at: str, finished_at: str, failure: str | None = None) -> Library:
     """The library after a run over one source.
 
@@ -75,13 +102,11 @@ def run(library: Library, kind: str, instance: str, candidates: DataFrame | None
     (failure says how): coverage becomes unknown and nothing else changes. Documents
     in the snapshot that aren't changed candidates are ignored.
     """
-    spark, t = library.spark, library["tracking"]
-    source = spark.createDataFrame([(kind, instance)], "source_kind string, instance_id string")
+    t = library["tracking"]
     coverage = "complete" if failure is None and candidates is not None else "unknown"
-    others = library["sources"].join(F.broadcast(source), ["source_kind", "instance_id"], "left_anti")
-    sources = others.unionByName(source.select("*", F.lit(coverage).alias("coverage_status"), F.lit(started_at).alias("coverage_observed_at")))
+    sources = _covered(library, kind, instance, coverage, started_at)
     if candidates is None:
-        done = library.with_tables(sources=sources)
+        done = library.with_tables(Delta({"sources": sources}), sources=sources)
         return _finished(done, kind, instance, {}, started_at, finished_at, "failed", failure or "discovery-failed", None)
     seen = changes(t, discovered(candidates))
     failed = seen.where("status <> 'unchanged'").join(failures.select(*C.ID, "failure_code"), C.ID)
@@ -104,45 +129,57 @@ def run(library: Library, kind: str, instance: str, candidates: DataFrame | None
         F.when(was_read, F.lit(started_at)).otherwise(F.col("captured_at")).alias("captured_at"),
         F.when(was_seen, F.lit(started_at)).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
     )
-    changed = {"sources": sources, "tracking": tracking}
-    for name in _BODY:
-        kept = library[name].join(read.select(*C.ID), C.ID, "left_anti")
-        fresh = snapshot.tables[name].join(read.select(*C.ID), C.ID, "left_semi")
-        changed[name] = kept.unionByName(fresh.select(kept.columns))
-    merged_contents = intern(library["contents"], snapshot.tables["contents"])
-    after = library.with_tables(**changed, contents=merged_contents)
-    after = after.with_tables(contents=referenced(after))
-
-    documents = library["documents"].select(*C.ID)
-    n = {
-        "discovered": seen.count(),
-        "unchanged": seen.where("status = 'unchanged'").count(),
-        "indexed": read.count(),
-        "failed": failed.count(),
-        "missing": gone.count(),
-        "stale": failed.join(documents, C.ID, "left_semi").count(),
-    }
+    whole = {"sources": sources, "tracking": tracking}
+    stale = failed.join(library["documents"].select(*C.ID), C.ID, "left_semi")
+    tagged = seen.select(F.lit("discovered").alias("of")).unionByName(seen.where("status = 'unchanged'").select(F.lit("unchanged").alias("of")))
+    for of, rows in (("indexed", read), ("failed", failed), ("missing", gone), ("stale", stale)):
+        tagged = tagged.unionByName(rows.select(F.lit(of).alias("of")))
+    n = dict.fromkeys(("discovered", "unchanged", "indexed", "failed", "missing", "stale"), 0) | {r["of"]: r["count"] for r in tagged.groupBy("of").count().collect()}
     if n["discovered"] != n["unchanged"] + n["indexed"] + n["failed"]:
         raise OperationError("repository-write", "a changed candidate was neither read nor failed")
     items = failed.select(*C.ID, F.lit("failed").alias("outcome"), "failure_code").unionByName(gone.select(*C.ID, F.lit("missing").alias("outcome"), F.lit(None).cast("string").alias("failure_code")))
+    after = library.with_tables(Delta(whole), **whole)
+    if n["indexed"]:
+        fresh = {name: snapshot.tables[name].join(read.select(*C.ID), C.ID, "left_semi").select(library[name].columns) for name in _BODY}
+        used = fresh["occurrences"].where("digest IS NOT NULL").select("digest").distinct()
+        texts = snapshot.tables["contents"].join(used, "digest", "left_semi").select("digest", "text")
+        made = library.with_tables(**fresh, contents=texts)
+        digests = transcript.document_digests(made).select(*C.ID, "document_digest")
+        fresh["documents"] = fresh["documents"].drop("document_digest").join(digests, C.ID, "left").select(library["documents"].columns)
+        bodies = {name: library[name].join(read.select(*C.ID), C.ID, "left_anti").unionByName(fresh[name]) for name in _BODY}
+        # Only texts that a changed conversation had before can have lost their last occurrence.
+        former = library["occurrences"].join(read.select(*C.ID), C.ID, "left_semi")
+        dropped = unreferenced(former, bodies["occurrences"])
+        new = texts.dropDuplicates(["digest", "text"]).join(library["contents"], ["digest", "text"], "left_anti").select("digest", "text")
+        contents = library["contents"].join(dropped, "digest", "left_anti").select("digest", "text").unionByName(new)
+        after = library.with_tables(Delta(whole, read.select(*C.ID), fresh | {"contents": new}, dropped), **whole, **bodies, contents=contents)
     return _finished(after, kind, instance, n, started_at, finished_at, "completed", None, items)
 
 
+def _next_run(library: Library) -> int:
+    return (library["runs"].agg(F.max("run_id")).collect()[0][0] or 0) + 1
+
+
 def _finished(library: Library, kind: str, instance: str, n: dict, started: str, finished: str, status: str, failure: str | None, items: DataFrame | None) -> Library:
+    """The run's row, in place of the source's active one where it has one, and its first items."""
     spark = library.spark
-    run_id = (library["runs"].agg(F.max("run_id")).collect()[0][0] or 0) + 1
-    first = None
+    own = (F.col("source_kind") == kind) & (F.col("instance_id") == instance) & (F.col("status") == "active")
+    active = library["runs"].where(own).agg(F.max("run_id")).collect()[0][0]
+    run_id = active or _next_run(library)
+    first, omitted = None, 0
     if items is not None:
         # The first KEPT_ITEMS by identity are kept and the rest is counted: a report, not data.
         first = items.orderBy(*C.ID).limit(KEPT_ITEMS).withColumn("item", (F.row_number().over(Window.orderBy(*C.ID)) - 1).cast("long"))
         omitted = max(0, n["failed"] + n["missing"] - KEPT_ITEMS)
-    row = (run_id, kind, instance, status, started, finished, failure, *[n.get(k, 0) for k in ("discovered", "unchanged", "indexed", "failed", "missing", "stale")], omitted if items is not None else 0)
-    runs = retained_runs(library["runs"].unionByName(spark.createDataFrame([row], SCHEMAS["runs"])))
+    row = (run_id, kind, instance, status, started, finished, failure, *[n.get(k, 0) for k in ("discovered", "unchanged", "indexed", "failed", "missing", "stale")], omitted)
+    runs = retained_runs(library["runs"].where(F.col("run_id") != run_id).unionByName(spark.createDataFrame([row], SCHEMAS["runs"])))
     run_items = library["run_items"]
     if first is not None:
         columns = run_items.columns
         run_items = run_items.unionByName(first.withColumn("run_id", F.lit(run_id).cast("long")).select(columns))
-    return library.with_tables(runs=runs, run_items=run_items.join(runs.select("run_id"), "run_id", "left_semi").select(run_items.columns))
+    changed = {"runs": runs, "run_items": run_items.join(runs.select("run_id"), "run_id", "left_semi").select(run_items.columns)}
+    delta = library.delta or Delta({"sources": library["sources"]})
+    return library.with_tables(replace(delta, whole=delta.whole | changed), **changed)
 
 
 def retained_runs(runs: DataFrame, most: int = KEPT_RUNS) -> DataFrame:
@@ -152,9 +189,20 @@ def retained_runs(runs: DataFrame, most: int = KEPT_RUNS) -> DataFrame:
 
 
 def report(library: Library) -> DataFrame:
-    """The latest run of each source, and whether it was complete."""
+    """The latest ended run of each source, with whether it was complete and its items, each with the conversation's latest state."""
     rank = F.row_number().over(Window.partitionBy("source_kind", "instance_id").orderBy(F.desc("run_id")))
-    return library["runs"].withColumn("rank", rank).where("rank = 1").drop("rank").withColumn("complete", F.col("status") == "completed")
+    last = library["runs"].where("status <> 'active'").withColumn("rank", rank).where("rank = 1").drop("rank").withColumn("complete", F.col("status") == "completed")
+    tracked = library["tracking"].select(*C.ID, "latest_outcome", "presence_status")
+    item = F.struct("item", *C.ID, "outcome", "failure_code", "latest_outcome", "presence_status")
+    placed = library["run_items"].join(last.select("run_id"), "run_id", "left_semi").join(tracked, C.ID, "left")
+    items = placed.groupBy("run_id").agg(F.array_sort(F.collect_list(item)).alias("items"))  # KEPT_ITEMS at most
+    return last.join(items, "run_id", "left")
+
+
+def totals(report: DataFrame) -> DataFrame:
+    """One row over the sources of a report: how many there are, how many are complete, and the sums of their counts."""
+    counts = ("discovered", "unchanged", "indexed", "failed", "missing", "stale", "omitted_items")
+    return report.agg(F.count("*").alias("sources"), F.count_if("complete").alias("complete_sources"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
 
 
 def collapse_adjacent(records: DataFrame) -> DataFrame:

@@ -1,16 +1,25 @@
 """The library: canonical tables of one generation, and their storage.
 
-A stored library is a folder with a manifest (library id, schema version, current
-generation) and one folder of Parquet tables for each generation. A reader pins
-the generation it opened; a writer writes the next one beside it and then swaps
-the manifest, so readers see one snapshot or the next, never a mixture.
+A stored library is a folder of numbered manifests and of Parquet parts. A manifest
+names the parts of every table of its generation; the newest manifest is the
+library. A writer adds parts and then the next manifest, by a rename that fails
+where one of that number is there, so a crash at any point leaves the old or the
+new generation and readers see one of them, never a mixture.
+
+A commit writes what changed: rows of new or changed conversations and texts are
+further parts, and those that go are named by tombstones, which hold for parts of
+earlier generations. A run in which nothing changed writes a few rows of tracking.
+Derived tables are kept in step: postings and lengths of texts, metrics of
+documents, roots of conversations. Compaction writes all parts of a table as one.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import time
 import uuid
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +28,7 @@ from pyspark.sql import functions as F
 from threadlake.functions import columns as C
 from threadlake.plans.requests import OperationError
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 _ID = "source_kind string, instance_id string, native_id string"
 SCHEMAS = {
     "sources": "source_kind string, instance_id string, coverage_status string, coverage_observed_at string",
@@ -37,21 +46,54 @@ SCHEMAS = {
 }
 
 
+#: What follows from the other tables and is stored beside them.
+DERIVED = {
+    "metrics": f"{_ID}, relation_count long, entry_count long, segment_count long, omitted_count long, text_bytes long",
+    "roots": f"{_ID}, root struct<source_kind:string,instance_id:string,native_id:string>",
+    "postings": "term string, digest string, positions array<int>",
+    "lengths": "digest string, length long",
+}
+#: The tables that a derived one follows from.
+_SOURCES_OF = {"metrics": ("documents", "relations", "entries", "occurrences", "contents"), "roots": ("documents", "relations"), "postings": ("contents",), "lengths": ("contents",)}
+BY_CONVERSATION = ("documents", "relations", "entries", "occurrences", "metrics")
+BY_TEXT = ("contents", "postings", "lengths")
+#: More parts of a table than this are written anew as one.
+MERGE_PARTS = 16
+#: For so many seconds a lock holds unless it is renewed; then its writer counts as lost.
+LEASE_SECONDS = 3600
+
+
+@dataclass(frozen=True)
+class Delta:
+    """How a library differs from the stored generation that it was opened at."""
+
+    whole: dict[str, DataFrame]  # tables that are written as a whole
+    removed: DataFrame | None = None  # ID of the conversations whose rows go
+    added: dict[str, DataFrame] | None = None  # rows of documents, relations, entries, occurrences and contents
+    dropped: DataFrame | None = None  # digest of the texts that go
+
+
 @dataclass(frozen=True)
 class Library:
-    """The tables of one generation. Those that are derived are computed once for each instance."""
+    """The tables of one generation, with derived ones where they are stored and still true."""
 
     spark: SparkSession
     tables: dict[str, DataFrame]
     library_id: str = "memory"
     generation: int = 0
-    _derived: dict[str, DataFrame] = field(default_factory=dict, compare=False)
+    delta: Delta | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
-    def with_tables(self, **changed: DataFrame) -> Library:
-        return replace(self, tables=self.tables | changed, _derived={})
+    def stored(self, name: str) -> DataFrame | None:
+        """A derived table, or None where it has to be worked out."""
+        return self.tables.get(name)
+
+    def with_tables(self, delta: Delta | None = None, **changed: DataFrame) -> Library:
+        """The library with other tables, whose derived ones don't hold any more."""
+        kept = {n: t for n, t in self.tables.items() if n not in DERIVED or not set(changed) & set(_SOURCES_OF[n])}
+        return replace(self, tables=kept | changed, delta=delta)
 
     def spine(self) -> DataFrame:
         """One row for each tracked conversation with its effective state, activity and freshness; title and the like are null without a document."""
@@ -94,89 +136,239 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.path).getFileSystem(conf)
+        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._owner: str | None = None
 
     def _at(self, name: str):
         return self._path(f"{self.path}/{name}")
 
-    def manifest(self) -> dict | None:
-        if not self._fs.exists(self._at("manifest.json")):
-            return None
-        stream = self._fs.open(self._at("manifest.json"))
+    def _names(self) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))] if self._fs.exists(self._path(self.path)) else []
+
+    def _read(self, name: str) -> dict | None:
+        try:
+            stream = self._fs.open(self._at(name))
+        except Py4JJavaError:
+            return None  # it went meanwhile
         try:
-            text = bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+            return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        except ValueError:
+            return None  # it is still being written
         finally:
             stream.close()
-        found = json.loads(text)
-        if found.get("schema_version") != SCHEMA_VERSION:
+
+    def _write(self, name: str, content: dict, overwrite: bool) -> None:
+        out = self._fs.create(self._at(name), overwrite)
+        try:
+            out.write(bytearray(json.dumps(content).encode()))
+        finally:
+            out.close()
+
+    def _rename(self, name: str, to: str) -> None:
+        """Fails where the target is there."""
+        kind = self._jvm.org.apache.hadoop.fs.Options.Rename
+        self._context.rename(self._at(name), self._at(to), self.spark.sparkContext._gateway.new_array(kind, 0))
+
+    def manifests(self) -> dict[int, str]:
+        """The manifests' names by generation."""
+        return {int(m[1]): n for n in self._names() if (m := re.fullmatch(r"manifest-(\d+)\.json", n))}
+
+    def manifest(self) -> dict | None:
+        """The newest manifest, or None if nothing was ever committed."""
+        known = self.manifests()
+        if not known:
+            return None
+        found = self._read(known[max(known)])
+        if found is None or found.get("schema_version") != SCHEMA_VERSION:
             raise OperationError("library-unavailable", "the library has another schema version")
         return found
 
     def _put(self, manifest: dict) -> None:
-        """Writes beside the old manifest, then replaces it by one rename where the file system can."""
-        temporary = self._at(f"manifest-{uuid.uuid4().hex}.json")
-        out = self._fs.create(temporary, True)
+        """The one step that makes a generation the library."""
+        if self._owner is not None and (self._read("writer.lock") or {}).get("owner") != self._owner:
+            raise OperationError("library-busy", "another writer has taken over the library")
+        temporary = f"manifest-{uuid.uuid4().hex}.tmp"
+        self._write(temporary, manifest, False)
         try:
-            out.write(bytearray(json.dumps(manifest).encode()))
-        finally:
-            out.close()
-        target = self._at("manifest.json")
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(temporary, target):
-            raise OperationError("library-unavailable", "the manifest can't be replaced")
-
-    def lock(self) -> None:
-        """One writer at a time: the lock file is created or the library is busy."""
+            self._rename(temporary, f"manifest-{manifest['generation']:012d}.json")
+        except Py4JJavaError:
+            self._fs.delete(self._at(temporary), False)
+            raise OperationError("library-busy", "another writer has committed this generation") from None
+
+    def lock(self, seconds: float = LEASE_SECONDS) -> None:
+        """One writer at a time. A lock whose time is over is taken over: of several that try, one renames it away."""
         self._fs.mkdirs(self._path(self.path))
-        try:
-            self._fs.create(self._at("writer.lock"), False).close()
-        except Py4JJavaError as e:
-            if "AlreadyExists" in str(e.java_exception) or self._fs.exists(self._at("writer.lock")):
-                raise OperationError("library-busy", "another writer holds the library") from None
-            raise
+        owner = uuid.uuid4().hex
+        for _ in range(2):
+            try:
+                self._write("writer.lock", {"owner": owner, "until": time.time() + seconds}, False)
+                self._owner = owner
+                return
+            except Py4JJavaError:
+                held = self._read("writer.lock")
+                if held is None or held["until"] >= time.time():
+                    break
+                try:
+                    self._rename("writer.lock", f"writer.lock.{owner}")
+                except Py4JJavaError:
+                    break
+                self._fs.delete(self._at(f"writer.lock.{owner}"), False)
+        raise OperationError("library-busy", "another writer holds the library")
+
+    def renew(self, seconds: float = LEASE_SECONDS) -> None:
+        if self._owner is not None and (self._read("writer.lock") or {}).get("owner") == self._owner:
+            self._write("writer.lock", {"owner": self._owner, "until": time.time() + seconds}, True)
 
     def unlock(self) -> None:
-        self._fs.delete(self._at("writer.lock"), False)
+        """Takes away this writer's lock, not another's."""
+        if self._owner is not None and (self._read("writer.lock") or {}).get("owner") == self._owner:
+            self._fs.delete(self._at("writer.lock"), False)
+        self._owner = None
+
+    def lock_state(self) -> str:
+        """free, held or expired."""
+        held = self._read("writer.lock") if "writer.lock" in self._names() else None
+        return "free" if held is None else "held" if held["until"] >= time.time() else "expired"
+
+    def pin(self, seconds: float) -> str:
+        """Keeps the current generation's parts from compaction for so long; returns a name for unpin()."""
+        found = self.manifest()
+        name = f"pin-{found['generation'] if found else 0}-{int(time.time() + seconds)}-{uuid.uuid4().hex}"
+        self._fs.create(self._at(name), False).close()
+        return name
+
+    def unpin(self, name: str) -> None:
+        self._fs.delete(self._at(name), False)
+
+    def _table(self, manifest: dict, name: str) -> DataFrame:
+        """A table of all its parts, without the rows that later tombstones name."""
+        schema = (SCHEMAS | DERIVED)[name]
+        kind, keys = ("texts", ["digest"]) if name in BY_TEXT else ("conversations", C.ID)
+        dead = manifest["dead"][kind] if name in BY_TEXT + BY_CONVERSATION else []
+        by: dict[tuple[str, ...], list[str]] = {}
+        for generation, part in manifest["parts"].get(name, []):
+            by.setdefault(tuple(p for g, p in dead if g > generation), []).append(part)
+        out = None
+        for later, parts in by.items():
+            df = self.spark.read.schema(schema).parquet(*[f"{self.path}/{p}" for p in parts])
+            if later:
+                gone = self.spark.read.schema(", ".join(f"{k} string" for k in keys)).parquet(*[f"{self.path}/{p}" for p in later]).distinct()
+                columns = df.columns
+                df = df.join(gone, keys, "left_anti").select(columns)
+            out = df if out is None else out.unionByName(df)
+        return self.spark.createDataFrame([], schema) if out is None else out
+
+    def _library(self, manifest: dict) -> Library:
+        tables = {n: self._table(manifest, n) for n in SCHEMAS | DERIVED}
+        return Library(self.spark, tables, manifest["library_id"], manifest["generation"])
 
     def open(self) -> Library | None:
         """The current generation, or None if nothing was ever written."""
         found = self.manifest()
-        if found is None:
-            return None
-        gen = f"{self.path}/gen={found['generation']}"
-        tables = {n: self.spark.read.schema(s).parquet(f"{gen}/{n}") for n, s in SCHEMAS.items()}
-        return Library(self.spark, tables, found["library_id"], found["generation"])
+        return None if found is None else self._library(found)
 
     def commit(self, library: Library) -> Library:
-        """Writes all tables as the next generation; conversations' rows lie together within a file."""
-        found = self.manifest() or {"library_id": uuid.uuid4().hex, "generation": 0, "schema_version": SCHEMA_VERSION}
+        """Makes the library the next generation: its delta to the current one where it has it, else all of its tables."""
+        from threadlake.operators import listing, lineage, search
+
+        self.renew()
+        found = self.manifest() or {"library_id": uuid.uuid4().hex, "generation": 0, "schema_version": SCHEMA_VERSION, "parts": {}, "dead": {"conversations": [], "texts": []}}
         generation = found["generation"] + 1
-        gen = f"{self.path}/gen={generation}"
-        for name, schema in SCHEMAS.items():
-            df = library[name]
-            keys = [c for c in [*C.ID, "ordinal", "segment_ordinal", "digest", "run_id"] if c in df.columns]
-            df.sortWithinPartitions(*keys).write.mode("overwrite").parquet(f"{gen}/{name}")
-        self._put(found | {"generation": generation})
+        folder = f"gen={generation}-{uuid.uuid4().hex[:8]}"
+        # An empty library's delta is all of it.
+        follows = library.delta is not None and library.generation == found["generation"] and (not library.generation or library.library_id == found["library_id"])
+        parts = {n: list(p) for n, p in found["parts"].items()} if follows else {}
+        dead = {k: list(p) for k, p in found["dead"].items()} if follows else {"conversations": [], "texts": []}
+        after = found | {"generation": generation, "parts": parts, "dead": dead}
+
+        def write(name: str, df: DataFrame, alone: bool) -> DataFrame:
+            columns = (SCHEMAS | DERIVED)[name]
+            if name == "postings":
+                df = df.repartitionByRange("term", "digest").sortWithinPartitions("term", "digest")
+            else:
+                df = df.sortWithinPartitions(*[c for c in [*C.ID, "ordinal", "segment_ordinal", "digest", "run_id"] if c in df.columns])
+            df.select(self.spark.createDataFrame([], columns).columns).write.parquet(f"{self.path}/{folder}/{name}")
+            parts[name] = ([] if alone else parts.get(name, [])) + [[generation, f"{folder}/{name}"]]
+            return self.spark.read.schema(columns).parquet(f"{self.path}/{folder}/{name}")
+
+        def bury(kind: str, df: DataFrame) -> None:
+            df.write.parquet(f"{self.path}/{folder}/dead-{kind}")
+            dead[kind].append([generation, f"{folder}/dead-{kind}"])
+
+        if follows:
+            delta = library.delta
+            for name, df in delta.whole.items():
+                write(name, df, True)
+            if delta.removed is not None:
+                bury("conversations", delta.removed.select(*C.ID).distinct())
+            if delta.dropped is not None:
+                bury("texts", delta.dropped.select("digest").distinct())
+            if delta.added:
+                fresh = {n: write(n, df, False) for n, df in delta.added.items()}
+                write("postings", search.postings(fresh["contents"]), False)
+                write("lengths", search.lengths(fresh["contents"]), False)
+                # A document's texts may be in the library already, so sizes are looked up in all contents.
+                made = replace(library, tables={n: fresh.get(n, library[n]) for n in SCHEMAS} | {"contents": self._table(after, "contents")})
+                write("metrics", listing.computed_metrics(made), False)
+            if delta.removed is not None or delta.added:
+                write("roots", lineage.resolved(self._library(after)), True)
+        else:
+            for name in SCHEMAS:
+                write(name, library[name], True)
+            made = Library(self.spark, {n: self._table(after, n) for n in SCHEMAS})
+            write("postings", search.postings(made["contents"]), True)
+            write("lengths", search.lengths(made["contents"]), True)
+            write("metrics", listing.computed_metrics(made), True)
+            write("roots", lineage.resolved(made), True)
+        self._put(after)
+        if max(len(p) for p in parts.values()) > MERGE_PARTS:
+            return self.commit(replace(self.open(), delta=None))
         return self.open()
 
     def compact(self, files: int = 8) -> int:
-        """Rewrites the current generation into few files as the next one and deletes older ones; returns how many went."""
+        """Rewrites the current generation as one part of few files a table and deletes older generations; returns how many went.
+
+        What a pinned generation reads stays until its pin's time is over.
+        """
         library = self.open()
         if library is None:
             return 0
-        self.commit(library.with_tables(**{n: library[n].coalesce(files) for n in SCHEMAS}))
-        now, gone = self.manifest()["generation"], 0
-        for status in self._fs.listStatus(self._path(self.path)):
-            name = status.getPath().getName()
-            if name.startswith("gen=") and int(name[4:]) < now:
-                self._fs.delete(status.getPath(), True)
-                gone += 1
-        return gone
+        self.commit(replace(library, tables={n: t.coalesce(files) for n, t in library.tables.items() if n in SCHEMAS}, delta=None))
+        names = self._names()
+        pins = [re.fullmatch(r"pin-(\d+)-(\d+)-\w+", n) for n in names]
+        pinned = {int(m[1]) for m in pins if m and int(m[2]) >= time.time()}
+        known = self.manifests()
+        kept = {g: self._read(n) for g, n in known.items() if g == max(known) or g in pinned}
+        used = {p.split("/")[0] for m in kept.values() for parts in [*m["parts"].values(), *m["dead"].values()] for _, p in parts}
+        for generation, name in known.items():
+            if generation not in kept:
+                self._fs.delete(self._at(name), False)
+        for name in names:
+            expired = re.fullmatch(r"pin-\d+-(\d+)-\w+", name)
+            if (name.startswith("gen=") and name not in used) or (expired and int(expired[1]) < time.time()):
+                self._fs.delete(self._at(name), True)
+        return len(known) - len(kept)
+
+    def staging(self) -> str:
+        """A new path for what a writer reads once and uses several times."""
+        return f"{self.path}/staging-{uuid.uuid4().hex}"
+
+    def discard(self, staged: str) -> None:
+        self._fs.delete(self._path(staged), True)
 
     def clear(self, confirmed: bool = False) -> None:
+        """Deletes the library, under its lock."""
         if not confirmed:
             raise ValueError("clearing a library needs confirmed=True")
+        self.lock()
+        try:
+            for name in self._names():
+                if name != "writer.lock":
+                    self._fs.delete(self._at(name), True)
+        finally:
+            self.unlock()
         self._fs.delete(self._path(self.path), True)

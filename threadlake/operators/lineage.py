@@ -30,7 +30,13 @@ def _node(columns: list[str]) -> F.Column:
 
 
 def roots(library: Library) -> DataFrame:
-    """source_kind, instance_id, native_id, root (struct of the same, null if unknown) of every retained conversation."""
+    """source_kind, instance_id, native_id, root (struct of the same, null if unknown) of every retained conversation: as stored, or resolved."""
+    stored = library.stored("roots")
+    return resolved(library) if stored is None else stored
+
+
+def resolved(library: Library) -> DataFrame:
+    """roots(), resolved from documents and relations."""
     docs, relations = library["documents"], library["relations"]
     edges = relations.where("relation <> 'child'").join(docs.select(*C.ID), C.ID, "left_semi")
     node = docs.groupBy(*C.ID).agg(F.count("*").alias("copies"), F.min("lineage_coverage").alias("coverage"))

@@ -41,7 +41,13 @@ def page(library: Library, f: ConversationFilter, limit: int, anchor: tuple | No
 
 
 def metrics(library: Library) -> DataFrame:
-    """relation, entry, segment and omitted counts and UTF-8 bytes of text of every document.
+    """relation, entry, segment and omitted counts and UTF-8 bytes of text of every document: as stored with it, or worked out."""
+    stored = library.stored("metrics")
+    return computed_metrics(library) if stored is None else stored
+
+
+def computed_metrics(library: Library) -> DataFrame:
+    """metrics(), worked out from the rows and the texts.
 
     A segment whose content is missing makes text_bytes -1, which readers take for corruption.
     """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import columns as C
 from threadlake.operators import ingest
-from threadlake.operators.library import Library
+from threadlake.operators.library import Delta, Library
 from threadlake.plans.requests import OperationError
 
 
@@ -21,7 +21,9 @@ def orphan_counts(library: Library) -> DataFrame:
 
 
 def repair_orphans(library: Library) -> Library:
-    return library.with_tables(contents=ingest.referenced(library))
+    """The library without texts that no occurrence refers to."""
+    gone = orphans(library).select("digest")
+    return library.with_tables(Delta({}, dropped=gone), contents=ingest.referenced(library))
 
 
 def forget(library: Library, identity: tuple[str, str, str]) -> Library:
@@ -29,11 +31,14 @@ def forget(library: Library, identity: tuple[str, str, str]) -> Library:
     this = F.struct(*C.ID) == F.struct(*[F.lit(v).alias(c) for c, v in zip(C.ID, identity)])
     if not library["tracking"].where(this).take(1):
         raise OperationError("conversation-not-found", "the library has no such conversation")
-    names = ("tracking", "documents", "relations", "entries", "occurrences", "run_items")
     lost = library["run_items"].where(this).groupBy("run_id").agg(F.count("*").alias("lost"))
     runs = library["runs"].join(lost, "run_id", "left").withColumn("omitted_items", F.col("omitted_items") + F.coalesce("lost", F.lit(0)))
-    kept = library.with_tables(**{n: library[n].where(~this) for n in names}, runs=runs.select(library["runs"].columns))
-    return repair_orphans(kept)
+    whole = {"tracking": library["tracking"].where(~this), "run_items": library["run_items"].where(~this), "runs": runs.select(library["runs"].columns)}
+    bodies = {n: library[n].where(~this) for n in ("documents", "relations", "entries", "occurrences")}
+    dropped = ingest.unreferenced(library["occurrences"].where(this), bodies["occurrences"])
+    contents = library["contents"].join(dropped, "digest", "left_anti").select("digest", "text")
+    removed = library.spark.createDataFrame([identity], ", ".join(f"{c} string" for c in C.ID))
+    return library.with_tables(Delta(whole, removed, None, dropped), **whole, **bodies, contents=contents)
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:

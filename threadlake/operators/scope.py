@@ -30,7 +30,7 @@ def coverage_counts(library: Library, f: ConversationFilter = ConversationFilter
 
 
 def capture_scope(library: Library, f: ConversationFilter = ConversationFilter()) -> DataFrame:
-    """One row; an unrecognised failure code stops the query. Only assessed filters narrow it."""
+    """One row over all tracked conversations, retained or not; an unrecognised failure code stops the query. Only assessed filters narrow it."""
     narrowed = ConversationFilter(source=f.source, instance=f.instance, native_id=f.native_id, source_state=f.source_state, conversation=f.conversation)
     spine = library.spine().where(filters.conversations(narrowed))
     code, retained = F.col("latest_failure"), F.col("has_document")
@@ -39,7 +39,7 @@ def capture_scope(library: Library, f: ConversationFilter = ConversationFilter()
         F.count("*").alias("tracked"),
         F.count_if(retained).alias("retained"),
         *[F.count_if(F.col("freshness") == s).alias(s) for s in ("current", "stale", "unindexed")],
-        *[F.count_if(retained & (F.col("source_state") == s)).alias(f"retained_{s}") for s in ("present", "missing", "unknown")],
+        *[F.count_if(F.col("source_state") == s).alias(f"source_{s}") for s in ("present", "missing", "unknown")],
         *[F.count_if(code == c).alias("failed_" + c.replace("-", "_")) for c in FAILURES],
         F.count_if(~known).alias("unrecognised"),
     )

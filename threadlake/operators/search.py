@@ -26,7 +26,7 @@ K1, B = 1.2, 0.75
 
 @dataclass(frozen=True)
 class Index:
-    """Derived from contents: postings (term, digest, positions), and the number of texts and their mean length in tokens."""
+    """Postings (term, digest, positions), lengths (digest, length) and, over all texts, their number and mean length in tokens."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -35,15 +35,37 @@ class Index:
 
 
 def postings(contents: DataFrame) -> DataFrame:
-    """term, digest, positions (from 0, ascending). Stored clustered by term, a query reads only its own terms' files."""
-    placed = contents.select("digest", F.posexplode(C.tokens(F.col("text"))).alias("position", "term"))
-    return placed.groupBy("term", "digest").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    """term, digest, positions (from 0, ascending), one row for each term of each text; made within the text's row."""
+    placed = F.transform(C.tokens(F.col("text")), lambda t, i: F.struct(t.alias("term"), i.alias("position")))
+    each = contents.select("digest", F.explode(placed).alias("p"))
+    return each.groupBy("p.term", "digest").agg(F.array_sort(F.collect_list("p.position")).alias("positions"))
+
+
+def lengths(contents: DataFrame) -> DataFrame:
+    """digest, length in tokens."""
+    return contents.select("digest", F.size(C.tokens(F.col("text"))).cast("long").alias("length"))
 
 
 def index(library: Library) -> Index:
-    lengths = library["contents"].select("digest", F.size(C.tokens(F.col("text"))).cast("long").alias("length"))
-    total = lengths.agg(F.count("*").alias("n"), F.sum("length").alias("length")).collect()[0]
-    return Index(postings(library["contents"]), lengths, total["n"], (total["length"] or 0) / total["n"] if total["n"] else 0.0)
+    """The stored index, of which a query reads its own terms' row groups and the lengths; or one worked out from the texts."""
+    kept, long = library.stored("postings"), library.stored("lengths")
+    if kept is None or long is None:
+        kept, long = postings(library["contents"]), lengths(library["contents"])
+    total = long.agg(F.count("*").alias("n"), F.sum("length").alias("length")).collect()[0]
+    return Index(kept, long, total["n"], (total["length"] or 0) / total["n"] if total["n"] else 0.0)
+
+
+def vocabulary(kept: DataFrame) -> DataFrame:
+    """term, texts (that have it), instances."""
+    return kept.groupBy("term").agg(F.count("*").alias("texts"), F.sum(F.size("positions")).alias("instances"))
+
+
+def vocabulary_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The terms whose numbers of texts or instances differ between two postings tables (null where a side lacks the term)."""
+    x = vocabulary(left).select("term", F.col("texts").alias("left_texts"), F.col("instances").alias("left_instances"))
+    y = vocabulary(right).select("term", F.col("texts").alias("right_texts"), F.col("instances").alias("right_instances"))
+    same = F.col("left_texts").eqNullSafe(F.col("right_texts")) & F.col("left_instances").eqNullSafe(F.col("right_instances"))
+    return x.join(y, "term", "full").where(~same)
 
 
 def token_list(text: str) -> list[str]:

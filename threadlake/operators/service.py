@@ -23,6 +23,7 @@ from threadlake.plans.requests import (
     disclosed,
     fingerprint,
 )
+from threadlake.sources import normal
 
 
 def _plain(value: Any) -> Any:
@@ -41,8 +42,12 @@ class Engine:
     initialised: bool = True
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> Engine:
-        found = Store(spark, path).open()
+    def open(cls, spark: SparkSession, path: str, pin_seconds: float = 0) -> Engine:
+        """pin_seconds: for so long compaction leaves the generation that is opened."""
+        store = Store(spark, path)
+        if pin_seconds and store.manifest():
+            store.pin(pin_seconds)
+        found = store.open()
         return cls(found) if found else cls(empty(spark), False)
 
     def _start(self, request) -> cursors.Position:
@@ -150,15 +155,33 @@ class Writer:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.store = spark, Store(spark, path)
 
-    def _change(self, how) -> Library:
+    def _change(self, *steps) -> Library:
+        """Each step makes a library of the current one, which is then committed."""
         self.store.lock()
         try:
-            return self.store.commit(how(self.store.open() or empty(self.spark)))
+            for how in steps:
+                done = self.store.commit(how(self.store.open() or empty(self.spark)))
+            return done
         finally:
             self.store.unlock()
 
     def index(self, kind: str, instance: str, candidates, snapshot, failures, started_at: str, finished_at: str, failure: str | None = None) -> Library:
-        return self._change(lambda lib: ingest.run(lib, kind, instance, candidates, snapshot, failures, started_at, finished_at, failure))
+        """A run: first it is entered as active, so that one that breaks off is seen as interrupted, then its outcome is."""
+        begin = lambda lib: ingest.begun(lib, kind, instance, started_at)
+        return self._change(begin, lambda lib: ingest.run(lib, kind, instance, candidates, snapshot, failures, started_at, finished_at, failure))
+
+    def index_read(self, kind: str, instance: str, candidates, read, heads, locator: str, started_at: str, finished_at: str, failures=None, failure: str | None = None) -> Library:
+        """index() of normal.read_documents(): the read is written once, so files that change meanwhile can't make tables that disagree.
+
+        failures (ID, failure_code) are those of conversations that weren't even read.
+        """
+        staged = self.store.staging()
+        try:
+            read.write.parquet(staged)
+            snapshot, failed = normal.snapshot(self.spark.read.schema(read.schema).parquet(staged), heads, locator)
+            return self.index(kind, instance, candidates, snapshot, failed if failures is None else failed.unionByName(failures.select(failed.columns)), started_at, finished_at, failure)
+        finally:
+            self.store.discard(staged)
 
     def forget(self, identity: tuple[str, str, str]) -> Library:
         return self._change(lambda lib: maintenance.forget(lib, identity))
@@ -176,6 +199,10 @@ class Writer:
     def clear(self, confirmed: bool = False) -> None:
         self.store.clear(confirmed)
 
-    def paths(self) -> dict[str, Any]:
+    def paths(self, sources: dict[str, str] | None = None) -> dict[str, Any]:
+        """Where the library is and in which state, and of each source folder whether it can be read."""
         found = self.store.manifest()
-        return {"library": self.store.path, "initialised": found is not None, "generation": found["generation"] if found else 0}
+        from threadlake.sources import discovery
+
+        probes = {kind: discovery.probe(self.spark, path) for kind, path in (sources or {}).items()}
+        return {"library": self.store.path, "initialised": found is not None, "generation": found["generation"] if found else 0, "lock": self.store.lock_state(), "sources": probes}

@@ -12,13 +12,13 @@ import json
 import re
 import sqlite3
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions.canonical_json import canonical
 from threadlake.sources import normal as N
+from threadlake.sources.snapshots import SourceChanged, private_copy
 
 # Fields of a root blob that may stand beside field 1, by wire type.
 _BYTES_FIELDS = frozenset((1, 3, 4, 5, 7, 8, 9, 15, 16, 18, 21, 22, 27))
@@ -68,8 +68,8 @@ def _only(record, needed: tuple[str, ...], optional: tuple[str, ...] = ()) -> di
 
 
 def read_store(path: str) -> tuple[dict, list[str]]:
-    """The head and the messages (JSON texts) of a store file, which is opened read-only."""
-    with sqlite3.connect(f"file:{Path(path).as_posix()}?mode=ro", uri=True) as db:
+    """The head and the messages (JSON texts) of a store file; a private copy of it and of its log is opened."""
+    with private_copy(path) as copy, sqlite3.connect(copy) as db:
         rows = db.execute("SELECT value FROM meta WHERE key = '0'").fetchall()
         if len(rows) != 1:
             raise N.Malformed("a store has one head")
@@ -217,7 +217,7 @@ def store_records(spark: SparkSession, stores: DataFrame, instance: str) -> Data
             for native, path in zip(frame["native_id"], frame["path"]):
                 try:
                     out += [(native, i, m) for i, m in enumerate(read_store(path)[1])]
-                except (N.Malformed, sqlite3.DatabaseError):
+                except (N.Malformed, sqlite3.DatabaseError, SourceChanged, OSError):
                     out.append((native, 0, "\x00"))
             yield pd.DataFrame(out, columns=["native_id", "no", "line"])
 

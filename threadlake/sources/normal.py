@@ -107,7 +107,7 @@ def fingerprint(inputs: list[tuple[str, str, str | None, str]]) -> str:
     return hashlib.sha256(json.dumps([list(i) for i in inputs], separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
-_ROW = f"{', '.join(f'{c} string' for c in C.ID)}, failure_code string, lineage_coverage string, relations array<struct<relation:string,target:string>>, " + (
+ROW = f"{', '.join(f'{c} string' for c in C.ID)}, failure_code string, lineage_coverage string, relations array<struct<relation:string,target:string>>, " + (
     "entries array<struct<ordinal:bigint,entry_kind:string,actor:string,timestamp:string,related_ordinal:bigint,tool_call_id:string,tool_name:string,tool_namespace:string,locator_record:string,"
     "content:array<struct<segment_ordinal:bigint,text:string,content_class:string,source_type:string,origin:string,confidence:string>>>>"
 )
@@ -130,7 +130,7 @@ def read_documents(records: DataFrame, normalise: Callable[[str, list[str | None
         row |= {"lineage_coverage": doc.coverage, "relations": [{"relation": k, "target": t} for k, t in doc.relations], "entries": list(_entry_rows(doc.entries))}
         return pd.DataFrame([row])
 
-    return records.groupBy(*C.ID).applyInPandas(one, _ROW)
+    return records.groupBy(*C.ID).applyInPandas(one, ROW)
 
 
 def _entry_rows(entries: list[Entry]) -> Iterator[dict]:

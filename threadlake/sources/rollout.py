@@ -21,13 +21,17 @@ from threadlake.sources import normal as N
 RECORD_BYTES = 32 * 1024 * 1024
 # Event types that say nothing about a conversation's content.
 SKIPPED = frozenset(
-    """realtime_conversation_started realtime_conversation_realtime realtime_conversation_closed realtime_conversation_sdp model_reroute model_verification
-    turn_moderation_metadata safety_buffering thread_settings_applied token_count agent_reasoning_raw_content agent_reasoning_section_break session_configured
-    thread_goal_updated mcp_startup_update mcp_startup_complete exec_command_output_delta terminal_interaction exec_approval_request request_permissions
-    request_user_input elicitation_request apply_patch_approval_request guardian_assessment patch_apply_updated turn_diff
-    realtime_conversation_list_voices_response plan_update shutdown_complete raw_response_item raw_response_completed item_started hook_started hook_completed
-    agent_message_content_delta plan_delta reasoning_content_delta reasoning_raw_content_delta""".split()
-)
+    {
+        "realtime_conversation_started", "realtime_conversation_realtime", "realtime_conversation_closed", "realtime_conversation_sdp",
+        "model_reroute", "model_verification", "turn_moderation_metadata", "safety_buffering", "thread_settings_applied", "token_count",
+        "agent_reasoning_raw_content", "agent_reasoning_section_break", "session_configured", "thread_goal_updated", "mcp_startup_update",
+        "mcp_startup_complete", "exec_command_output_delta", "terminal_interaction", "exec_approval_request", "request_permissions",
+        "request_user_input", "elicitation_request", "apply_patch_approval_request", "guardian_assessment", "patch_apply_updated", "turn_diff",
+        "realtime_conversation_list_voices_response", "plan_update", "shutdown_complete", "raw_response_item", "raw_response_completed",
+        "item_started", "hook_started", "hook_completed", "agent_message_content_delta", "plan_delta", "reasoning_content_delta",
+        "reasoning_raw_content_delta",
+    }
+)
 _ROLES = {"user": N.HUMAN, "assistant": N.MODEL, "developer": N.INJECTED, "system": N.SYSTEM}
 _ABORTS = ("interrupted", "replaced", "review_ended", "budget_limited")
 _NAME = re.compile(r"[a-z0-9]+(?:[_-][a-z0-9]+)*\Z")
@@ -280,35 +284,45 @@ def threads(spark: SparkSession, database: str) -> tuple[DataFrame, DataFrame, b
     return times, spark.createDataFrame(edges, "id string, parent string"), recorded
 
 
-def records(spark: SparkSession, listed: DataFrame, folder: str, instance: str) -> DataFrame:
-    """ID, no, line of every thread's file under folder (rollout_path is relative to it)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path"), "content")
+def _lines(batches):
+    """path, no, line of files' contents; one that isn't UTF-8 gives a line that isn't JSON, so its conversation is malformed."""
+    import io
 
-    def lines(batches):
-        import pandas as pd
+    import pandas as pd
+    import zstandard
 
-        for frame in batches:
+    for frame in batches:
+        for path, content in zip(frame["path"], frame["content"]):
+            raw = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content)) if path.endswith(".zst") else io.BytesIO(content)
             out = []
-            for path, content in zip(frame["path"], frame["content"]):
-                if path.endswith(".zst"):
-                    import io
-
-                    import zstandard
+            try:
+                for no, line in enumerate(io.TextIOWrapper(io.BufferedReader(raw), encoding="utf-8", newline="\n")):
+                    out.append((path, no, line.rstrip("\r\n") or None))
+                    if len(out) == 1000:
+                        yield pd.DataFrame(out, columns=["path", "no", "line"])
+                        out = []
+            except (UnicodeDecodeError, zstandard.ZstdError):
+                out.append((path, 1 << 40, "\x00"))
+            if out:
+                yield pd.DataFrame(out, columns=["path", "no", "line"])
+
+
+def lines_of(spark: SparkSession, files: DataFrame, instance: str, kind: str = "codex") -> DataFrame:
+    """ID, no, line of the files (id, path): only they are opened. A file is one task's work, its lines are streamed."""
+    paths = [r["path"] for r in files.select("path").distinct().collect()]  # names of what changed since the last run
+    if not paths:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in C.ID) + ", no long, line string")
+    content = spark.read.format("binaryFile").load(paths).select("path", "content")
+    split = content.mapInPandas(_lines, "path string, no long, line string")
+    return split.join(files.select("id", "path"), "path").select(F.lit(kind).alias("source_kind"), F.lit(instance).alias("instance_id"), F.col("id").alias("native_id"), "no", "line")
 
-                    content = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content)).read()
-                try:
-                    text = content.decode("utf-8")
-                except UnicodeDecodeError:
-                    text = "\x00"  # not JSON: the conversation is malformed
-                out += [(path, i, line.rstrip("\r") or None) for i, line in enumerate(text.removesuffix("\n").split("\n"))]
-            yield pd.DataFrame(out, columns=["path", "no", "line"])
 
-    split = files.mapInPandas(lines, "path string, no long, line string")
+def records(spark: SparkSession, listed: DataFrame, folder: str, instance: str) -> DataFrame:
+    """ID, no, line of every thread's file under folder (rollout_path is relative to it)."""
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
     name = lambda c: F.element_at(F.split(c, "/"), -1)
     same = (name("path") == name("rollout_path")) & F.col("path").endswith(F.col("rollout_path"))
-    return split.join(listed, same).select(
-        F.lit("codex").alias("source_kind"), F.lit(instance).alias("instance_id"), F.col("id").alias("native_id"), "no", "line"
-    )
+    return lines_of(spark, there.join(listed, same).select("id", "path"), instance)
 
 
 def with_spawns(recorded: DataFrame, edges: DataFrame) -> DataFrame:

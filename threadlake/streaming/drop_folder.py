@@ -29,8 +29,13 @@ def follow(
 
     def batch(records: DataFrame, _: int) -> None:
         own = records.where((F.col("source_kind") == kind) & (F.col("instance_id") == instance)).persist()
-        if not own.take(1):
-            return
+        try:
+            if own.take(1):
+                indexed(own)
+        finally:
+            own.unpersist()
+
+    def indexed(own: DataFrame) -> None:
         # The newest version of a conversation is the whole of it: its revision is the digest of its lines.
         lines = F.array_sort(F.collect_list(F.struct("no", F.coalesce("line", F.lit("")).alias("line"))))
         fresh = own.groupBy(*C.ID).agg(F.sha2(F.to_json(lines), 256).alias("digest")).select(*C.ID, F.lit("lines-v1").alias("scheme"), "digest", F.lit("1").alias("adapter"))
@@ -41,10 +46,8 @@ def follow(
             rest = stored["tracking"].where((F.col("source_kind") == kind) & (F.col("instance_id") == instance) & (F.col("presence_status") == "present")).join(fresh.select(*C.ID), C.ID, "left_anti")
             candidates = fresh.unionByName(rest.select(*C.ID, *[F.col(f"last_good_{k}").alias(k) for k in ingest.REVISION]))
         heads = spark.createDataFrame([], SCHEMAS["documents"]).select(*C.ID, "title", "workspace", "created_at", "updated_at")
-        read, failures = normal.snapshot(normal.read_documents(own, normalise), heads, f"stream:{kind}")
         now = at()
-        writer.index(kind, instance, candidates, read, failures, now, now)
-        own.unpersist()
+        writer.index_read(kind, instance, candidates, normal.read_documents(own, normalise), heads, f"stream:{kind}", now, now)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
