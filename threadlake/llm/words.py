@@ -7,6 +7,7 @@ per word doesn't include a step of the Python interpreter.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -17,7 +18,7 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Characters that are worked on at once; a longer text is a block of its own.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -90,10 +91,21 @@ def blocks(texts: list[str], size: int = BLOCK) -> Iterator[tuple[int, int]]:
 
 
 def slices(batches: Iterator, rows: int = 1000) -> Iterator:
-    """Arrow batches in parts of that many rows, so that few texts are Python objects at once."""
+    """Arrow batches in parts of that many rows, so that few texts are Python objects at once.
+
+    After the last, what the task has freed goes back to the machine: a worker's next task may be another stage's.
+    """
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+    _trim()
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: nothing to do
 
 
 def code_points(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
@@ -179,7 +191,7 @@ class WordTable:
     in order; clear() empties them. The table is emptied when it holds limit words, so memory is bounded.
     """
 
-    def __init__(self, learn: Callable[[list[str]], None], clear: Callable[[], None], limit: int = 400_000):
+    def __init__(self, learn: Callable[[list[str]], None], clear: Callable[[], None], limit: int = 200_000):
         self._learn, self._clear, self._limit = learn, clear, limit
         self._slots: dict[int, int] = {}
 
