@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -151,13 +152,21 @@ def _earlier(filters: list[np.ndarray], key: int, a: int, b: int) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) > 0
 
 
-def tile_links(key: int, tile: np.ndarray, unit: np.ndarray, filters: list[np.ndarray], across: bool, cosine: float) -> np.ndarray:
-    """The matrix of pairs of a bucket's tile, or across two tiles, that are linked and share no smaller filter; all of one length."""
-    product = unit @ unit.T
+def _linked_pairs(unit: np.ndarray, cosine: float) -> np.ndarray:
+    """Which pairs of vectors have the cosine, by products of the last two axes; the diagonal is left out."""
+    product = unit @ np.swapaxes(unit, -1, -2)
     linked = product >= cosine
-    for a, b in np.argwhere(np.abs(product - cosine) < DOUBT).tolist():
-        linked[a, b] = math.sumprod(unit[a], unit[b]) >= cosine
-    np.fill_diagonal(linked, False)
+    for at in np.argwhere(np.abs(product - cosine) < DOUBT).tolist():
+        x, y = unit[(*at[:-2], at[-2])], unit[(*at[:-2], at[-1])]
+        linked[tuple(at)] = math.sumprod(x, y) >= cosine
+    diagonal = np.arange(unit.shape[-2])
+    linked[..., diagonal, diagonal] = False
+    return linked
+
+
+def tile_links(key: int, tile: np.ndarray, unit: np.ndarray, filters: list[np.ndarray], across: bool, cosine: float, linked: np.ndarray | None = None) -> np.ndarray:
+    """The matrix of pairs of a bucket's tile, or across two tiles, that are linked and share no smaller filter; all of one length."""
+    linked = _linked_pairs(unit, cosine) if linked is None else linked
     if across:
         linked &= tile[:, None] != tile
     if not linked.any():
@@ -195,56 +204,106 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+@dataclass
+class _Rows:
+    """Rows of (key, i, j)-groups as arrays."""
+
+    tile: np.ndarray
+    rep: np.ndarray
+    copies: np.ndarray
+    unit: np.ndarray  # end to end
+    at: np.ndarray
+    filters: list[np.ndarray]
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> _Rows:
+        _, unit, at = units(batch.column("embedding"))
+        lists = batch.column("filters")
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        return cls(*(batch.column(c).to_numpy() for c in ("tile", "rep", "copies")), unit, at, [flat[a:b] for a, b in zip(ends[:-1], ends[1:])])
+
+    def part(self, a: int, b: int) -> _Rows:
+        return _Rows(self.tile[a:b], self.rep[a:b], self.copies[a:b], self.unit[self.at[a] : self.at[b]], self.at[a : b + 1] - self.at[a], self.filters[a:b])
+
+    @staticmethod
+    def joined(parts: list[_Rows]) -> _Rows:
+        if len(parts) == 1:
+            return parts[0]
+        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.at) for p in parts]))])
+        return _Rows(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("tile", "rep", "copies", "unit")), at, [f for p in parts for f in p.filters])
+
+
+#: Groups of up to so many rows are multiplied all at once, by size.
+SMALL = 32
+
+
+def _group_links(rows: _Rows, key: int, across: bool, cosine: float, known: np.ndarray | None = None) -> Iterator[tuple]:
+    """(a, null, n) counts and (a, b, null) links of a group; known: which pairs have the cosine."""
+    dims = np.diff(rows.at)
+    for dim in np.unique(dims).tolist():
+        which = np.flatnonzero(dims == dim)
+        if len(which) > 1:
+            unit = np.array([rows.unit[rows.at[i] : rows.at[i + 1]] for i in which])
+            linked = tile_links(key, rows.tile[which], unit, [rows.filters[i] for i in which], across, cosine, known)
+            counts = linked @ rows.copies[which]
+            for k in np.flatnonzero(counts).tolist():
+                yield int(rows.rep[which[k]]), None, int(counts[k])
+            for j, k in _forest(linked):
+                yield int(rows.rep[which[j]]), int(rows.rep[which[k]]), None
+
+
 def _linked(cosine: float):
     """Rows (key, i, j, tile, rep, copies, embedding, filters) sorted by (key, i, j) in; (a, b, null) links and (a, null, n) counts out."""
 
-    def links_of(rows: pa.RecordBatch, key: int, across: bool) -> Iterator[tuple]:
-        _, x, at = units(rows.column("embedding"))
-        tile, rep, copies = (rows.column(c).to_numpy() for c in ("tile", "rep", "copies"))
-        ends, flat = rows.column("filters").offsets.to_numpy(), rows.column("filters").values.to_numpy()
-        dims = np.diff(at)
-        for dim in np.unique(dims).tolist():
-            which = np.flatnonzero(dims == dim)
-            if len(which) > 1:
-                unit = np.array([x[at[i] : at[i + 1]] for i in which])
-                linked = tile_links(key, tile[which], unit, [flat[ends[i] : ends[i + 1]] for i in which], across, cosine)
-                counts = linked @ copies[which]
-                for k in np.flatnonzero(counts).tolist():
-                    yield int(rep[which[k]]), None, int(counts[k])
-                for j, k in _forest(linked):
-                    yield int(rep[which[j]]), int(rep[which[k]]), None
+    def whole_groups(rows: _Rows, keys: np.ndarray, cuts: np.ndarray) -> Iterator[tuple]:
+        sizes, dims = np.diff(cuts), np.diff(rows.at)
+        done = np.zeros(len(sizes), dtype=bool)
+        if len(dims) and (dims == dims[0]).all():
+            unit = rows.unit.reshape(len(dims), -1)
+            for size in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]).tolist():
+                which = np.flatnonzero(sizes == size)
+                done[which] = True
+                for k in range(0, len(which), 2048):
+                    part = which[k : k + 2048]
+                    linked = _linked_pairs(unit[cuts[part][:, None] + np.arange(size)], cosine)
+                    for g in np.flatnonzero(linked.any(axis=(1, 2))).tolist():
+                        a = int(cuts[part[g]])
+                        yield from _group_links(rows.part(a, a + size), int(keys[a, 0]), keys[a, 1] != keys[a, 2], cosine, linked[g])
+        for g in np.flatnonzero(~done & (sizes > 1)).tolist():
+            a, b = int(cuts[g]), int(cuts[g + 1])
+            yield from _group_links(rows.part(a, b), int(keys[a, 0]), keys[a, 1] != keys[a, 2], cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[_Rows] = []  # of a group that may go on in the next batch
         now = None
-        out: list[tuple] = []
 
-        def close() -> None:
-            if sum(b.num_rows for b in held) > 1:
-                rows = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                out.extend(links_of(rows, now[0], now[1] != now[2]))
-            held.clear()
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [[], [], []]
-            out.clear()
+        def out(found: Iterator[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*found)) or [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n"])
 
+        def close() -> Iterator[tuple]:
+            rows = _Rows.joined(held) if held else None
+            held.clear()
+            if rows is not None and len(rows.rep) > 1:
+                yield from _group_links(rows, now[0], now[1] != now[2], cosine)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
+            rows = _Rows.of(batch)
             keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)])
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                group = tuple(keys[a].tolist())
-                if group != now:
-                    close()
-                    now = group
-                held.append(batch.slice(a, b - a))
-            if len(out) > 10_000:
-                yield flush()
-        close()
-        yield flush()
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+            first, last = tuple(keys[0].tolist()), tuple(keys[-1].tolist())
+            if first == now:
+                held.append(rows.part(0, int(cuts[1])))
+                cuts = cuts[1:]
+                if len(cuts) == 1:
+                    continue  # all of the batch is of the group
+            yield out(close())
+            yield out(whole_groups(rows, keys, cuts[:-1]))
+            held.append(rows.part(int(cuts[-2]), int(cuts[-1])))
+            now = last
+        yield out(close())
 
     return run
 
