@@ -19,6 +19,7 @@ import json
 import re
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from py4j.protocol import Py4JJavaError
@@ -63,6 +64,11 @@ MERGE_PARTS = 16
 LEASE_SECONDS = 3600
 
 
+def _columns(name: str) -> list[str]:
+    """A table's columns as its schema has them: name and type."""
+    return re.split(r", (?![^<]*>)", (SCHEMAS | DERIVED)[name])
+
+
 @dataclass(frozen=True)
 class Delta:
     """How a library differs from the stored generation that it was opened at."""
@@ -285,15 +291,22 @@ class Store:
         dead = {k: list(p) for k, p in found["dead"].items()} if follows else {"conversations": [], "texts": []}
         after = found | {"generation": generation, "parts": parts, "dead": dead}
 
-        def write(name: str, df: DataFrame, alone: bool) -> DataFrame:
-            columns = (SCHEMAS | DERIVED)[name]
+        def write(name: str, df: DataFrame) -> None:
             if name == "postings":
                 df = df.repartitionByRange("term", "digest").sortWithinPartitions("term", "digest")
             else:
                 df = df.sortWithinPartitions(*[c for c in [*C.ID, "ordinal", "segment_ordinal", "digest", "run_id"] if c in df.columns])
-            df.select(self.spark.createDataFrame([], columns).columns).write.parquet(f"{self.path}/{folder}/{name}")
-            parts[name] = ([] if alone else parts.get(name, [])) + [[generation, f"{folder}/{name}"]]
-            return self.spark.read.schema(columns).parquet(f"{self.path}/{folder}/{name}")
+            df.select([c.split(" ")[0] for c in _columns(name)]).write.parquet(f"{self.path}/{folder}/{name}")
+
+        def stored(tables: dict[str, DataFrame], alone: bool) -> None:
+            """Writes tables that don't depend on each other, side by side: each is a job of its own."""
+            with ThreadPoolExecutor(8) as pool:
+                list(pool.map(lambda n: write(n, tables[n]), tables))
+            for name in tables:
+                parts[name] = ([] if alone else parts.get(name, [])) + [[generation, f"{folder}/{name}"]]
+
+        def fresh(name: str) -> DataFrame:
+            return self.spark.read.schema((SCHEMAS | DERIVED)[name]).parquet(f"{self.path}/{folder}/{name}")
 
         def bury(kind: str, df: DataFrame) -> None:
             df.write.parquet(f"{self.path}/{folder}/dead-{kind}")
@@ -301,29 +314,23 @@ class Store:
 
         if follows:
             delta = library.delta
-            for name, df in delta.whole.items():
-                write(name, df, True)
+            stored(delta.whole, True)
             if delta.removed is not None:
                 bury("conversations", delta.removed.select(*C.ID).distinct())
             if delta.dropped is not None:
                 bury("texts", delta.dropped.select("digest").distinct())
             if delta.added:
-                fresh = {n: write(n, df, False) for n, df in delta.added.items()}
-                write("postings", search.postings(fresh["contents"]), False)
-                write("lengths", search.lengths(fresh["contents"]), False)
+                stored(delta.added, False)
                 # A document's texts may be in the library already, so sizes are looked up in all contents.
-                made = replace(library, tables={n: fresh.get(n, library[n]) for n in SCHEMAS} | {"contents": self._table(after, "contents")})
-                write("metrics", listing.computed_metrics(made), False)
+                made = replace(library, tables={n: fresh(n) if n in delta.added else library[n] for n in SCHEMAS} | {"contents": self._table(after, "contents")})
+                stored({"postings": search.postings(fresh("contents")), "lengths": search.lengths(fresh("contents")), "metrics": listing.computed_metrics(made)}, False)
             if delta.removed is not None or delta.added:
-                write("roots", lineage.resolved(self._library(after)), True)
+                stored({"roots": lineage.resolved(self._library(after))}, True)
         else:
-            for name in SCHEMAS:
-                write(name, library[name], True)
-            made = Library(self.spark, {n: self._table(after, n) for n in SCHEMAS})
-            write("postings", search.postings(made["contents"]), True)
-            write("lengths", search.lengths(made["contents"]), True)
-            write("metrics", listing.computed_metrics(made), True)
-            write("roots", lineage.resolved(made), True)
+            stored({n: library[n] for n in SCHEMAS}, True)
+            made = Library(self.spark, {n: fresh(n) for n in SCHEMAS})
+            texts = made["contents"]
+            stored({"postings": search.postings(texts), "lengths": search.lengths(texts), "metrics": listing.computed_metrics(made), "roots": lineage.resolved(made)}, True)
         self._put(after)
         if max(len(p) for p in parts.values()) > MERGE_PARTS:
             return self.commit(replace(self.open(), delta=None))

@@ -105,23 +105,26 @@ def show(library: Library, request: TranscriptRequest) -> dict:
             content, segments = content[:segments], segments - min(segments, len(content))
             for s in content:
                 if s["text"] is not None:
-                    raw = s["text"].encode()
-                    end = min(TEXT_BYTES, left, len(raw))
-                    while 0 < end < len(raw) and raw[end] & 0xC0 == 0x80:
-                        end -= 1
-                    s["truncated"] = end < len(raw)
-                    s["text"], left = raw[:end].decode(), left - end
+                    cut = shortened(s["text"], min(TEXT_BYTES, left))
+                    s["truncated"] = cut != s["text"]
+                    s["text"], left = cut, left - len(cut.encode())
         e["content"] = content
+    title = row["title"] if request.full or row["title"] is None else shortened(row["title"], TEXT_BYTES)
     return {
         "conversation": printable(request.conversation),
         "document_digest": row["stored_digest"],
-        "title": row["title"],
+        "title": title,
         "relations": shown_relations,
         "entries": entries,
         "selection": {"total_entries": total, "emitted_entries": len(entries), "omitted_entries": total - len(entries), "omitted_relations": len(relations) - len(shown_relations)},
     }
 
 
+def shortened(text: str, most: int) -> str:
+    """The longest prefix of whole code points within so many UTF-8 bytes."""
+    return text.encode()[:most].decode(errors="ignore") if len(text.encode()) > most else text
+
+
 def printable(identity: tuple[str, str, str]) -> str:
     from urllib.parse import quote
 

@@ -117,14 +117,16 @@ def read_documents(records: DataFrame, normalise: Callable[[str, list[str | None
     """One nested row for each conversation: its document, or failure_code.
 
     records: ID, no, line (null: a blank line). A conversation is normalised as a
-    whole by one task, as its fold depends on order; conversations are spread over all tasks.
+    whole by one task, as its fold depends on order; conversations are spread over all tasks. What
+    it makes is validated there: a document that breaks a rule is malformed.
     """
+    from threadlake.sources.validation import validated
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         row: dict[str, Any] = dict(zip(C.ID, key)) | {"failure_code": None, "lineage_coverage": None, "relations": None, "entries": None}
         try:
             lines = frame.sort_values("no")["line"]
-            doc = normalise(key[2], [None if pd.isna(x) else x for x in lines])
+            doc = validated(normalise(key[2], [None if pd.isna(x) else x for x in lines]), key[2])
         except Malformed as e:
             return pd.DataFrame([row | {"failure_code": e.code}])
         row |= {"lineage_coverage": doc.coverage, "relations": [{"relation": k, "target": t} for k, t in doc.relations], "entries": list(_entry_rows(doc.entries))}
