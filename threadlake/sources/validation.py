@@ -9,7 +9,7 @@ from threadlake.sources.normal import Document, Entry, Malformed, Segment
 
 # The other enumerations of the model.
 COVERAGES, CONFIDENCES = ("complete", "unknown"), ("high", "medium", "low", "unknown")
-RELATIONS, CLASSES = ("parent", "child", "fork", "unknown"), ("image", "resource", "structured", "unknown")
+RELATIONS, CLASSES = ("parent", "child", "fork", "continuation", "unknown"), ("image", "resource", "structured", "unknown")
 _SOURCE_TYPE = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*\Z")
 
 
