@@ -123,39 +123,52 @@ class Found:
     read: Callable[[DataFrame], DataFrame]  # ID -> normal.read_documents()
 
 
-def run(spark: SparkSession, library: str, kind: str, instance: str, discover: Callable[[], Found], locator: str, at: Callable[[], str], status: str = "ready") -> Library:
-    """One run over a source. status: what a probe said; a source that isn't ready infers no absence."""
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def run(spark: SparkSession, library: str, kind: str, instance: str, discover: Callable[[Keep], Found], locator: str, at: Callable[[], str], status: str = "ready") -> Library:
+    """One run over a source. status: what a probe said; a source that isn't ready infers no absence.
+
+    discover keeps what it lists by the function that it is given, as a listing that is worked out again
+    later would tell of other files.
+    """
     writer, started = Writer(spark, library), at()
     none = spark.createDataFrame([], ", ".join(f"{c} string" for c in C.ID) + ", failure_code string")
     nothing = ingest.Snapshot({n: spark.createDataFrame([], s) for n, s in SCHEMAS.items()})
+    staged: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        staged.append(writer.store.staging())
+        df.write.parquet(staged[-1])
+        return spark.read.schema(df.schema).parquet(staged[-1])
+
     try:
-        if status != "ready":
-            raise normal.Malformed(status)
-        found = discover()
-    except (normal.Malformed, SourceChanged, sqlite3.DatabaseError, OSError) as e:
-        code = status if status != "ready" else "source-changed" if isinstance(e, SourceChanged) else getattr(e, "code", "unreadable")
-        return writer.index(kind, instance, None, nothing, none, started, at(), code)
-    stored = writer.store.open() or empty(spark)
-    changed = ingest.changes(stored["tracking"], ingest.discovered(found.candidates)).where("status <> 'unchanged'").select(*C.ID)
-    wanted = changed.join(found.failures.select(*C.ID), C.ID, "left_anti")
-    staged = [writer.store.staging() for _ in range(2)]
-    try:
-        found.read(wanted).write.parquet(staged[0])
-        read = lambda k: spark.read.schema(normal.ROW).parquet(staged[k])
+        try:
+            if status != "ready":
+                raise normal.Malformed(status)
+            found = discover(keep)
+        except (normal.Malformed, SourceChanged, sqlite3.DatabaseError, OSError) as e:
+            code = status if status != "ready" else "source-changed" if isinstance(e, SourceChanged) else getattr(e, "code", "unreadable")
+            return writer.index(kind, instance, None, nothing, none, started, at(), code)
+        stored = writer.store.open() or empty(spark)
+        changed = ingest.changes(stored["tracking"], ingest.discovered(found.candidates)).where("status <> 'unchanged'").select(*C.ID)
+        wanted = keep(changed.join(found.failures.select(*C.ID), C.ID, "left_anti"))
+        read = keep(found.read(wanted))
         # A second discovery: what isn't as it was is read again, as it is now.
-        again = discover()
+        again = discover(keep)
         moved = found.candidates.join(again.candidates, [*C.ID, *ingest.REVISION], "left_anti").select(*C.ID)
-        deferred = moved.join(wanted, C.ID, "left_semi")
+        deferred = keep(moved.join(wanted, C.ID, "left_semi"))
         if not deferred.take(1):
-            return writer.index_read(kind, instance, found.candidates, read(0), found.heads, locator, started, at(), found.failures)
+            return writer.index_read(kind, instance, found.candidates, read, found.heads, locator, started, at(), found.failures)
         there = deferred.join(again.candidates.select(*C.ID), C.ID, "left_semi")
-        again.read(there).write.parquet(staged[1])
-        last = discover()
+        reread = keep(again.read(there))
+        last = discover(keep)
         steady = there.join(again.candidates, C.ID).join(last.candidates, [*C.ID, *ingest.REVISION], "left_semi").select(*C.ID)
         lost = deferred.join(steady, C.ID, "left_anti").withColumn("failure_code", F.lit("source-changed"))
-        whole = read(0).join(deferred, C.ID, "left_anti").unionByName(read(1).join(steady, C.ID, "left_semi"))
+        whole = read.join(deferred, C.ID, "left_anti").unionByName(reread.join(steady, C.ID, "left_semi"))
         candidates = found.candidates.join(steady, C.ID, "left_anti").unionByName(again.candidates.join(steady, C.ID, "left_semi"))
-        return writer.index_read(kind, instance, candidates, whole, again.heads.unionByName(found.heads.join(again.heads.select(*C.ID), C.ID, "left_anti")), locator, started, at(), found.failures.unionByName(lost.select(*C.ID, "failure_code")))
+        heads = again.heads.unionByName(found.heads.join(again.heads.select(*C.ID), C.ID, "left_anti"))
+        return writer.index_read(kind, instance, candidates, whole, heads, locator, started, at(), found.failures.unionByName(lost.select(*C.ID, "failure_code")))
     finally:
         for path in staged:
             writer.store.discard(path)
@@ -168,7 +181,7 @@ def _identified(df: DataFrame, kind: str, instance: str, native: str) -> DataFra
 def index_rollouts(spark: SparkSession, library: str, paths: RolloutPaths, instance: str, at: Callable[[], str]) -> Library:
     """Indexes what is new of the rollout histories; a file that isn't there fails as unavailable, one of another name as malformed."""
 
-    def discover() -> Found:
+    def discover(keep: Keep) -> Found:
         with private_copy(paths.database) as copy:
             threads, edges, recorded = rollout.threads(spark, copy)
         rows = _identified(threads.where("id <> ''"), "codex", instance, "id")
@@ -176,7 +189,7 @@ def index_rollouts(spark: SparkSession, library: str, paths: RolloutPaths, insta
         # A thread's file may have been packed since its path was noted.
         logical = F.regexp_replace("rollout_path", r"\.zst$", "")
         good = name.rlike(ROLLOUT_NAME) & F.regexp_replace(name, r"\.zst$", "").endswith(F.concat("id", F.lit(".jsonl")))
-        files = listed(spark, paths.home).withColumn("logical", F.regexp_replace("relative", r"\.zst$", ""))
+        files = keep(listed(spark, paths.home)).withColumn("logical", F.regexp_replace("relative", r"\.zst$", ""))
         inside = F.when(logical.startswith("/"), F.replace(logical, F.lit(paths.home + "/"), F.lit(""))).otherwise(logical)
         placed = rows.withColumns({"logical": inside, "good": good}).join(files.select("logical", "path", "relative", "bytes", "changed_at"), "logical", "left")
         one = placed.groupBy(*C.ID, "good", "title", "cwd", "created_at", "updated_at", "logical").agg(F.max(F.struct("changed_at", "bytes", "relative", "path")).alias("f"))
@@ -294,8 +307,8 @@ def outcome(found: DataFrame, issues: DataFrame, transcripts_only_folders: bool
 def index_agents(spark: SparkSession, library: str, home: str, instance: str, at: Callable[[], str]) -> Library:
     """Indexes what is new of chat and agent stores and of transcripts below home, a folder that driver and executors share."""
 
-    def discover() -> Found:
-        files = inventory(listed(spark, home))
+    def discover(keep: Keep) -> Found:
+        files = inventory(keep(listed(spark, home)))
         rows = []
         for r in files.where("role = 'catalog'").select("scope", "path").collect():  # one for each project
             rows += [(r["scope"], *a) for a in catalog_agents(re.sub(r"^file:/*", "/", r["path"]))]
