@@ -398,6 +398,20 @@ def test_ring_against_one_by_one():
     assert sum(more[20][k] != more[21][k] for k in more[20]) < 0.2 * len(more[20])
 
 
+def test_one_more_shard_moves_few_rows_with_exact_loads():
+    """With the query's parameters: 24 shards that differ by a row at most, then 25. An even share of the rows, 1/25, has to move; less than three of them do."""
+    rnd = random.Random(1)
+    counts = {c: rnd.randint(20, 40) for c in range(0, ring.CELLS, 16)}
+    at = {}
+    for n in (24, 25):
+        shares = ring.allot(counts, n)
+        at[n] = {(s.cell, k): s.shard for s in shares for k in range(s.low, s.high)}
+        loads = [sum(s.high - s.low for s in shares if s.shard == x) for x in range(n)]
+        assert max(loads) - min(loads) <= 1 and sum(loads) == sum(counts.values())
+    moved = sum(at[24][k] != at[25][k] for k in at[24]) / len(at[24])
+    assert 1 / 25 <= moved + 0.001 and moved < 3 / 25
+
+
 # conversations
 
 
