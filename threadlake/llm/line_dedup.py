@@ -312,7 +312,8 @@ def links(docs: DataFrame, of: DataFrame, edits: int = EDITS, min_chars: int = M
     wide = F.when(F.col("n") < CHARS_AN_EDIT * (edits + 1), F.encode("form", "UTF-32")).alias("wide")
     spread = long.select("k1", "n", "form", wide).select("k1", near_length(F.col("n"), edits).alias("b"), F.explode(entries(edits=edits)).alias("e"))
     kind = F.col("e").bitwiseAND(F.lit(3))
-    entry = spread.select("k1", F.col("e").bitwiseAND(F.lit(-4)).alias("key"), F.when(kind == _CHUNK, F.col("b")).otherwise(-1).alias("b"), (kind != _PROBE).alias("indexed"))
+    # Keys of chunks are even and those of segments odd.
+    entry = spread.select("k1", F.col("e").bitwiseAND(F.lit(-4)).bitwiseOR(F.when(kind == _CHUNK, 0).otherwise(1)).alias("key"), F.when(kind == _CHUNK, F.col("b")).otherwise(-1).alias("b"), (kind != _PROBE).alias("indexed"))
     near = Window.partitionBy("key").orderBy("b").rangeBetween(-1, 1)
     met = entry.select("*", F.max("indexed").over(near).alias("found"), F.min("k1").over(near).alias("least"), F.max("k1").over(near).alias("most"))
     shared = store.saved(met.where("found AND least <> most").select("key", "k1", "b", "indexed").distinct(), "shared")
@@ -347,11 +348,17 @@ def links(docs: DataFrame, of: DataFrame, edits: int = EDITS, min_chars: int = M
         placed = members.join(_bounded(joined.withColumnRenamed("node", "id")), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
         open_ = store.saved(placed.join(mixed, "key"), "open")
-    # What is left of a key in several components, across them.
-    x, y = open_.where("indexed").alias("x"), open_.withColumn("at", _spread(F.col("b"))).alias("y")
-    once = (F.col("x.id") < F.col("y.id")) | ~F.col("y.indexed")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.b") == F.col("y.at")) & (F.col("x.c") != F.col("y.c")) & once & _allowed("x", "y", edits)
-    crossing = store.saved(x.join(y, meet).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
+    # What is left of a key in several components, across them. A pair that meets in several keys is tried in the
+    # smallest that the first line is indexed by, so there is a row for each pair, not for each key that it shares.
+    keyed = open_.groupBy("id").agg(F.collect_set(F.when(F.col("indexed"), F.col("key"))).alias("own"), F.collect_set("key").alias("every"))
+    keyed = keyed.select("id", "own", F.when(F.size("every") > F.size("own"), F.col("every")).alias("every"))  # no more than a line's entries
+    held = store.saved(open_.join(keyed, "id"), "held")
+    x, y = held.where("indexed").alias("x"), held.withColumn("at", _spread(F.col("b"))).alias("y")
+    every = lambda side: F.coalesce(F.col(f"{side}.every"), F.col(f"{side}.own"))
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.b") == F.col("y.at")) & (F.col("x.c") != F.col("y.c")) & _allowed("x", "y", edits)
+    first = F.array_min(F.array_intersect(F.col("x.own"), every("y"))) == F.col("x.key")
+    once = (F.col("x.id") < F.col("y.id")) | ~F.arrays_overlap(F.col("y.own"), every("x"))
+    crossing = store.saved(x.join(y, meet & first & once).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
     if crossing.take(1):
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(crossing)))
     return texts.select("id", "k1", "k2").join(joined.withColumnRenamed("node", "id"), "id").select("k1", "k2", "component")
