@@ -30,7 +30,8 @@ several components are tried across them, so no link is missed. Before a pair be
 a sketch of character counts must allow it: characters are counted in 40 classes (frequent
 letters one by one, the rest by the low bits of their code points), each count is a cyclic
 code that changes one bit a step, and an edit changes two counts by one at most, so
-sketches of lines within k edits differ in 2k bits at most. All of it is DataFrame functions.
+sketches of lines within k edits differ in 2k bits at most, less the difference of their
+lengths, as an insertion or deletion changes one count. All of it is DataFrame functions.
 
 Lines of fewer than MIN_CHARS characters, white space around them not counted,
 are too short for a fixed number of edits to mean likeness; no edits link them.
@@ -271,7 +272,8 @@ def entries(form: str = "form", wide: str = "wide", length: str = "n", edits: in
 def _allowed(x: str, y: str, edits: int) -> Column:
     most = edits_of(F.greatest(f"{x}.n", f"{y}.n"), edits)
     flips = sum((F.bit_count(F.col(f"{x}.s.s{i}").bitwiseXOR(F.col(f"{y}.s.s{i}"))) for i in range(SKETCH_LONGS)), F.lit(0))
-    return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= most) & (flips <= 2 * most)
+    longer = F.abs(F.col(f"{x}.n") - F.col(f"{y}.n"))
+    return (longer <= most) & (flips <= 2 * most - longer)
 
 
 def lines(docs: DataFrame) -> DataFrame:
