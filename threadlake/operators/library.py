@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from threadlake.functions import columns as C
 from threadlake.plans.requests import OperationError
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 _ID = "source_kind string, instance_id string, native_id string"
 SCHEMAS = {
     "sources": "source_kind string, instance_id string, coverage_status string, coverage_observed_at string",
@@ -51,13 +51,23 @@ SCHEMAS = {
 DERIVED = {
     "metrics": f"{_ID}, relation_count long, entry_count long, segment_count long, omitted_count long, text_bytes long",
     "roots": f"{_ID}, root struct<source_kind:string,instance_id:string,native_id:string>",
-    "postings": "term string, digest string, positions array<int>",
+    "postings": "term string, block int, digest string, length long, positions array<int>",
+    "blocks": "term string, block int, texts long, most int, least long",
     "lengths": "digest string, length long",
+    "corpus": "texts long, tokens long",
+    "places": f"digest string, {_ID}, ordinal long, segment_ordinal long, origin string",
 }
 #: The tables that a derived one follows from.
-_SOURCES_OF = {"metrics": ("documents", "relations", "entries", "occurrences", "contents"), "roots": ("documents", "relations"), "postings": ("contents",), "lengths": ("contents",)}
-BY_CONVERSATION = ("documents", "relations", "entries", "occurrences", "metrics")
+_SOURCES_OF = {"metrics": ("documents", "relations", "entries", "occurrences", "contents"), "roots": ("documents", "relations"), "postings": ("contents",), "blocks": ("contents",), "lengths": ("contents",), "corpus": ("contents",), "places": ("occurrences",)}
+BY_CONVERSATION = ("documents", "relations", "entries", "occurrences", "metrics", "places")
 BY_TEXT = ("contents", "postings", "lengths")
+#: Tables of which a query reads a few keys' rows, and the order that they are cut into files and sorted by.
+BY_KEY = {
+    "documents": C.ID, "relations": [*C.ID, "ordinal"], "entries": [*C.ID, "ordinal"], "occurrences": [*C.ID, "ordinal", "segment_ordinal"], "contents": ["digest"],
+    "postings": ["term", "block", "digest"], "blocks": ["term", "block"], "places": ["digest", *C.ID, "ordinal"],
+}
+#: Row groups of those tables, so that one key's rows are few of them.
+GROUP_BYTES = 8 << 20
 #: More parts of a table than this are written anew as one.
 MERGE_PARTS = 16
 #: For so many seconds a lock holds unless it is renewed; then its writer counts as lost.
@@ -292,11 +302,12 @@ class Store:
         after = found | {"generation": generation, "parts": parts, "dead": dead}
 
         def write(name: str, df: DataFrame) -> None:
-            if name == "postings":
-                df = df.repartitionByRange("term", "digest").sortWithinPartitions("term", "digest")
-            else:
-                df = df.sortWithinPartitions(*[c for c in [*C.ID, "ordinal", "segment_ordinal", "digest", "run_id"] if c in df.columns])
-            df.select([c.split(" ")[0] for c in _columns(name)]).write.parquet(f"{self.path}/{folder}/{name}")
+            if name in BY_KEY:
+                df = df.repartitionByRange(*BY_KEY[name]).sortWithinPartitions(*BY_KEY[name])
+            elif by := [c for c in [*C.ID, "ordinal", "segment_ordinal", "digest", "run_id"] if c in df.columns]:
+                df = df.sortWithinPartitions(*by)
+            out = df.select([c.split(" ")[0] for c in _columns(name)]).write
+            (out.option("parquet.block.size", GROUP_BYTES) if name in BY_KEY else out).parquet(f"{self.path}/{folder}/{name}")
 
         def stored(tables: dict[str, DataFrame], alone: bool) -> None:
             """Writes tables that don't depend on each other, side by side: each is a job of its own."""
@@ -308,6 +319,19 @@ class Store:
         def fresh(name: str) -> DataFrame:
             return self.spark.read.schema((SCHEMAS | DERIVED)[name]).parquet(f"{self.path}/{folder}/{name}")
 
+        def index_texts(texts: DataFrame) -> None:
+            """The index of texts that are new; its blocks follow from the postings as written."""
+            stored({"lengths": search.lengths(texts)}, not follows)
+            stored({"corpus": search.corpus(fresh("lengths"))}, not follows)
+            stored({"postings": search.postings(texts, search.range_bits(fresh("lengths").count()))}, not follows)
+            stored({"blocks": search.blocks(fresh("postings"))}, not follows)
+
+        def further(tables: dict[str, DataFrame], label: str) -> None:
+            """Rows of tables that were perhaps written already in this commit."""
+            for name, df in tables.items():
+                df.select([c.split(" ")[0] for c in _columns(name)]).write.parquet(f"{self.path}/{folder}/{label}/{name}")
+                parts.setdefault(name, []).append([generation, f"{folder}/{label}/{name}"])
+
         def bury(kind: str, df: DataFrame) -> None:
             df.write.parquet(f"{self.path}/{folder}/dead-{kind}")
             dead[kind].append([generation, f"{folder}/dead-{kind}"])
@@ -323,14 +347,20 @@ class Store:
                 stored(delta.added, False)
                 # A document's texts may be in the library already, so sizes are looked up in all contents.
                 made = replace(library, tables={n: fresh(n) if n in delta.added else library[n] for n in SCHEMAS} | {"contents": self._table(after, "contents")})
-                stored({"postings": search.postings(fresh("contents")), "lengths": search.lengths(fresh("contents")), "metrics": listing.computed_metrics(made)}, False)
+                index_texts(fresh("contents"))
+                stored({"places": search.text_places(fresh("occurrences")), "metrics": listing.computed_metrics(made)}, False)
+            if delta.dropped is not None:
+                # What goes is taken off the totals, which have no row for each text.
+                gone = self._table(found, "contents").join(delta.dropped.select("digest").distinct(), "digest", "left_semi")
+                less = search.corpus(search.lengths(gone)).select(*[(-F.col(c)).alias(c) for c in ("texts", "tokens")])
+                further({"blocks": search.without_blocks(search.postings(gone)), "corpus": less}, "dropped")
             if delta.removed is not None or delta.added:
                 stored({"roots": lineage.resolved(self._library(after))}, True)
         else:
             stored({n: library[n] for n in SCHEMAS}, True)
             made = Library(self.spark, {n: fresh(n) for n in SCHEMAS})
-            texts = made["contents"]
-            stored({"postings": search.postings(texts), "lengths": search.lengths(texts), "metrics": listing.computed_metrics(made), "roots": lineage.resolved(made)}, True)
+            index_texts(made["contents"])
+            stored({"places": search.text_places(made["occurrences"]), "metrics": listing.computed_metrics(made), "roots": lineage.resolved(made)}, True)
         self._put(after)
         if max(len(p) for p in parts.values()) > MERGE_PARTS:
             return self.commit(replace(self.open(), delta=None))

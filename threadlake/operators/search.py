@@ -24,21 +24,58 @@ from threadlake.plans.requests import EntryFilter, search_terms
 K1, B = 1.2, 0.75
 
 
+#: A block holds the texts of one length class and one digest range. A class spans lengths up to this factor, and a range has about BLOCK_TEXTS texts if all classes are alike.
+LENGTH_STEP, BLOCK_TEXTS, RANGE_BITS = 1.25, 4096, 20
+
+
 @dataclass(frozen=True)
 class Index:
-    """Postings (term, digest, positions), lengths (digest, length) and, over all texts, their number and mean length in tokens."""
+    """Postings (term, block, digest, length, positions), blocks (term, block, texts, most, least) and, over all texts, their number and mean length in tokens.
+
+    Of each term, a block says how many of its texts have it, how often one of them has it at most, and how
+    long one of them is at least: no text of the block scores higher than those two would.
+    """
 
     postings: DataFrame
-    lengths: DataFrame
+    blocks: DataFrame
     texts: int
     mean_length: float
+    stored: bool = False
+
+
+def range_bits(texts: int) -> int:
+    """How many bits of a digest tell blocks apart."""
+    return min(RANGE_BITS, max(0, (texts // BLOCK_TEXTS).bit_length()))
+
+
+def postings(contents: DataFrame, bits: int = 0) -> DataFrame:
+    """term, block, digest, length (of the text, in tokens) and positions (from 0, ascending), one row for each term of each text; made within the text's row."""
+    listed = contents.select("digest", C.tokens(F.col("text")).alias("tokens"))
+    at = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("position")))
+    ordered = listed.select("digest", F.size("tokens").cast("long").alias("length"), F.array_sort(at).alias("at"))
+    # Equal terms stand together now: a term's positions are a slice from where it begins to where the next one does.
+    begins = F.filter(F.sequence(F.lit(0), F.size("at") - 1), lambda i: (i == 0) | (F.get("at", i - 1)["term"] != F.get("at", i)["term"]))
+    cut = ordered.where("length > 0").withColumn("begins", begins)
+    ends = lambda k: F.coalesce(F.get("begins", k + 1), F.size("at"))
+    runs = F.transform("begins", lambda i, k: F.struct(F.get("at", i)["term"].alias("term"), F.transform(F.slice("at", i + 1, ends(k) - i), lambda x: x["position"]).alias("positions")))
+    return cut.select("digest", "length", F.explode(runs).alias("p")).select("p.term", _block(bits).alias("block"), "digest", "length", "p.positions")
+
+
+def _block(bits: int) -> Column:
+    """The block of a text by its digest and length."""
+    kind = F.floor(F.log(F.col("length").cast("double")) / math.log(LENGTH_STEP)).cast("int")
+    place = F.shiftright(F.conv(F.substring("digest", 1, RANGE_BITS // 4), 16, 10).cast("int"), RANGE_BITS - bits)
+    return kind * (1 << RANGE_BITS) + place
 
 
-def postings(contents: DataFrame) -> DataFrame:
-    """term, digest, positions (from 0, ascending), one row for each term of each text; made within the text's row."""
-    placed = F.transform(C.tokens(F.col("text")), lambda t, i: F.struct(t.alias("term"), i.alias("position")))
-    each = contents.select("digest", F.explode(placed).alias("p"))
-    return each.groupBy("p.term", "digest").agg(F.array_sort(F.collect_list("p.position")).alias("positions"))
+def blocks(kept: DataFrame) -> DataFrame:
+    """term, block, texts, most (occurrences in one text), least (length of one) of postings."""
+    return kept.groupBy("term", "block").agg(F.count("*").alias("texts"), F.max(F.size("positions")).alias("most"), F.min("length").alias("least"))
+
+
+def without_blocks(kept: DataFrame) -> DataFrame:
+    """What blocks get for postings that go: their number is taken off; what is left scores no higher than before."""
+    return blocks(kept).select("term", "block", (-F.col("texts")).alias("texts"), F.lit(0).alias("most"), F.lit(None).cast("long").alias("least"))
 
 
 def lengths(contents: DataFrame) -> DataFrame:
@@ -46,13 +83,21 @@ def lengths(contents: DataFrame) -> DataFrame:
     return contents.select("digest", F.size(C.tokens(F.col("text"))).cast("long").alias("length"))
 
 
+def corpus(long: DataFrame) -> DataFrame:
+    """One row: texts, and tokens in all, of lengths."""
+    return long.agg(F.count("*").alias("texts"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
+
+
 def index(library: Library) -> Index:
-    """The stored index, of which a query reads its own terms' row groups and the lengths; or one worked out from the texts."""
-    kept, long = library.stored("postings"), library.stored("lengths")
-    if kept is None or long is None:
-        kept, long = postings(library["contents"]), lengths(library["contents"])
-    total = long.agg(F.count("*").alias("n"), F.sum("length").alias("length")).collect()[0]
-    return Index(kept, long, total["n"], (total["length"] or 0) / total["n"] if total["n"] else 0.0)
+    """The stored index, of whose tables a query reads its own terms' row groups and a few rows of totals; or one worked out from the texts."""
+    kept, held, totals = (library.stored(n) for n in ("postings", "blocks", "corpus"))
+    stored = kept is not None and held is not None and totals is not None
+    if not stored:
+        kept = postings(library["contents"])
+        held, totals = blocks(kept), corpus(lengths(library["contents"]))
+    n = totals.agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens")).collect()[0]
+    texts = n["texts"] or 0
+    return Index(kept, held, texts, (n["tokens"] or 0) / texts if texts else 0.0, stored)
 
 
 def vocabulary(kept: DataFrame) -> DataFrame:
@@ -85,9 +130,11 @@ def token_list(text: str) -> list[str]:
 
 
 def phrase_counts(found: Index, phrases: list[list[str]]) -> DataFrame:
-    """digest and tf_0 .. tf_n: how often each phrase stands in each text that has any of its tokens."""
+    """digest, block, length and tf_0 .. tf_n: how often each phrase stands in each text that has any of its tokens."""
     wanted = sorted({t for p in phrases for t in p})
-    held = found.postings.where(F.col("term").isin(wanted)).groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    held = found.postings.where(F.col("term").isin(wanted)).groupBy("digest").agg(
+        F.first("block").alias("block"), F.first("length").alias("length"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at")
+    )
 
     def back(k: int):
         return lambda p: p - k
@@ -99,40 +146,89 @@ def phrase_counts(found: Index, phrases: list[list[str]]) -> DataFrame:
             starts = F.array_intersect(starts, F.transform(F.coalesce(F.col("at")[token], none), back(k)))
         return F.size(starts)
 
-    return held.select("digest", *[count(p).alias(f"tf_{i}") if p else F.lit(0).alias(f"tf_{i}") for i, p in enumerate(phrases)])
+    return held.select("digest", "block", "length", *[count(p).alias(f"tf_{i}") if p else F.lit(0).alias(f"tf_{i}") for i, p in enumerate(phrases)])
+
+
+def text_counts(found: Index, phrases: list[list[str]], counts: DataFrame | None = None) -> list[int]:
+    """How many texts have each phrase: by the stored blocks where it is one token, else counted."""
+    out = [0] * len(phrases)
+    if found.stored:
+        single = {p[0] for p in phrases if len(p) == 1}
+        known = {r["term"]: r["texts"] for r in found.blocks.where(F.col("term").isin(sorted(single))).groupBy("term").agg(F.sum("texts").alias("texts")).collect()} if single else {}
+        out = [known.get(p[0], 0) if len(p) == 1 else 0 for p in phrases]
+    left = [i for i, p in enumerate(phrases) if p and not (found.stored and len(p) == 1)]
+    if left:
+        counts = phrase_counts(found, [phrases[i] for i in left]) if counts is None or found.stored else counts.select(*[F.col(f"tf_{i}").alias(f"tf_{k}") for k, i in enumerate(left)])
+        seen = counts.agg(*[F.count_if(F.col(f"tf_{k}") > 0).alias(f"n_{k}") for k in range(len(left))]).collect()[0]
+        for k, i in enumerate(left):
+            out[i] = seen[f"n_{k}"]
+    return out
+
 
+def weights(found: Index, seen: list[int]) -> list[float]:
+    """A phrase's weight by the number of texts that have it."""
+    return [max(math.log((found.texts - n + 0.5) / (n + 0.5)) if n else 0.0, 1e-6) for n in seen]
 
-def scored(library: Library, text: str, mode: str = "all", found: Index | None = None) -> DataFrame:
-    """digest, score and tf_i (a repeated term is another phrase) of every text that matches."""
-    found = found or index(library)
+
+def strength(tf: Column, length: Column, mean: float) -> Column:
+    """How well a text of that length matches by that many occurrences; it grows with them and falls with the length."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def parsed(text: str, mode: str) -> list[list[str]] | None:
+    """The phrases of a query; None where no text can match, as a term without a token matches nothing."""
     phrases = [token_list(t) for t in search_terms(text)]
-    if not any(phrases) or (mode == "all" and not all(phrases)):
-        # A term without a token matches nothing: with "all" nothing is left, with "any" it is ignored.
-        return library.spark.createDataFrame([], "digest string, score double, " + ", ".join(f"tf_{i} int" for i in range(len(phrases))))
-    counts = phrase_counts(found, phrases)
-    tf = [F.col(f"tf_{i}") for i in range(len(phrases))]
-    seen = counts.agg(*[F.count_if(c > 0).alias(f"n_{i}") for i, c in enumerate(tf)]).collect()[0]
+    return phrases if any(phrases) and (mode == "any" or all(phrases)) else None
+
+
+def matched(counts: DataFrame, n: int, mode: str) -> DataFrame:
+    """The texts that have all or any of n phrases."""
     match = F.lit(mode == "all")
-    for c in tf:
-        match = (match & (c > 0)) if mode == "all" else (match | (c > 0))
-    rows = counts.where(match).join(found.lengths, "digest")
+    for i in range(n):
+        match = (match & (F.col(f"tf_{i}") > 0)) if mode == "all" else (match | (F.col(f"tf_{i}") > 0))
+    return counts.where(match)
+
+
+def rated(rows: DataFrame, found: Index, idf: list[float]) -> DataFrame:
+    """rows with their score."""
     score = F.lit(0.0)
-    for i, c in enumerate(tf):
-        n = seen[f"n_{i}"]
-        idf = math.log((found.texts - n + 0.5) / (n + 0.5)) if n else 0.0
-        idf = idf if idf > 0 else 1e-6
-        score = score - idf * (c * (K1 + 1)) / (c + K1 * (1 - B + B * F.col("length") / found.mean_length))
-    return rows.select("digest", score.alias("score"), *tf)
+    for i, w in enumerate(idf):
+        score = score - w * strength(F.col(f"tf_{i}"), F.col("length"), found.mean_length)
+    return rows.withColumn("score", score)
+
+
+def scored(library: Library, text: str, mode: str = "all", found: Index | None = None) -> DataFrame:
+    """digest, score and tf_i (a repeated term is another phrase) of every text that matches."""
+    found, phrases = found or index(library), parsed(text, mode)
+    if phrases is None:
+        return library.spark.createDataFrame([], "digest string, score double, " + ", ".join(f"tf_{i} int" for i in range(len(search_terms(text)))))
+    counts = phrase_counts(found, phrases)
+    idf = weights(found, text_counts(found, phrases, counts))
+    return rated(matched(counts, len(phrases), mode), found, idf).select("digest", "score", *[f"tf_{i}" for i in range(len(phrases))])
+
+
+def places(library: Library) -> DataFrame:
+    """digest, KEY, segment_ordinal and origin of every text occurrence: stored by digest, or as the occurrences have them."""
+    kept = library.stored("places")
+    return text_places(library["occurrences"]) if kept is None else kept
+
+
+def text_places(occurrences: DataFrame) -> DataFrame:
+    return occurrences.where("digest IS NOT NULL").select("digest", *E.KEY, "segment_ordinal", "origin")
 
 
 def matching(library: Library, text: str, f: EntryFilter = EntryFilter(), mode: str = "all", found: Index | None = None) -> DataFrame:
     """Every occurrence that matches and passes the filter: its keys, digest, score, tf_i and the conversation's activity."""
+    return located(scored(library, text, mode, found), places(library), library, f)
+
+
+def located(texts: DataFrame, where: DataFrame, library: Library, f: EntryFilter) -> DataFrame:
+    """The occurrences (of `where`) of texts that pass the filter, with their conversation's activity."""
     spine = library.retained().where(filters.conversations(f)).select(*C.ID, "activity")
     entry = library["entries"].where(filters.entries(f)).select(*E.KEY)
-    places = library["occurrences"].where("digest IS NOT NULL")
     if f.origin is not None:
-        places = places.where(F.col("origin") == f.origin)
-    hits = scored(library, text, mode, found).join(places.select(*E.KEY, "segment_ordinal", "digest"), "digest")
+        where = where.where(F.col("origin") == f.origin)
+    hits = texts.join(where.select(*E.KEY, "segment_ordinal", "digest"), "digest")
     return hits.join(entry, E.KEY, "left_semi").join(spine, C.ID)
 
 
@@ -163,7 +259,12 @@ def order() -> list[Column]:
 
 
 def page(library: Library, text: str, f: EntryFilter = EntryFilter(), mode: str = "all", limit: int = 20, offset: int = 0, found: Index | None = None) -> DataFrame:
-    """limit + 1 hits in order; texts are joined only to these."""
+    """limit + 1 hits in order; texts are joined only to these. Over a stored index only the blocks that can reach the page are read."""
+    from threadlake.operators import topk
+
+    found = found or index(library)
+    if found.stored:
+        return topk.page(library, text, f, mode, limit, offset, found).hits
     return hits(matching(library, text, f, mode, found), text, mode).orderBy(*order()).offset(offset).limit(limit + 1)
 
 

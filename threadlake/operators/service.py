@@ -99,7 +99,7 @@ class Engine:
         offset = self._start(request).offset
         index = search.index(self.library)
         matches = search.matching(self.library, request.text, request.filter, request.mode, index)
-        page = search.hits(matches, request.text, request.mode).orderBy(*search.order()).offset(offset).limit(request.limit + 1)
+        page = search.page(self.library, request.text, request.filter, request.mode, request.limit, offset, index)
         shown = lineage.with_root(search.with_snippets(page, self.library, request.text), self.library)
         found = shown.orderBy(*search.order()).collect()
         out = {
