@@ -7,9 +7,9 @@ top. Positions come from ranges of rows, so no task holds a language.
 The root comes from a sparse forest: an associative monoid whose values are sets of
 unresolved nodes, keyed by tree, level and index. As a tree's number of leaves is known,
 so is the size of every run of siblings, and a run that is complete becomes its parent at
-once. Each partition folds its rows into such a forest, some nodes at each ragged end of
-what it holds, and treeReduce merges them until one node is left. Nothing else meets on
-the driver.
+once. Each range of rows is folded into such a forest, some nodes at each ragged end of
+what it holds; neighbours are merged in rounds, and treeReduce merges the rest until one
+node is left. Nothing else meets on the driver.
 
 Proofs are handed down in blocks of BLOCK nodes: the siblings above a block come from the
 same steps over the blocks' own nodes, a table of 1/BLOCK of the rows, and so on.
@@ -115,7 +115,7 @@ def leaves(docs: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Leaves as nodes (tree, n, index, value, doc_id, altered), n being the tree's leaves; and the trees: has_lang, lang, n, tree (its rank)."""
+    """Leaves as nodes (RANGE, tree, n, index, value, doc_id, altered), n being the tree's leaves; and the trees: has_lang, lang, n, tree (its rank)."""
     rows = ranks.ranged(leaves(docs), _LANG, ["doc_id", "leaf"], "leaves")
     each = store.saved(ranks.stretches(rows, _LANG), "stretches")
     trees = each.groupBy(*_LANG).agg(F.sum("stretch_rows").alias("n"))
@@ -123,35 +123,49 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = each.withColumn("offset", F.coalesce(F.sum("stretch_rows").over(ranks.earlier(_LANG)), F.lit(0))).drop("stretch_rows").join(trees.hint("merge"), _LANG)
     joined = rows.join(known.hint("merge"), [RANGE, *_LANG])
     at = F.col(SEQ) - F.col("stretch_from") + F.col("offset")
-    return joined.select("tree", "n", at.alias("index"), F.col("leaf").alias("value"), "doc_id", "altered"), trees
+    return joined.select(RANGE, "tree", "n", at.alias("index"), F.col("leaf").alias("value"), "doc_id", "altered"), trees
+
+
+#: Forests of neighbouring ranges that become one in a round before the last ones are merged.
+NEIGHBOURS = 16
+_FRAGMENT = f"{RANGE} int, tree long, level int, index long, n long, value string"
 
 
 def _fragments(trees: int):
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = Forest(trees)
+        out: dict[int, Forest] = {}
         for b in batches:
-            out.leaves.update(dict(zip(b["tree"].tolist(), b["n"].tolist())))
-            for tree, index, value in zip(b["tree"].tolist(), b["index"].tolist(), b["value"]):
-                out.put(tree, 0, index, value)
-        if out.nodes:
-            keys = list(out.nodes)
-            yield pd.DataFrame({"tree": [k[0] for k in keys], "level": [k[1] for k in keys], "index": [k[2] for k in keys], "n": [out.leaves.get(k[0], 0) for k in keys], "value": [out.nodes[k] for k in keys]})
+            for part, tree, n, index, value in zip(*(b[c].tolist() for c in (RANGE, "tree", "n", "index", "value"))):
+                forest = out.get(part) or out.setdefault(part, Forest(trees))
+                forest.leaves[tree] = n
+                forest.put(tree, 0, index, value)
+        rows = [(part, *key, f.leaves.get(key[0], 0), value) for part, f in out.items() for key, value in f.nodes.items()]
+        if rows:
+            yield pd.DataFrame(rows, columns=[RANGE, "tree", "level", "index", "n", "value"])
 
     return fold
 
 
-def root(nodes: DataFrame, trees: int) -> str | None:
-    """The root over all trees' nodes (tree, n, index, value); None without any."""
+def root(nodes: DataFrame, trees: int, ranges: int) -> str | None:
+    """The root over all trees' nodes (RANGE, tree, n, index, value), of so many ranges; None without any.
+
+    A forest of neighbouring ranges has unresolved nodes at its two ends only, so neighbours are merged
+    first; the few forests of the end are merged in any order.
+    """
 
-    def forest(rows: Iterable) -> Iterator[Forest]:
-        out = Forest(trees)
+    def forests(rows: Iterable) -> Iterator[tuple[int, Forest]]:
         for r in rows:
-            out.leaves[r["tree"]] = r["n"]
+            out = Forest(trees, {r["tree"]: r["n"]})
             out.put(r["tree"], r["level"], r["index"], r["value"])
-        yield out
+            yield r[RANGE], out
 
-    parts = nodes.select("tree", "n", "index", "value").mapInPandas(_fragments(trees), "tree long, level int, index long, n long, value string")
-    return parts.rdd.mapPartitions(forest).treeReduce(Forest.merge, depth=3).root() if trees else None
+    if not trees:
+        return None
+    parts = nodes.select(RANGE, "tree", "n", "index", "value").mapInPandas(_fragments(trees), _FRAGMENT).rdd.mapPartitions(forests).reduceByKey(Forest.merge)
+    while ranges > NEIGHBOURS:
+        parts = parts.map(lambda kv: (kv[0] // NEIGHBOURS, kv[1])).reduceByKey(Forest.merge)
+        ranges = -(-ranges // NEIGHBOURS)
+    return parts.values().treeReduce(Forest.merge).root()
 
 
 def _levels(values: list[str], count: int) -> list[list[str]]:
@@ -273,9 +287,10 @@ def manifest(docs: DataFrame) -> DataFrame:
     placed, trees = _placed(docs)
     nodes = store.saved(placed, "placed-leaves")
     sizes = trees.agg(F.count("*").alias("trees"), F.max("n").alias("most")).collect()[0]
+    ranges = nodes.agg(F.max(RANGE)).collect()[0][0]
     if not sizes["trees"]:
         return docs.sparkSession.createDataFrame([], "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
-    whole = root(nodes, sizes["trees"])
+    whole = root(nodes, sizes["trees"], ranges + 1)
     above = _above(nodes, sizes["most"], _top_paths(sizes["trees"]))
     rows = nodes.withColumn("doc_id", F.col("doc_id").cast("string"))
     out = _down(rows, above, _proven, "doc_id string, leaf string, subroot string, proof_sha256 string, folded_root string")

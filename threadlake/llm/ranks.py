@@ -20,12 +20,18 @@ _LOW = (1 << 33) - 1
 
 
 def ranged(df: DataFrame, group: list[str], order: list[str], label: str) -> DataFrame:
-    """df in ranges of (group, order), nulls first, with RANGE and SEQ; written to the shared folder, so both stay as they are."""
+    """df in ranges of (group, order), nulls first, with RANGE and SEQ; written to the shared folder, so both stay as they are.
+
+    The bounds of ranges are drawn from a pass of its own over the rows, so they are written first: what they are made of is read once.
+    """
     by = [F.asc_nulls_first(c) for c in [*group, *order]]
-    cut = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    once = store.saved(df, label)
+    cut = once.repartitionByRange(*by).sortWithinPartitions(*by)
     at = F.monotonically_increasing_id()
     placed = cut.withColumn("range_at", at).withColumns({RANGE: F.shiftright("range_at", 33).cast("int"), SEQ: F.col("range_at").bitwiseAND(F.lit(_LOW))})
-    return store.saved(placed.drop("range_at"), label)
+    out = store.saved(placed.drop("range_at"), label)
+    store.drop(once)
+    return out
 
 
 def stretches(rows: DataFrame, group: list[str], *more) -> DataFrame:
