@@ -5,10 +5,10 @@ import random
 
 import pytest
 
-from threadlake.operators import search, topk
+from threadlake.functions import columns as C
+from threadlake.operators import maintenance, search, topk
 from threadlake.operators.library import SCHEMAS, Store, empty
 from threadlake.plans.requests import EntryFilter
-from threadlake.operators import maintenance
 
 RND = random.Random(3)
 WORDS = [f"w{i}" for i in range(60)]
@@ -76,11 +76,11 @@ def test_blocks_are_left_out(stored):
     found = topk.page(library, "w7", limit=5)
     assert found.blocks > 40 and found.blocks_read < found.blocks / 2
     index = search.index(library)
-    few = index.postings.where(topk.among("block", [3, 4])).where("term = 'w7'")
+    few = index.postings.where(C.among("block", [3, 4])).where("term = 'w7'")
     plan = search.phrase_counts(search.Index(few, index.blocks, 1, 1.0, True), [["w7"]])._jdf.queryExecution().toString()
     pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")[0]
     assert "Or(EqualTo(block,3),EqualTo(block,4))" in pushed and "EqualTo(term,w7)" in pushed and "lengths" not in plan
-    plan = search.places(library).where(topk.among("digest", ["a", "b"]))._jdf.queryExecution().toString()
+    plan = search.places(library).where(C.among("digest", ["a", "b"]))._jdf.queryExecution().toString()
     assert "Or(EqualTo(digest,a),EqualTo(digest,b))" in plan[plan.index("PushedFilters") :]
 
 

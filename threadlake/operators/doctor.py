@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions import columns as C
-from threadlake.operators import listing, maintenance, search, transcript
+from threadlake.operators import listing, maintenance, proof, search, transcript
 from threadlake.operators.library import Library
 from threadlake.operators.scope import FAILURES
 
@@ -84,10 +84,11 @@ def failure_codes(library: Library) -> DataFrame:
 
 
 def text_index(library: Library, stored: DataFrame | None = None) -> DataFrame:
-    """Where stored postings and those of the contents differ (term, digest, positions, side)."""
-    made = search.postings(library["contents"])
+    """Where stored postings and those of the contents differ (term, digest, length, positions, side); terms by ranges, of which equal ones are never shuffled."""
+    columns = ["term", "digest", "length", "positions"]
+    made = search.postings(library["contents"]).select(columns)
     kept = library.stored("postings") if stored is None else stored
-    return maintenance.difference(made, made if kept is None else kept)
+    return maintenance.difference(made, made if kept is None else kept.select(columns), "term")
 
 
 def vocabulary(library: Library) -> DataFrame:
@@ -99,14 +100,20 @@ def vocabulary(library: Library) -> DataFrame:
 def index_coverage(library: Library) -> DataFrame:
     """Contents whose length isn't stored, and stored lengths without a content or with another number of tokens: digest, side."""
     made, kept = search.lengths(library["contents"]), library.stored("lengths")
-    return maintenance.difference(made, made if kept is None else kept).select("digest", "side")
+    return maintenance.difference(made, made if kept is None else kept, "digest").select("digest", "side")
+
+
+def proofs(library: Library) -> DataFrame:
+    """Blocks of entries whose stored digest isn't that of their rows."""
+    made, kept = proof.blocks(library), library.stored("proofs")
+    return maintenance.difference(made, made if kept is None else kept.select(made.columns), "native_id").select(*C.ID, "block").distinct()
 
 
 def metrics(library: Library) -> DataFrame:
     """Documents whose stored metrics aren't those of their rows, or that refer to a text that isn't there."""
     made, kept = listing.computed_metrics(library), library.stored("metrics")
     broken = made.where("text_bytes < 0").select(*C.ID)
-    return broken if kept is None else broken.unionByName(maintenance.difference(made, kept.select(made.columns)).select(*C.ID)).distinct()
+    return broken if kept is None else broken.unionByName(maintenance.difference(made, kept.select(made.columns), "native_id").select(*C.ID)).distinct()
 
 
 CHECKS: dict[str, Callable[[Library], DataFrame]] = {
@@ -122,7 +129,7 @@ CHECKS: dict[str, Callable[[Library], DataFrame]] = {
 
 def diagnose(library: Library, full: bool = False) -> DataFrame:
     """check, broken: the number of rows that break each check's rule; full also recomputes every document's digest and the text index."""
-    checks = CHECKS | ({"digests": digests, "text-index": text_index, "vocabulary": vocabulary, "index-coverage": index_coverage} if full else {})
+    checks = CHECKS | ({"digests": digests, "text-index": text_index, "vocabulary": vocabulary, "index-coverage": index_coverage, "proofs": proofs} if full else {})
     out = None
     for name, check in checks.items():
         one = check(library).agg(F.count("*").alias("broken")).select(F.lit(name).alias("check"), "broken")

@@ -41,7 +41,8 @@ def page(library: Library, f: EntryFilter, selection: str, limit: int, anchor: t
 
 def segment_counts(rows: DataFrame, library: Library) -> DataFrame:
     """text_segments and omitted_segments of each entry; one without segments has 0 of both."""
-    segments = library["occurrences"].groupBy(*KEY).agg(F.count("digest").alias("text_segments"), F.count_if(F.col("digest").isNull()).alias("omitted_segments"))
+    own = library["occurrences"].join(rows.select(*KEY), KEY, "left_semi")
+    segments = own.groupBy(*KEY).agg(F.count("digest").alias("text_segments"), F.count_if(F.col("digest").isNull()).alias("omitted_segments"))
     return rows.join(segments, KEY, "left").fillna(0, ["text_segments", "omitted_segments"])
 
 
@@ -50,8 +51,8 @@ def previews(rows: DataFrame, library: Library, origin: str | None = None, most:
     texts = library["occurrences"].where("digest IS NOT NULL")
     if origin is not None:
         texts = texts.where(F.col("origin") == origin)
-    first = texts.groupBy(*KEY).agg(F.min(F.struct("segment_ordinal", "digest")).alias("s"))
-    found = rows.select(*KEY).join(first, KEY).select(*KEY, "s.segment_ordinal", "s.digest").join(library["contents"], "digest")
+    first = texts.join(rows.select(*KEY), KEY, "left_semi").groupBy(*KEY).agg(F.min(F.struct("segment_ordinal", "digest")).alias("s"))
+    found = first.select(*KEY, "s.segment_ordinal", "s.digest").join(library["contents"], "digest")
     cut = found.select(
         *KEY, F.col("segment_ordinal").alias("preview_segment"), C.truncated_utf8(F.col("text"), most).alias("preview"), (F.octet_length("text") > most).alias("preview_truncated")
     )
@@ -73,9 +74,11 @@ def adjacent(primary: DataFrame, library: Library, context: int) -> DataFrame:
     return around.join(there, [*C.ID, "context_ordinal"]).select(*KEY, "context_ordinal")
 
 
-def partners(library: Library) -> DataFrame:
-    """Tool calls and results that refer to each other, in both directions: KEY, partner."""
+def partners(library: Library, primary: DataFrame | None = None) -> DataFrame:
+    """Tool calls and results that refer to each other, in both directions: KEY, partner; of the conversations of primary where it is given."""
     e = library["entries"].where("entry_kind IN ('tool-call', 'tool-result')").select(*C.ID, "ordinal", "entry_kind", "related_ordinal")
+    if primary is not None:
+        e = e.join(primary.select(*C.ID).distinct(), C.ID, "left_semi")
     other = e.select(*C.ID, F.col("ordinal").alias("related_ordinal"), F.col("entry_kind").alias("other_kind"))
     pairs = e.where("related_ordinal IS NOT NULL").join(other, [*C.ID, "related_ordinal"]).where("entry_kind <> other_kind")
     forward = pairs.select(*C.ID, "ordinal", F.col("related_ordinal").alias("partner"))
@@ -87,7 +90,7 @@ LINKED = 20
 
 def linked(primary: DataFrame, library: Library, context: int, most: int = LINKED) -> DataFrame:
     """Tool partners beyond the adjacent context, the first `most` by ordinal: KEY, partner, linked_truncated."""
-    beyond = primary.select(*KEY).join(partners(library), KEY).where(F.abs(F.col("partner") - F.col("ordinal")) > context)
+    beyond = primary.select(*KEY).join(partners(library, primary), KEY).where(F.abs(F.col("partner") - F.col("ordinal")) > context)
     w = Window.partitionBy(*KEY)
     ranked = beyond.withColumn("rank", F.row_number().over(w.orderBy("partner"))).withColumn("linked_truncated", F.count("*").over(w) > most)
     return ranked.where(F.col("rank") <= most).drop("rank")

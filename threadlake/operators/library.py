@@ -56,14 +56,17 @@ DERIVED = {
     "lengths": "digest string, length long",
     "corpus": "texts long, tokens long",
     "places": f"digest string, {_ID}, ordinal long, segment_ordinal long, origin string",
+    "proofs": f"{_ID}, block long, digest string",
+    "proof_roots": f"{_ID}, document_digest string, entry_count long, relation_count long, head_digest string, root string",
 }
 #: The tables that a derived one follows from.
 _SOURCES_OF = {"metrics": ("documents", "relations", "entries", "occurrences", "contents"), "roots": ("documents", "relations"), "postings": ("contents",), "blocks": ("contents",), "lengths": ("contents",), "corpus": ("contents",), "places": ("occurrences",)}
-BY_CONVERSATION = ("documents", "relations", "entries", "occurrences", "metrics", "places")
+_SOURCES_OF |= dict.fromkeys(("proofs", "proof_roots"), ("documents", "relations", "entries", "occurrences"))
+BY_CONVERSATION = ("documents", "relations", "entries", "occurrences", "metrics", "places", "proofs", "proof_roots")
 BY_TEXT = ("contents", "postings", "lengths")
 #: Tables of which a query reads a few keys' rows, and the order that they are cut into files and sorted by.
 BY_KEY = {
-    "documents": C.ID, "relations": [*C.ID, "ordinal"], "entries": [*C.ID, "ordinal"], "occurrences": [*C.ID, "ordinal", "segment_ordinal"], "contents": ["digest"],
+    "documents": C.ID, "relations": [*C.ID, "ordinal"], "entries": [*C.ID, "ordinal"], "occurrences": [*C.ID, "ordinal", "segment_ordinal"], "contents": ["digest"], "proofs": [*C.ID, "block"], "proof_roots": C.ID,
     "postings": ["term", "block", "digest"], "blocks": ["term", "block"], "places": ["digest", *C.ID, "ordinal"],
 }
 #: Row groups of those tables, so that one key's rows are few of them.
@@ -111,6 +114,11 @@ class Library:
         kept = {n: t for n, t in self.tables.items() if n not in DERIVED or not set(changed) & set(_SOURCES_OF[n])}
         return replace(self, tables=kept | changed, delta=delta)
 
+    def near(self, native_ids: list[str]) -> Library:
+        """The rows of these conversations, and of others that share a native_id; few are named one by one, so that scans skip what isn't theirs."""
+        own = {"tracking", *BY_CONVERSATION, "roots", "proofs", "proof_roots"}
+        return replace(self, tables={n: t.where(C.among("native_id", sorted(set(native_ids)))) if n in own else t for n, t in self.tables.items()})
+
     def spine(self) -> DataFrame:
         """One row for each tracked conversation with its effective state, activity and freshness; title and the like are null without a document."""
         t, s, d = self["tracking"], self["sources"], self["documents"].withColumn("has_document", F.lit(True))
@@ -289,7 +297,7 @@ class Store:
 
     def commit(self, library: Library) -> Library:
         """Makes the library the next generation: its delta to the current one where it has it, else all of its tables."""
-        from threadlake.operators import listing, lineage, search
+        from threadlake.operators import lineage, listing, proof, search
 
         self.renew()
         found = self.manifest() or {"library_id": uuid.uuid4().hex, "generation": 0, "schema_version": SCHEMA_VERSION, "parts": {}, "dead": {"conversations": [], "texts": []}}
@@ -322,8 +330,8 @@ class Store:
         def index_texts(texts: DataFrame) -> None:
             """The index of texts that are new; its blocks follow from the postings as written."""
             stored({"lengths": search.lengths(texts)}, not follows)
-            stored({"corpus": search.corpus(fresh("lengths"))}, not follows)
-            stored({"postings": search.postings(texts, search.range_bits(fresh("lengths").count()))}, not follows)
+            bits = search.range_bits(fresh("lengths").count())
+            stored({"corpus": search.corpus(fresh("lengths")), "postings": search.postings(texts, bits)}, not follows)
             stored({"blocks": search.blocks(fresh("postings"))}, not follows)
 
         def further(tables: dict[str, DataFrame], label: str) -> None:
@@ -348,7 +356,8 @@ class Store:
                 # A document's texts may be in the library already, so sizes are looked up in all contents.
                 made = replace(library, tables={n: fresh(n) if n in delta.added else library[n] for n in SCHEMAS} | {"contents": self._table(after, "contents")})
                 index_texts(fresh("contents"))
-                stored({"places": search.text_places(fresh("occurrences")), "metrics": listing.computed_metrics(made)}, False)
+                stored({"places": search.text_places(fresh("occurrences")), "metrics": listing.computed_metrics(made), "proofs": proof.blocks(made)}, False)
+                stored({"proof_roots": proof.roots(made, fresh("proofs"))}, False)
             if delta.dropped is not None:
                 # What goes is taken off the totals, which have no row for each text.
                 gone = self._table(found, "contents").join(delta.dropped.select("digest").distinct(), "digest", "left_semi")
@@ -360,7 +369,8 @@ class Store:
             stored({n: library[n] for n in SCHEMAS}, True)
             made = Library(self.spark, {n: fresh(n) for n in SCHEMAS})
             index_texts(made["contents"])
-            stored({"places": search.text_places(made["occurrences"]), "metrics": listing.computed_metrics(made), "roots": lineage.resolved(made)}, True)
+            stored({"places": search.text_places(made["occurrences"]), "metrics": listing.computed_metrics(made), "roots": lineage.resolved(made), "proofs": proof.blocks(made)}, True)
+            stored({"proof_roots": proof.roots(made, fresh("proofs"))}, True)
         self._put(after)
         if max(len(p) for p in parts.values()) > MERGE_PARTS:
             return self.commit(replace(self.open(), delta=None))

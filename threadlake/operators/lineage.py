@@ -6,21 +6,24 @@ lead to retained conversations whose roots are known and the same, and no cycle
 lies above it. Without such relations it is its own root. "child" edges say
 nothing about the child's side and are ignored.
 
-Resolution is pointer doubling over edges: in each round every pending edge is
-replaced by its target's edges, so a chain of n links takes log2(n) rounds. An
-edge to a settled root stays. Whatever is still pending after the longest possible
-path has been doubled lies in or behind a cycle.
+Resolution is pointer doubling over the open frontier: in each round every open edge
+is replaced by its target's edges or by what the target has settled on, and a node
+whose edges all lead to one root, or one of whose ends is bad, leaves the frontier. A
+chain of n links takes log2(n) rounds. A round in which no node settles is the last:
+what is open then lies in or behind a cycle, as the nodes of an acyclic chain settle
+in every round up to its end.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions import columns as C
 from threadlake.operators.library import Library
+from threadlake.sources import shared
 
 _T = ["target_kind", "target_instance_id", "target_native_id"]
 
@@ -47,30 +50,35 @@ def resolved(library: Library) -> DataFrame:
     ends = node.join(up.select("id").distinct().withColumn("has_up", F.lit(True)), "id", "left").select(
         "id", F.when(F.col("bad"), "bad").when(F.col("has_up").isNull(), "root").otherwise("open").alias("state")
     )
-    ends = ends.checkpoint() if _checkpointed(library) else ends.cache()
+    ends = shared.saved(ends, "lineage-ends")
     paths = up.join(ends.where("state = 'open'").select("id"), "id", "left_semi").join(ends.select(F.col("id").alias("to"), "state"), "to", "left").select("id", "to", F.coalesce("state", F.lit("bad")).alias("state"))
-    n = max(ends.where("state = 'open'").count(), 1)
-    for _ in range(math.ceil(math.log2(n)) + 2):
-        paths = paths.checkpoint() if _checkpointed(library) else paths.cache()
-        if not paths.where("state = 'open'").take(1):
+    settled: list[DataFrame] = []
+    before = None
+    while True:
+        paths = shared.saved(paths.distinct(), "lineage-paths")
+        root = F.when(F.col("state") == "root", F.col("to"))
+        each = paths.groupBy("id").agg(F.max(F.col("state") == "open").alias("open"), F.max(F.col("state") == "bad").alias("bad"), F.min(root).alias("low"), F.max(root).alias("high"))
+        spoilt = F.col("bad") | F.coalesce(F.col("low") != F.col("high"), F.lit(False))
+        each = shared.saved(each.select("id", (F.col("open") & ~spoilt).alias("open"), F.when(~spoilt, F.col("low")).alias("root")), "lineage-nodes")
+        settled.append(each.where("NOT open").select("id", "root"))
+        pending = each.where("open").count()
+        if not pending or pending == before:
             break
-        onward = paths.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("state").alias("next_state"))
-        settled = paths.where("state <> 'open'")
-        moved = paths.where("state = 'open'").join(onward, "to").select("id", F.col("next").alias("to"), F.col("next_state").alias("state"))
-        # One bad end settles a node, and so do two different roots: at most two of its settled ends are kept.
-        both = settled.unionByName(moved).distinct()
-        done = both.where("state <> 'open'").groupBy("id").agg(F.max(F.when(F.col("state") == "bad", F.col("to"))).alias("bad"), F.min("to").alias("low"), F.max("to").alias("high"))
-        spoilt = done.where("bad IS NOT NULL OR low <> high").select("id")
-        kept = both.join(spoilt, "id", "left_anti")
-        paths = kept.unionByName(spoilt.select("id", F.col("id").alias("to"), F.lit("bad").alias("state")))
-    found = paths.groupBy("id").agg(F.max(F.col("state") != "root").alias("spoilt"), F.min("to").alias("low"), F.max("to").alias("high"))
-    known = found.select("id", F.when(~F.col("spoilt") & (F.col("low") == F.col("high")), F.col("low")).alias("above"))
-    out = ends.join(known, "id", "left").select("id", F.when(F.col("state") == "root", F.col("id")).when(F.col("state") == "open", F.col("above")).alias("root"))
+        before = pending
+        # What has settled in this round ends the edges that lead there; every other open edge is then replaced by those of its target.
+        still = paths.join(each.where("open").select("id"), "id", "left_semi")
+        past = settled[-1].select(F.col("id").alias("to"), F.coalesce("root", "id").alias("end"), F.when(F.col("root").isNull(), "bad").otherwise("root").alias("end_state"))
+        ended = still.where("state = 'open'").join(past, "to", "left").select("id", F.coalesce("end", "to").alias("to"), F.coalesce("end_state", "state").alias("state"))
+        now = shared.saved(still.where("state <> 'open'").unionByName(ended), "lineage-frontier")
+        onward = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("state").alias("next_state"))
+        moved = now.where("state = 'open'").join(onward, "to").select("id", F.col("next").alias("to"), F.col("next_state").alias("state"))
+        paths = now.where("state <> 'open'").unionByName(moved)
+    out = ends.join(_union(settled).withColumnRenamed("root", "above"), "id", "left").select("id", F.when(F.col("state") == "root", F.col("id")).when(F.col("state") == "open", F.col("above")).alias("root"))
     return out.select("id.*", "root")
 
 
-def _checkpointed(library: Library) -> bool:
-    return library.spark.sparkContext.getCheckpointDir() is not None
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), tables)
 
 
 def with_root(df: DataFrame, library: Library) -> DataFrame:

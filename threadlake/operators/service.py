@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions import columns as C
@@ -69,13 +69,25 @@ class Engine:
             raise UsageError("invalid-cursor", "the cursor's row isn't among the results")
         return position.after
 
+    def _page(self, page: DataFrame) -> tuple[Library, DataFrame]:
+        """A page's rows, worked out once, and the library's rows of their conversations, from which the page is completed.
+
+        Roots that aren't stored are resolved over the whole library.
+        """
+        rows = page.collect()
+        near = self.library.near([r["native_id"] for r in rows])
+        if self.library.stored("roots") is None:
+            near = replace(near, tables=near.tables | {"roots": lineage.roots(self.library)})
+        return near, self.library.spark.createDataFrame(rows, page.schema)
+
     def list(self, request: ListRequest = ListRequest()) -> dict:
         position = self._start(request)
         rows = listing.conversations(self.library, request.filter)
         same = lambda a: rows.where(F.struct(*C.ID) == F.struct(*[F.lit(v).alias(c) for c, v in zip(C.ID, a[1:])])).take(1)
         anchor = self._anchored(position, 4, same)
         page = listing.page(self.library, request.filter, request.limit, anchor) if anchor or not position.offset else rows.orderBy(*listing.order()).offset(position.offset).limit(request.limit + 1)
-        found = lineage.with_root(page, self.library).orderBy(*listing.order()).collect()
+        near, rows = self._page(page)
+        found = lineage.with_root(rows, near).orderBy(*listing.order()).collect()
         out = {"conversations": [_plain(r) for r in found[: request.limit]], "capture_scope": self._scope(request.filter), "next_cursor": None}
         if len(found) > request.limit:
             last = found[request.limit - 1]
@@ -88,8 +100,9 @@ class Engine:
         same = lambda a: rows.where(F.struct(*entries.KEY) == F.struct(*[F.lit(v).alias(c) for c, v in zip(entries.KEY, a)])).take(1)
         anchor = self._anchored(position, 4, same)
         page = entries.page(self.library, request.filter, request.selection, request.limit, anchor) if anchor or not position.offset else rows.orderBy(*entries.KEY).offset(position.offset).limit(request.limit + 1)
-        shown = entries.previews(entries.segment_counts(page, self.library), self.library, request.filter.origin)
-        found = lineage.with_root(shown, self.library).orderBy(*entries.KEY).collect()
+        near, rows = self._page(page)
+        shown = entries.previews(entries.segment_counts(rows, near), near, request.filter.origin)
+        found = lineage.with_root(shown, near).orderBy(*entries.KEY).collect()
         out = {"entries": [_plain(r) for r in found[: request.limit]], "capture_scope": self._scope(request.filter), "next_cursor": None}
         if len(found) > request.limit:
             out["next_cursor"] = self._cursor(request, cursors.Position(tuple(found[request.limit - 1][c] for c in entries.KEY)))
@@ -100,7 +113,8 @@ class Engine:
         index = search.index(self.library)
         matches = search.matching(self.library, request.text, request.filter, request.mode, index)
         page = search.page(self.library, request.text, request.filter, request.mode, request.limit, offset, index)
-        shown = lineage.with_root(search.with_snippets(page, self.library, request.text), self.library)
+        near, rows = self._page(page)
+        shown = lineage.with_root(search.with_snippets(rows, near, request.text), near)
         found = shown.orderBy(*search.order()).collect()
         out = {
             "hits": [_plain(r) for r in found[: request.limit]],
@@ -116,14 +130,15 @@ class Engine:
 
     def _add_context(self, hits: list[dict], context: int) -> None:
         """Adjacent entries and tool partners of a page's hits, with bodies of 512 bytes at most."""
-        primary = self.library.spark.createDataFrame([tuple(h[k] for k in entries.KEY) for h in hits], "source_kind string, instance_id string, native_id string, ordinal long")
-        near = entries.adjacent(primary, self.library, context).select(*entries.KEY, "context_ordinal", F.lit(True).alias("adjacent"), F.lit(False).alias("linked_truncated"))
-        far = entries.linked(primary, self.library, context).select(*entries.KEY, F.col("partner").alias("context_ordinal"), F.lit(False).alias("adjacent"), "linked_truncated")
+        library = self.library.near([h["native_id"] for h in hits])
+        primary = library.spark.createDataFrame([tuple(h[k] for k in entries.KEY) for h in hits], "source_kind string, instance_id string, native_id string, ordinal long")
+        near = entries.adjacent(primary, library, context).select(*entries.KEY, "context_ordinal", F.lit(True).alias("adjacent"), F.lit(False).alias("linked_truncated"))
+        far = entries.linked(primary, library, context).select(*entries.KEY, F.col("partner").alias("context_ordinal"), F.lit(False).alias("adjacent"), "linked_truncated")
         both = near.unionByName(far)
-        own = entries.partners(self.library).withColumnRenamed("partner", "context_ordinal").withColumn("linked", F.lit(True))
+        own = entries.partners(library).withColumnRenamed("partner", "context_ordinal").withColumn("linked", F.lit(True))
         keyed = both.join(own, [*entries.KEY, "context_ordinal"], "left")
         there = keyed.select(*C.ID, F.col("context_ordinal").alias("ordinal")).distinct()
-        bodies = entries.bodies(there.join(self.library["entries"], entries.KEY), self.library)
+        bodies = entries.bodies(there.join(library["entries"], entries.KEY), library)
         cut = bodies.select(*C.ID, F.col("ordinal").alias("context_ordinal"), "entry_kind", "actor", "timestamp", C.truncated_utf8(F.col("body"), 512).alias("body"))
         rows = keyed.join(cut, [*C.ID, "context_ordinal"]).collect()
         by: dict[tuple, list] = {}

@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions import columns as C
@@ -37,14 +37,6 @@ class Found:
     blocks: int
 
 
-def among(column: str, values: list) -> Column:
-    """column IN values as equalities, of which each reaches the scan; a long IN list would only reach it as one range."""
-    tests = [F.col(column) == v for v in values]
-    while len(tests) > 1:  # a flat tree, as a chain would be as deep as it is long
-        tests = [reduce(lambda a, b: a | b, tests[i : i + 2]) for i in range(0, len(tests), 2)]
-    return tests[0] if tests else F.lit(False)
-
-
 def bounds(found: search.Index, phrases: list[list[str]], idf: list[float], mode: str) -> DataFrame:
     """block, bound: what a text of the block scores at most (scores here are the better the higher)."""
     wanted = sorted({t for p in phrases for t in p})
@@ -76,7 +68,7 @@ def page(library: Library, text: str, f: EntryFilter = EntryFilter(), mode: str
     want, read, top = offset + limit + 1, min(FIRST, len(ranked)), []
     while ranked:
         some = read <= LISTED
-        held = replace(found, postings=found.postings.where(among("block", [r["block"] for r in ranked[:read]]))) if some else found
+        held = replace(found, postings=found.postings.where(C.among("block", [r["block"] for r in ranked[:read]]))) if some else found
         texts = search.rated(search.matched(search.phrase_counts(held, phrases), len(phrases), mode), found, idf).drop("block", "length")
         rest = ranked[read]["bound"] if some and read < len(ranked) else None
         top = _best(texts, library, f, text, mode, want, rest)
@@ -98,9 +90,9 @@ def _best(texts: DataFrame, library: Library, f: EntryFilter, text: str, mode: s
     ordered = lambda lib, some, where: search.hits(search.located(some, where, lib, f), text, mode).orderBy(*search.order()).limit(want).collect()
     named = texts.orderBy("score", "digest").limit(LISTED + 1).collect()
     some = library.spark.createDataFrame(named[:LISTED], texts.schema)
-    where = search.places(library).where(among("digest", [r["digest"] for r in named[:LISTED]]))
+    where = search.places(library).where(C.among("digest", [r["digest"] for r in named[:LISTED]]))
     ids = [r["native_id"] for r in where.select("native_id").distinct().limit(LISTED + 1).collect()]
-    near = library if len(ids) > LISTED else replace(library, tables={n: t.where(among("native_id", ids)) if n in ("tracking", "documents", "entries") else t for n, t in library.tables.items()})
+    near = library if len(ids) > LISTED else library.near(ids)
     top = ordered(near, some, where)
     if len(named) <= LISTED or _full(top, want, -named[LISTED]["score"]):
         return top
@@ -112,12 +104,12 @@ def _completed(shown: list, library: Library, f: EntryFilter, phrases: list[list
     spark = library.spark
     keys = spark.createDataFrame([tuple(r[k] for k in E.KEY) for r in shown], "source_kind string, instance_id string, native_id string, ordinal long")
     ids = sorted({r["native_id"] for r in shown})
-    segments = library["occurrences"].where(among("native_id", ids)).where("digest IS NOT NULL")
+    segments = library.near(ids)["occurrences"].where("digest IS NOT NULL")
     if f.origin is not None:
         segments = segments.where(F.col("origin") == f.origin)
     rows = segments.join(F.broadcast(keys), E.KEY, "left_semi").select(*E.KEY, "segment_ordinal", "digest").collect()
     own = sorted({r["digest"] for r in rows})
-    texts = library["contents"].where(among("digest", own)) if len(own) <= LISTED else library["contents"].join(F.broadcast(spark.createDataFrame([(d,) for d in own], "digest string")), "digest", "left_semi")
+    texts = library["contents"].where(C.among("digest", own)) if len(own) <= LISTED else library["contents"].join(F.broadcast(spark.createDataFrame([(d,) for d in own], "digest string")), "digest", "left_semi")
     counts = search.phrase_counts(search.Index(search.postings(texts), library["contents"], 0, 1.0), phrases)
     known = spark.createDataFrame(rows, "source_kind string, instance_id string, native_id string, ordinal long, segment_ordinal long, digest string")
     match = known.join(search.matched(counts, len(phrases), mode), "digest")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions import canonical_json
 from threadlake.functions import columns as C
 from threadlake.operators import entries as E
+from threadlake.operators import proof
 from threadlake.operators.library import Library
 from threadlake.plans.requests import OperationError, TranscriptRequest
 
@@ -73,50 +76,68 @@ def budgeted(segments: DataFrame, group: list[str], order: list[str], text: str
     return out.withColumn("truncated", F.coalesce(F.col("emitted") < F.col("text_bytes"), F.lit(False))).drop("cut", "at")
 
 
+def _asked(request: TranscriptRequest, total: int) -> tuple[int, int]:
+    """The first and last ordinal that a request shows."""
+    if request.entry is not None:
+        c = CONTEXT if request.context is None else request.context
+        return max(0, request.entry - c), min(total - 1, request.entry + c)
+    if request.from_entry is not None:
+        return request.from_entry, request.to_entry
+    return 0, (total if request.full else min(total, ENTRIES)) - 1
+
+
 def show(library: Library, request: TranscriptRequest) -> dict:
     """One conversation as a dict: header, digest, relations, entries with content, and what was left out.
 
-    The digest is compared before anything is cut.
+    The digest is compared before anything is cut. Of the entries only the blocks that hold
+    what is shown are read, and proven against what is stored with the conversation.
     """
-    found = nested(library, request.conversation).limit(1).collect()
-    if not found:
+    this = F.struct(*C.ID) == F.struct(*[F.lit(v).alias(c) for c, v in zip(C.ID, request.conversation)])
+    near = library.near([request.conversation[2]])
+    per = ("documents", "relations", "entries", "occurrences", "metrics", "proofs", "proof_roots")
+    own = replace(near, tables={n: t.where(this) if n in per else t for n, t in near.tables.items()})
+    head = own["documents"].limit(1).collect()
+    if not head:
         raise OperationError("conversation-not-found", "the library has no such conversation")
-    row = found[0].asDict(recursive=True)
-    if request.expected_digest is not None and request.expected_digest != row["stored_digest"]:
+    if request.expected_digest is not None and request.expected_digest != head[0]["document_digest"]:
         raise OperationError("document-digest-mismatch", "the conversation has another revision")
-    entries = row["entries"] or []
-    total = len(entries)
+    counts = own.stored("metrics")
+    counted = counts.select("entry_count", "relation_count").collect() if counts is not None else []
+    total, relations_total = counted[0] if counted else (own["entries"].count(), own["relations"].count())
     wanted = [x for x in (request.entry, request.from_entry, request.to_entry) if x is not None]
     if any(x >= total or x < 0 for x in wanted):
         raise OperationError("entry-not-found", "the conversation has no such entry")
-    if request.entry is not None:
-        c = CONTEXT if request.context is None else request.context
-        entries = [e for e in entries if abs(e["ordinal"] - request.entry) <= c]
-    elif request.from_entry is not None:
-        entries = [e for e in entries if request.from_entry <= e["ordinal"] <= request.to_entry]
-    elif not request.full:
-        entries = entries[:ENTRIES]
-    relations = row["relations"] or []
-    shown_relations = relations if request.full else relations[:RELATIONS]
-    left, segments = TOTAL_BYTES, SEGMENTS
-    for e in entries:
-        content = e["content"] or []
-        if not request.full:
-            content, segments = content[:segments], segments - min(segments, len(content))
-            for s in content:
-                if s["text"] is not None:
-                    cut = shortened(s["text"], min(TEXT_BYTES, left))
-                    s["truncated"] = cut != s["text"]
-                    s["text"], left = cut, left - len(cut.encode())
-        e["content"] = content
-    title = row["title"] if request.full or row["title"] is None else shortened(row["title"], TEXT_BYTES)
+    low, high = _asked(request, total)
+    shown = proof.proven(own, low, high)
+    entries = [r.asDict() for r in window(shown["entries"], request).orderBy("ordinal").drop(*C.ID, "locator_uri", "locator_record").collect()]
+    segments = shown["occurrences"].select(*E.KEY, "segment_ordinal", "digest", "content_class", "source_type", "origin", "confidence").orderBy("ordinal", "segment_ordinal")
+    if not request.full:
+        segments = segments.limit(SEGMENTS)
+    rows = segments.collect()
+    digests = sorted({r["digest"] for r in rows if r["digest"] is not None})
+    kept = library["contents"]
+    kept = kept.where(C.among("digest", digests)) if len(digests) <= SEGMENTS else kept.join(library.spark.createDataFrame([(d,) for d in digests], "digest string"), "digest", "left_semi")
+    texts = library.spark.createDataFrame(rows, segments.schema).join(kept, "digest", "left")
+    content = texts.collect()
+    proof.proven_texts(content)
+    if not request.full:
+        content = budgeted(library.spark.createDataFrame(content, texts.schema), C.ID, ["ordinal", "segment_ordinal"]).collect()
+    by: dict[int, list] = {e["ordinal"]: [] for e in entries}
+    for r in sorted(content, key=lambda r: (r["ordinal"], r["segment_ordinal"])):
+        s = {k: r[k] for k in ("segment_ordinal", "digest", "text", "content_class", "source_type", "origin", "confidence")}
+        if not request.full and s["text"] is not None:
+            s |= {"text": r["shown"], "truncated": r["truncated"]}
+        by[r["ordinal"]].append(s)
+    relations = own["relations"].orderBy("ordinal")
+    relations = [r.asDict() for r in (relations if request.full else relations.limit(RELATIONS)).drop(*C.ID).collect()]
+    title = head[0]["title"] if request.full or head[0]["title"] is None else shortened(head[0]["title"], TEXT_BYTES)
     return {
         "conversation": printable(request.conversation),
-        "document_digest": row["stored_digest"],
+        "document_digest": head[0]["document_digest"],
         "title": title,
-        "relations": shown_relations,
-        "entries": entries,
-        "selection": {"total_entries": total, "emitted_entries": len(entries), "omitted_entries": total - len(entries), "omitted_relations": len(relations) - len(shown_relations)},
+        "relations": relations,
+        "entries": [e | {"content": by[e["ordinal"]]} for e in entries],
+        "selection": {"total_entries": total, "emitted_entries": len(entries), "omitted_entries": total - len(entries), "omitted_relations": relations_total - len(relations)},
     }
 
 

@@ -227,7 +227,7 @@ def run_retention(lib: Library) -> DataFrame:
 
 def projection_diff(lib: Library) -> DataFrame:
     terms = lib["contents"].select("digest", F.explode(C.tokens(F.col("text"))).alias("term"))
-    return maintenance.difference(terms.where("substr(digest, 1, 1) < '9'"), terms.where("substr(digest, 1, 1) > '0'")).groupBy("side", "digest").agg(F.count("*").alias("n"))
+    return maintenance.difference(terms.where("substr(digest, 1, 1) < '9'"), terms.where("substr(digest, 1, 1) > '0'"), "digest").groupBy("side", "digest").agg(F.count("*").alias("n"))
 
 
 def adjacent_collapse(lib: Library) -> DataFrame:
