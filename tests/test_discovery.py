@@ -87,16 +87,16 @@ def test_digest_of_inputs(spark):
 
 def test_rollouts_from_a_folder(spark, tmp_path, monkeypatch):
     home, path = tmp_path / ".codex", str(tmp_path / "lib")
-    (home / "sessions").mkdir(parents=True)
+    (home / "rollouts").mkdir(parents=True)
     at = iter(T * 9)
     paths = discovery.rollout_paths(str(tmp_path))
     run = lambda: discovery.index_rollouts(spark, path, paths, "home", lambda: next(at))
     run()
     assert Store(spark, path).open()["sources"].collect()[0].coverage_status == "unknown"
-    file = lambda n: home / f"sessions/rollout-1-{n}.jsonl"
+    file = lambda n: home / f"rollouts/rollout-1-{n}.jsonl"
     for n in "ab":
         file(n).write_text(said(f"first {n}"))
-    listed = [("a", "sessions/rollout-1-a.jsonl", "A"), ("b", str(file("b")), None), ("gone", "sessions/rollout-1-gone.jsonl", None), ("odd", "sessions/other.jsonl", None)]
+    listed = [("a", "rollouts/rollout-1-a.jsonl", "A"), ("b", str(file("b")), None), ("gone", "rollouts/rollout-1-gone.jsonl", None), ("odd", "rollouts/other.jsonl", None)]
     state(home / "state_5.sqlite", listed, [("a", "b")])
     run()
     assert states(spark, path) == {"a": ("current", "present", None), "b": ("current", "present", None), "gone": ("unindexed", "present", "unavailable"), "odd": ("unindexed", "present", "malformed")}

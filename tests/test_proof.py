@@ -6,7 +6,8 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from threadlake.operators import doctor, maintenance, proof, transcript
+from threadlake.functions import columns as C
+from threadlake.operators import doctor, maintenance, output, proof, transcript
 from threadlake.operators.library import SCHEMAS, Store, empty
 from threadlake.plans.requests import OperationError, TranscriptRequest
 
@@ -90,3 +91,24 @@ def test_ranges_find_what_differs(spark):
         assert len(maintenance.changed_ranges(left, right, "term")) <= 2
         found = maintenance.difference(left, right, "term").collect()
         assert {(r.side, r.n) for r in found} == want and sorted(map(tuple, found), key=str) == sorted(map(tuple, maintenance.difference(left, right).collect()), key=str)
+
+
+def test_export_of_a_whole_library(spark, library, tmp_path):
+    """Every record once, numbered over all files in order; the bytes are known before anything is written, and a limit is held."""
+    import json
+
+    n, size = output.export_all(library, str(tmp_path / "all"))
+    files = sorted((tmp_path / "all").glob("part-*"))
+    text = "".join(f.read_text() for f in files)
+    told = [json.loads(line) for line in text.splitlines()]
+    assert (len(told), len(text.encode())) == (n, size) and n == 2 + 60 + N + 1 and [t["record"] for t in told] == list(range(n))
+    assert [t["type"] for t in told] == ["conversation"] + ["relation"] * 60 + ["entry"] * N + ["conversation", "entry"]
+    assert told[61 + 5]["content"][0]["text"] == "entry 5 " + "é" * 5 and "text" not in told[61 + 5]["content"][1] and told[61]["conversation"] == "test@one:long"
+    records = output.documents_as_lines(library)
+    for limit in (size - 1, size):
+        if limit < size:
+            with pytest.raises(OperationError):
+                output.write_lines(records, [*C.ID, "part", "ordinal"], str(tmp_path / f"{limit}"), limit)
+        else:
+            output.write_lines(records, [*C.ID, "part", "ordinal"], str(tmp_path / f"{limit}"), limit)
+        assert (tmp_path / f"{limit}").exists() == (limit == size)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from dataclasses import replace
 
 import pytest
 
@@ -77,7 +78,7 @@ def test_blocks_are_left_out(stored):
     assert found.blocks > 40 and found.blocks_read < found.blocks / 2
     index = search.index(library)
     few = index.postings.where(C.among("block", [3, 4])).where("term = 'w7'")
-    plan = search.phrase_counts(search.Index(few, index.blocks, 1, 1.0, True), [["w7"]])._jdf.queryExecution().toString()
+    plan = search.phrase_counts(replace(index, postings=few), [["w7"]])._jdf.queryExecution().toString()
     pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")[0]
     assert "Or(EqualTo(block,3),EqualTo(block,4))" in pushed and "EqualTo(term,w7)" in pushed and "lengths" not in plan
     plan = search.places(library).where(C.among("digest", ["a", "b"]))._jdf.queryExecution().toString()

@@ -56,23 +56,24 @@ def resolved(library: Library) -> DataFrame:
     before = None
     while True:
         paths = shared.saved(paths.distinct(), "lineage-paths")
+        frontier = paths.select("id").distinct().count()
+        if frontier in (0, before):
+            break
+        before = frontier
         root = F.when(F.col("state") == "root", F.col("to"))
         each = paths.groupBy("id").agg(F.max(F.col("state") == "open").alias("open"), F.max(F.col("state") == "bad").alias("bad"), F.min(root).alias("low"), F.max(root).alias("high"))
         spoilt = F.col("bad") | F.coalesce(F.col("low") != F.col("high"), F.lit(False))
-        each = shared.saved(each.select("id", (F.col("open") & ~spoilt).alias("open"), F.when(~spoilt, F.col("low")).alias("root")), "lineage-nodes")
+        each = each.select("id", (F.col("open") & ~spoilt).alias("open"), F.when(~spoilt, F.col("low")).alias("root"))
         settled.append(each.where("NOT open").select("id", "root"))
-        pending = each.where("open").count()
-        if not pending or pending == before:
-            break
-        before = pending
         # What has settled in this round ends the edges that lead there; every other open edge is then replaced by those of its target.
         still = paths.join(each.where("open").select("id"), "id", "left_semi")
         past = settled[-1].select(F.col("id").alias("to"), F.coalesce("root", "id").alias("end"), F.when(F.col("root").isNull(), "bad").otherwise("root").alias("end_state"))
-        ended = still.where("state = 'open'").join(past, "to", "left").select("id", F.coalesce("end", "to").alias("to"), F.coalesce("end_state", "state").alias("state"))
-        now = shared.saved(still.where("state <> 'open'").unionByName(ended), "lineage-frontier")
+        now = still.join(past, "to", "left").select("id", F.coalesce(F.when(F.col("state") == "open", F.col("end")), "to").alias("to"), F.coalesce(F.when(F.col("state") == "open", F.col("end_state")), "state").alias("state"))
         onward = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("state").alias("next_state"))
         moved = now.where("state = 'open'").join(onward, "to").select("id", F.col("next").alias("to"), F.col("next_state").alias("state"))
         paths = now.where("state <> 'open'").unionByName(moved)
+    if not settled:
+        settled.append(paths.select("id", F.col("to").alias("root")))
     out = ends.join(_union(settled).withColumnRenamed("root", "above"), "id", "left").select("id", F.when(F.col("state") == "root", F.col("id")).when(F.col("state") == "open", F.col("above")).alias("root"))
     return out.select("id.*", "root")
 

@@ -40,7 +40,19 @@ class Index:
     blocks: DataFrame
     texts: int
     mean_length: float
-    stored: bool = False
+    contents: DataFrame | None = None
+
+    @property
+    def stored(self) -> bool:
+        return self.contents is None
+
+    def of(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms; without a stored index, made of the texts for those terms alone."""
+        if self.stored:
+            return self.postings.where(F.col("term").isin(terms))
+        listed = self.contents.select("digest", C.tokens(F.col("text")).alias("tokens"))
+        each = listed.select("digest", F.size("tokens").cast("long").alias("length"), F.posexplode("tokens").alias("position", "term")).where(F.col("term").isin(terms))
+        return each.groupBy("term", "digest").agg(F.lit(0).alias("block"), F.first("length").alias("length"), F.array_sort(F.collect_list("position")).alias("positions"))
 
 
 def range_bits(texts: int) -> int:
@@ -97,7 +109,7 @@ def index(library: Library) -> Index:
         held, totals = blocks(kept), corpus(lengths(library["contents"]))
     n = totals.agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens")).collect()[0]
     texts = n["texts"] or 0
-    return Index(kept, held, texts, (n["tokens"] or 0) / texts if texts else 0.0, stored)
+    return Index(kept, held, texts, (n["tokens"] or 0) / texts if texts else 0.0, None if stored else library["contents"])
 
 
 def vocabulary(kept: DataFrame) -> DataFrame:
@@ -132,7 +144,7 @@ def token_list(text: str) -> list[str]:
 def phrase_counts(found: Index, phrases: list[list[str]]) -> DataFrame:
     """digest, block, length and tf_0 .. tf_n: how often each phrase stands in each text that has any of its tokens."""
     wanted = sorted({t for p in phrases for t in p})
-    held = found.postings.where(F.col("term").isin(wanted)).groupBy("digest").agg(
+    held = found.of(wanted).groupBy("digest").agg(
         F.first("block").alias("block"), F.first("length").alias("length"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at")
     )
 

@@ -77,7 +77,7 @@ def page(library: Library, text: str, f: EntryFilter = EntryFilter(), mode: str
         read = min(read * GROWTH, len(ranked)) if read * GROWTH <= LISTED or len(ranked) <= LISTED else len(ranked)
     counted = total if read > LISTED else min(read, total)
     shown = top[offset:]
-    return Found(_completed(shown, library, f, phrases, text, mode) if shown else nothing, counted, total)
+    return Found(_completed(shown, library, found, f, phrases, text, mode) if shown else nothing, counted, total)
 
 
 def _full(top: list, want: int, rest: float) -> bool:
@@ -99,7 +99,7 @@ def _best(texts: DataFrame, library: Library, f: EntryFilter, text: str, mode: s
     return ordered(library, texts, search.places(library))
 
 
-def _completed(shown: list, library: Library, f: EntryFilter, phrases: list[list[str]], text: str, mode: str) -> DataFrame:
+def _completed(shown: list, library: Library, found: search.Index, f: EntryFilter, phrases: list[list[str]], text: str, mode: str) -> DataFrame:
     """The page with what takes all segments of its entries: how many others match, and the terms that any of them has. Their texts are matched anew."""
     spark = library.spark
     keys = spark.createDataFrame([tuple(r[k] for k in E.KEY) for r in shown], "source_kind string, instance_id string, native_id string, ordinal long")
@@ -110,7 +110,7 @@ def _completed(shown: list, library: Library, f: EntryFilter, phrases: list[list
     rows = segments.join(F.broadcast(keys), E.KEY, "left_semi").select(*E.KEY, "segment_ordinal", "digest").collect()
     own = sorted({r["digest"] for r in rows})
     texts = library["contents"].where(C.among("digest", own)) if len(own) <= LISTED else library["contents"].join(F.broadcast(spark.createDataFrame([(d,) for d in own], "digest string")), "digest", "left_semi")
-    counts = search.phrase_counts(search.Index(search.postings(texts), library["contents"], 0, 1.0), phrases)
+    counts = search.phrase_counts(replace(found, contents=texts), phrases)
     known = spark.createDataFrame(rows, "source_kind string, instance_id string, native_id string, ordinal long, segment_ordinal long, digest string")
     match = known.join(search.matched(counts, len(phrases), mode), "digest")
     whole = search.hits(match.withColumns({"score": F.lit(0.0), "activity": F.lit(None).cast("string")}), text, mode).select(*E.KEY, "additional_segments", "matched_terms")

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import columns as C
 from threadlake.sources import normal as N
+from threadlake.sources import records as records_of
 
-RECORD_BYTES = 32 * 1024 * 1024
 # Event types that say nothing about a conversation's content.
 SKIPPED = frozenset(
     {
@@ -257,7 +257,7 @@ def normalise(native_id: str, lines: list[str | None], spawned_by: str | None =
         if line is None or not line.strip():
             fold.held = None
             continue
-        if len(line.encode()) > RECORD_BYTES:
+        if len(line.encode()) > records_of.RECORD_BYTES:
             raise N.Malformed("a record is too long")
         fold.record(N.parsed(line), no)
     return fold.finish(spawned_by, coverage)
@@ -284,37 +284,13 @@ def threads(spark: SparkSession, database: str) -> tuple[DataFrame, DataFrame, b
     return times, spark.createDataFrame(edges, "id string, parent string"), recorded
 
 
-def _lines(batches):
-    """path, no, line of files' contents; one that isn't UTF-8 gives a line that isn't JSON, so its conversation is malformed."""
-    import io
-
-    import pandas as pd
-    import zstandard
-
-    for frame in batches:
-        for path, content in zip(frame["path"], frame["content"]):
-            raw = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content)) if path.endswith(".zst") else io.BytesIO(content)
-            out = []
-            try:
-                for no, line in enumerate(io.TextIOWrapper(io.BufferedReader(raw), encoding="utf-8", newline="\n")):
-                    out.append((path, no, line.rstrip("\r\n") or None))
-                    if len(out) == 1000:
-                        yield pd.DataFrame(out, columns=["path", "no", "line"])
-                        out = []
-            except (UnicodeDecodeError, zstandard.ZstdError):
-                out.append((path, 1 << 40, "\x00"))
-            if out:
-                yield pd.DataFrame(out, columns=["path", "no", "line"])
-
-
 def lines_of(spark: SparkSession, files: DataFrame, instance: str, kind: str = "codex") -> DataFrame:
-    """ID, no, line of the files (id, path): only they are opened. A file is one task's work, its lines are streamed."""
-    paths = [r["path"] for r in files.select("path").distinct().collect()]  # names of what changed since the last run
-    if not paths:
+    """ID, no, line of the files (id, path): only they are opened, and long ones by many tasks."""
+    wanted = files.select("id", "path").distinct().collect()  # names of what changed since the last run
+    if not wanted:
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in C.ID) + ", no long, line string")
-    content = spark.read.format("binaryFile").load(paths).select("path", "content")
-    split = content.mapInPandas(_lines, "path string, no long, line string")
-    return split.join(files.select("id", "path"), "path").select(F.lit(kind).alias("source_kind"), F.lit(instance).alias("instance_id"), F.col("id").alias("native_id"), "no", "line")
+    read = records_of.lines(spark, sorted({r["path"] for r in wanted}))
+    return read.join(files.select("id", "path"), "path").select(F.lit(kind).alias("source_kind"), F.lit(instance).alias("instance_id"), F.col("id").alias("native_id"), "no", "line")
 
 
 def records(spark: SparkSession, listed: DataFrame, folder: str, instance: str) -> DataFrame:
