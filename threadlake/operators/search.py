@@ -64,10 +64,10 @@ def postings(contents: DataFrame, bits: int = 0) -> DataFrame:
     """term, block, digest, length (of the text, in tokens) and positions (from 0, ascending), one row for each term of each text; made within the text's row."""
     listed = contents.select("digest", C.tokens(F.col("text")).alias("tokens"))
     at = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("position")))
-    ordered = listed.select("digest", F.size("tokens").cast("long").alias("length"), F.array_sort(at).alias("at"))
+    ordered = listed.select("digest", F.size("tokens").cast("long").alias("length"), F.sort_array(at).alias("at"))
     # Equal terms stand together now: a term's positions are a slice from where it begins to where the next one does.
     begins = F.filter(F.sequence(F.lit(0), F.size("at") - 1), lambda i: (i == 0) | (F.get("at", i - 1)["term"] != F.get("at", i)["term"]))
-    cut = ordered.where("length > 0").withColumn("begins", begins)
+    cut = ordered.withColumn("begins", F.when(F.size("at") > 0, begins))
     ends = lambda k: F.coalesce(F.get("begins", k + 1), F.size("at"))
     runs = F.transform("begins", lambda i, k: F.struct(F.get("at", i)["term"].alias("term"), F.transform(F.slice("at", i + 1, ends(k) - i), lambda x: x["position"]).alias("positions")))
     return cut.select("digest", "length", F.explode(runs).alias("p")).select("p.term", _block(bits).alias("block"), "digest", "length", "p.positions")

@@ -120,7 +120,16 @@ cand AS (
 """
 
 
+#: Queries over the stored library give what those over the flat tables do.
+_STORED = {"stored_topk": "search_topk", "stored_phrase": "search_phrase", "stored_support": "search_support", "stored_manifest": "manifest"}
+
+
 def oracle_sql() -> dict[str, str]:
+    sql = _flat_sql()
+    return sql | {name: sql[flat] for name, flat in _STORED.items()}
+
+
+def _flat_sql() -> dict[str, str]:
     return {
         "list_conversations": f"{_WITH} SELECT {_SUMMARY} FROM spine WHERE has_document",
         "list_by_workspace_state": f"{_WITH} SELECT {_ID}, activity, source_state FROM spine WHERE has_document AND workspace = 'en' AND source_state = 'present'",
@@ -216,6 +225,7 @@ shown AS (
   UNION ALL SELECT t.source_kind, t.instance_id, t.native_id, t.place, {_cut("coalesce(body, '')", 'least(300, rest)')}, rest - {_cut("coalesce(body, '')", 'least(300, rest)')}
     FROM shown JOIN t ON t.source_kind = shown.source_kind AND t.instance_id = shown.instance_id AND t.native_id = shown.native_id AND t.place = shown.place + 1)
 SELECT {_ID}, ordinal, s AS segment_ordinal, emitted, coalesce(emitted < strlen(body), false) AS truncated FROM shown JOIN t USING ({_ID}, place)""",
+        "stored_proofs": f"{_WITH} SELECT {_ID}, ordinal // 256 AS block, count(*) AS entry_count, true AS proven FROM entry GROUP BY ALL",
         "sha256_text": f"{_WITH} SELECT digest, sha256(text) AS again FROM content",
         "identity_codec": f"{_WITH} SELECT source_kind || '@' || instance_id || '%20%C3%BC%2F%2A~:' || native_id AS printable, instance_id || ' ü/*~' AS instance, native_id AS native FROM spine",
         "metadata_filters": f"{_WITH} SELECT {_ID}, observed_at FROM spine WHERE has_document AND source_kind = 'document' AND instance_id = 'src2' AND observed_at > '2024-04-10T00:00:00.000Z'",

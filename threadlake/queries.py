@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions import columns as C
-from threadlake.operators import doctor, entries, filters, ingest, lineage, listing, maintenance, scope, search, transcript
+from threadlake.operators import doctor, entries, filters, ingest, lineage, listing, maintenance, proof, scope, search, transcript
 from threadlake.operators.library import Library
 from threadlake.plans.requests import ConversationFilter, EntryFilter
 from threadlake.sources import tables
@@ -272,6 +272,34 @@ def metadata_filters(lib: Library) -> DataFrame:
     return lib.retained().where(filters.conversations(f)).select(*C.ID, "observed_at")
 
 
+def stored_topk(lib: Library) -> DataFrame:
+    """search_topk over a stored index: the blocks that can reach the page."""
+    return search_topk(lib)
+
+
+def stored_phrase(lib: Library) -> DataFrame:
+    return search_phrase(lib)
+
+
+def stored_support(lib: Library) -> DataFrame:
+    return search_support(lib)
+
+
+def stored_manifest(lib: Library) -> DataFrame:
+    """manifest of stored metrics and roots."""
+    return manifest(lib)
+
+
+def stored_proofs(lib: Library) -> DataFrame:
+    """The stored digest of every block of entries beside that of its rows now."""
+    kept = lib.stored("proofs").select(*C.ID, "block", F.col("digest").alias("kept"))
+    found = proof.blocks(lib).join(kept, [*C.ID, "block"], "full")
+    entries = lib["entries"].groupBy(*C.ID, F.expr(f"ordinal div {proof.BLOCK}").alias("block")).agg(F.count("*").alias("entry_count"))
+    return found.join(entries, [*C.ID, "block"], "left").select(*C.ID, "block", "entry_count", F.col("digest").eqNullSafe(F.col("kept")).alias("proven"))
+
+
+#: Queries over the tables as a library that was written once.
+_STORED = (stored_topk, stored_phrase, stored_support, stored_manifest, stored_proofs)
 _QUERIES = (
     list_conversations, list_by_workspace_state, list_activity_bounds, list_keyset_page, capture_scope, coverage_counts, freshness, document_metrics, manifest,
     entries_all, entries_first, entries_last, entries_origin, entry_counts, entry_preview, entry_bodies, content_intern, content_orphans, content_recurrence,
@@ -283,4 +311,5 @@ _QUERIES = (
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: lambda spark, sf_dir, q=q: q(tables.library(spark, sf_dir)) for q in _QUERIES}
+    flat = {q.__name__: lambda spark, sf_dir, q=q: q(tables.library(spark, sf_dir)) for q in _QUERIES}
+    return flat | {q.__name__: lambda spark, sf_dir, q=q: q(tables.stored_library(spark, sf_dir)) for q in _STORED}

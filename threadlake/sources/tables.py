@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadlake.functions import columns as C
-from threadlake.operators.library import SCHEMAS, Library, empty
+from threadlake.operators.library import SCHEMAS, Library, Store, empty
+from threadlake.sources import shared
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -188,3 +190,16 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
         shaped[name] = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
     assert set(shaped) <= set(SCHEMAS)
     return base.with_tables(**shaped)
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_library(spark: SparkSession, sf_dir: str) -> Library:
+    """library() as a Store keeps it, with its index and other derived tables; written to the shared folder once for each application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = shared.fresh_path(spark, "library")
+        Store(spark, path).commit(library(spark, sf_dir))
+        _STORED[key] = path
+    return Store(spark, _STORED[key]).open()
