@@ -236,3 +236,12 @@ def test_forest_is_a_commutative_monoid():
             b = parts.pop(RND.randrange(len(parts)))
             parts.append(a.merge(b))
         assert parts[0].merge(merkle.Forest()).root() == want and len(parts[0].nodes) == 1
+
+
+def test_files_stand_in_the_order_of_their_numbers(spark):
+    """From 100,000 files on, names have more digits and sort otherwise."""
+    from threadlake.llm import token_records
+
+    names = [f"part-{n:05}-abc.txt" for n in (99_998, 99_999, 100_000, 100_001, 1_000_000, 7)]
+    index = spark.createDataFrame([(n, k) for n in names for k in (2, 3)], "file string, n_tokens long")
+    assert {r["file"]: r["base"] for r in token_records.bases(index).collect()} == {names[5]: 0, names[0]: 5, names[1]: 10, names[2]: 15, names[3]: 20, names[4]: 25}

@@ -234,20 +234,21 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     return _files(spark, path).join(places, "file").select("content", "places").mapInArrow(run, "doc_id long, ids array<long>")
 
 
-def placed(spark: SparkSession, path: str) -> DataFrame:
-    """read() with start: the number of ids in all documents before it, over all files in order.
+def bases(index: DataFrame) -> DataFrame:
+    """file and base: the ids in all files before it, in the order of the files' numbers (their names pad those to five digits only)."""
+    from pyspark.sql.window import Window
 
-    Only each file's total goes to the driver: a few bytes for each file of the output.
-    """
-    totals = spark.read.parquet(f"{path}/index").groupBy("file").agg(F.sum("n_tokens").alias("n")).orderBy("file").collect()
-    bases, total = [], 0
-    for r in totals:
-        bases.append((r["file"], total))
-        total += r["n"]
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("number", number)
+    # One row for each file, of FILE_BYTES of text, goes through this window.
+    before = Window.orderBy("number", "file").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+
+
+def placed(spark: SparkSession, path: str) -> DataFrame:
+    """read() with start: the number of ids in all documents before it, over all files in order."""
     from pyspark.sql.window import Window
 
     inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    base = spark.createDataFrame(bases, "file string, base long")
-    if len(bases) <= BROADCAST_FILES:
-        base = F.broadcast(base)
+    base = bases(spark.read.parquet(f"{path}/index"))
     return read(spark, path).join(base, "file").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
