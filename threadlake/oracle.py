@@ -121,7 +121,7 @@ cand AS (
 
 
 #: Queries over the stored library give what those over the flat tables do.
-_STORED = {"stored_topk": "search_topk", "stored_phrase": "search_phrase", "stored_support": "search_support", "stored_manifest": "manifest"}
+_STORED = {"stored_topk": "search_topk", "stored_phrase": "search_phrase", "stored_support": "search_support", "stored_manifest": "manifest", "clustered_documents": "document_metrics"}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,6 +8,7 @@ import re
 from dataclasses import asdict, dataclass, fields
 from datetime import datetime
 
+# Who speaks, where a text comes from, what a source says about a conversation; and the limits of requests.
 ACTORS = ("human", "model", "tool", "system", "unknown")
 ORIGINS = ("human", "injected", "delegated", "replayed-copied", "model", "tool", "system", "unknown")
 STATES = ("present", "missing", "unknown")

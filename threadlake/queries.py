@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions import columns as C
-from threadlake.operators import doctor, entries, filters, ingest, lineage, listing, maintenance, proof, scope, search, transcript
+from threadlake.operators import clustered, doctor, entries, filters, ingest, lineage, listing, maintenance, proof, scope, search, transcript
 from threadlake.operators.library import Library
 from threadlake.plans.requests import ConversationFilter, EntryFilter
-from threadlake.sources import tables
+from threadlake.sources import shared, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEY = entries.KEY
@@ -298,8 +298,19 @@ def stored_proofs(lib: Library) -> DataFrame:
     return found.join(entries, [*C.ID, "block"], "left").select(*C.ID, "block", "entry_count", F.col("digest").eqNullSafe(F.col("kept")).alias("proven"))
 
 
+def clustered_documents(lib: Library) -> DataFrame:
+    """Sizes of every document as it is merged from bucketed tables: what its metrics say."""
+    made = clustered.Clustered.write(lib, shared.fresh_path(lib.spark, "clustered"))
+    content = F.flatten(F.transform("entries", lambda e: F.coalesce(e["content"], F.array())))
+    size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
+    rows = made.nested().select(*C.ID, "relations", "entries", content.alias("content"))
+    omitted = F.filter("content", lambda s: s["digest"].isNull())
+    text = F.aggregate("content", F.lit(0).cast("long"), lambda n, s: n + F.coalesce(F.octet_length(s["text"]), F.lit(0)))
+    return rows.select(*C.ID, size("relations").alias("relation_count"), size("entries").alias("entry_count"), size("content").alias("segment_count"), size(omitted).alias("omitted_count"), F.coalesce(text, F.lit(0)).alias("text_bytes"))
+
+
 #: Queries over the tables as a library that was written once.
-_STORED = (stored_topk, stored_phrase, stored_support, stored_manifest, stored_proofs)
+_STORED = (stored_topk, stored_phrase, stored_support, stored_manifest, stored_proofs, clustered_documents)
 _QUERIES = (
     list_conversations, list_by_workspace_state, list_activity_bounds, list_keyset_page, capture_scope, coverage_counts, freshness, document_metrics, manifest,
     entries_all, entries_first, entries_last, entries_origin, entry_counts, entry_preview, entry_bodies, content_intern, content_orphans, content_recurrence,
