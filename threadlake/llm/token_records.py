@@ -40,7 +40,6 @@ _TAIL = struct.Struct("<I")
 END_ID = 0
 #: Text that goes into a file, about; its ids take half of that or so.
 FILE_BYTES = 64 << 20
-#: The files' totals are broadcast up to so many files.
 
 
 def masked_crc(data: bytes | memoryview) -> int:
