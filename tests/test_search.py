@@ -1,8 +1,9 @@
+import random
 import sqlite3
 
 import pytest
 
-from threadlake.operators import entries, search
+from threadlake.operators import entries, excerpts, search
 from threadlake.operators.library import SCHEMAS, empty
 from threadlake.operators.service import Engine
 from threadlake.plans.requests import EntriesRequest, EntryFilter, ListRequest, SearchRequest, UsageError
@@ -86,11 +87,41 @@ def test_pages_meet_every_row_once(library):
         engine.entries(EntriesRequest(limit=3, cursor=first))
 
 
-def test_snippets_are_bounded_and_hold_the_match():
-    long = "word " * 300 + "Start: needle in here. " + "tail " * 300
-    text, cut = search.snippet(long, "needle")
-    assert cut and "needle" in text and len(text.encode()) <= 512
-    assert search.snippet("a needle", "needle") == ("a needle", False)
+def test_snippets_are_bounded_and_hold_the_match(spark):
+    long = "word " * 300 + "end. Start of needle here. " + "tail " * 300
     wide = "中" * 400 + " needle " + "中" * 400
-    text, cut = search.snippet(wide, "needle")
-    assert cut and len(text.encode()) <= 512 and "needle" in text
+    texts = {"long": long, "short": "a needle", "wide": wide, "emoji": "😀€" * 90 + "needle" + "😀€" * 90, "none": "中" * 300, "empty": "", "null": None}
+    rows = {r.digest: (r.snippet, r.snippet_truncated) for r in excerpts.excerpts(spark.createDataFrame(list(texts.items()), "digest string, text string"), [["needle"]]).collect()}
+    for name in ("long", "wide", "emoji"):
+        text, cut = rows[name]
+        assert cut and "needle" in text and len(text.encode()) <= 512
+    assert rows["long"][0].startswith(" … Start of needle here. tail") and rows["short"] == ("a needle", False)
+    # A quarter of the bytes, in whole characters, stands before the occurrence.
+    assert len(rows["wide"][0].split("needle")[0].encode()) in range(126, 129) and len(rows["emoji"][0].split("needle")[0].encode()) in range(123, 129)
+    assert rows["none"] == ("中" * 170, True) and rows["empty"] == ("", False) and rows["null"] == (None, None)
+    assert excerpts.excerpts(spark.createDataFrame([("a", "b c")], "digest string, text string"), []).first().snippet == "b c"
+
+
+@pytest.mark.parametrize("query", ["alpha", "alpha beta", "beta:gamma alpha", "alpha alpha gamma", "beta:beta gamma", "rare alpha:beta", "caf\u00e9 rare"])
+def test_excerpts_are_those_of_fts5(spark, query):
+    """Generated texts of few words with sentences, repeats and letters of several bytes: the window is the one that SQLite's snippet() takes."""
+    draw = random.Random(query)
+    words = ["alpha", "beta", "gamma", "rare", "café", "Ålpha", *[f"w{i}" for i in range(draw.choice([6, 60]))]]
+    weights = [3, 3, 2, 1, 1, 1, *[8 if len(words) < 20 else 3] * (len(words) - 6)]
+    marks = [" "] * 12 + [". ", ": ", ".", ", ", " \n", "。 ", ":\t", "  "]
+    made = []
+    for n in range(150):
+        text = "".join(w + draw.choice(marks) for w in draw.choices(words, weights, k=draw.choice([1, 5, 63, 64, 65, 66, 80, 130, 400])))
+        made.append((str(n), draw.choice(["", " ", "... "]) + text + draw.choice(["", "\n", "end"])))
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(d UNINDEXED, x, tokenize='unicode61')")
+    db.executemany("INSERT INTO t VALUES (?, ?)", made)
+    expected = dict(db.execute("SELECT d, snippet(t, 1, '', '', ' … ', 64) FROM t WHERE t MATCH ?", (" OR ".join('"' + t + '"' for t in query.split()),)).fetchall())
+    texts = spark.createDataFrame(made, "digest string, text string")
+    got = {r.digest: r for r in excerpts.excerpts(texts, [search.token_list(t) for t in query.split()]).collect()}
+    assert len(expected) > 50 and {d: got[d].excerpt for d in expected} == expected
+    whole = dict(made)
+    for d, r in got.items():
+        assert len(r.snippet.encode()) <= 512 and r.snippet_truncated == (r.snippet != whole[d])
+        if len(r.excerpt.encode()) <= 512 and d in expected:
+            assert r.snippet == r.excerpt

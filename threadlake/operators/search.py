@@ -10,14 +10,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadlake.functions import columns as C
 from threadlake.operators import entries as E
-from threadlake.operators import filters, lineage
+from threadlake.operators import excerpts, filters, lineage
 from threadlake.operators.library import Library
 from threadlake.plans.requests import EntryFilter, search_terms
 
@@ -280,73 +279,7 @@ def page(library: Library, text: str, f: EntryFilter = EntryFilter(), mode: str
     return hits(matching(library, text, f, mode, found), text, mode).orderBy(*order()).offset(offset).limit(limit + 1)
 
 
-SNIPPET_TOKENS, SNIPPET_BYTES = 64, 512
-
-
-def _cut(raw: bytes, most: int) -> bytes:
-    """A prefix of whole code points."""
-    end = min(most, len(raw))
-    while end < len(raw) and end and raw[end] & 0xC0 == 0x80:
-        end -= 1
-    return raw[:end]
-
-
-def snippet(text: str, query: str) -> tuple[str, bool]:
-    """An excerpt of at most 64 tokens and 512 bytes around the first match, and whether it is less than the text.
-
-    A window that starts where a sentence does is preferred, as long as the match lies in it.
-    """
-    spans = _token_spans(text)
-    names = [t for t, _, _ in spans]
-    first = None
-    for phrase in (token_list(t) for t in search_terms(query)):
-        for i in range(len(names) - len(phrase) + 1):
-            if phrase and names[i : i + len(phrase)] == phrase:
-                first = i if first is None else min(first, i)
-                break
-    if not spans or first is None:
-        shown = _cut(text.encode(), SNIPPET_BYTES).decode()
-        return shown, shown != text
-    low = max(0, min(first - SNIPPET_TOKENS // 2, len(spans) - SNIPPET_TOKENS))
-    for i in range(first, max(-1, first - SNIPPET_TOKENS), -1):
-        before = text[: spans[i][1]].rstrip()
-        if not before or before[-1] in ".:":
-            low = i
-            break
-    high = min(len(spans), low + SNIPPET_TOKENS)
-    begin = 0 if low == 0 else spans[low][1]
-    end = len(text) if high == len(spans) else spans[high - 1][2]
-    excerpt = ("" if begin == 0 else " … ") + text[begin:end] + ("" if end == len(text) else " … ")
-    raw = excerpt.encode()
-    if len(raw) > SNIPPET_BYTES:
-        anchor = len(excerpt[: excerpt.find(text[spans[first][1] : spans[first][2]])].encode())
-        start = max(0, anchor - SNIPPET_BYTES // 4)
-        while start < len(raw) and raw[start] & 0xC0 == 0x80:
-            start += 1
-        excerpt = _cut(raw[start:], SNIPPET_BYTES).decode()
-    return excerpt, excerpt != text
-
-
-def _token_spans(text: str) -> list[tuple[str, int, int]]:
-    """(token, start, end) of every token in a text."""
-    import unicodedata
-
-    out, at = [], 0
-    while at < len(text):
-        end = at
-        while end < len(text) and (unicodedata.category(text[end])[0] in "LN" or unicodedata.category(text[end]) == "Co"):
-            end += 1
-        if end > at:
-            out.append(("".join(token_list(text[at:end])), at, end))
-        at = max(end, at + 1)
-    return out
-
-
 def with_snippets(rows: DataFrame, library: Library, query: str) -> DataFrame:
     """snippet and snippet_truncated for a page of hits; only their texts are read."""
-    @F.pandas_udf("text string, truncated boolean")
-    def cut(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([snippet(t, query) for t in texts], columns=["text", "truncated"])
-
-    found = rows.join(library["contents"], "digest").withColumn("s", cut("text"))
-    return found.withColumns({"snippet": F.col("s.text"), "snippet_truncated": F.col("s.truncated")}).drop("s", "text")
+    texts = library["contents"].join(rows.select("digest").distinct(), "digest", "left_semi").select("digest", "text")
+    return rows.join(excerpts.excerpts(texts, [p for p in map(token_list, search_terms(query)) if p]).drop("excerpt"), "digest")
