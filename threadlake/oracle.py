@@ -81,8 +81,11 @@ def _cut(text: str, most: str) -> str:
     return f"list_max(list_filter(list_transform(range(0, 301), lambda k: strlen(left({text}, k))), lambda b: b <= {most}))"
 
 
+_WORD = "[\\p{L}\\p{N}]+"
+
+
 def _tokens(text: str = "text") -> str:
-    return f"regexp_extract_all(lower(strip_accents({text})), '[\\p{{L}}\\p{{N}}]+')"
+    return f"regexp_extract_all(lower(strip_accents({text})), '{_WORD}')"
 
 
 def _tf(phrase: list[str]) -> str:
@@ -180,6 +183,23 @@ FROM (SELECT {_KEY}, s, score, count(*) OVER w AS n, row_number() OVER (PARTITIO
         "search_origin": f"{_WITH}, {_ANY_COMMON} SELECT {_KEY}, s AS segment_ordinal, digest FROM segment JOIN match ON sha256(body) = digest WHERE actor = 'human'",
         "search_topk": f"""{_WITH}, {_ALL} SELECT {_KEY}, round(score, 6) AS score FROM segment JOIN match ON sha256(body) = digest JOIN spine USING ({_ID}) WHERE source_kind = 'document'
 ORDER BY match.score, activity DESC NULLS LAST, {_KEY} LIMIT 21""",
+        "search_excerpts": f"""{_WITH}, tok AS (SELECT digest, text, regexp_extract_all(text, '{_WORD}') AS raw, regexp_split_to_array(text, '{_WORD}') AS gap FROM content),
+w AS (SELECT digest, len(raw) AS many, unnest(raw) AS r, unnest(gap[:len(raw)]) AS g, unnest(range(len(raw))) AS place FROM tok),
+x AS (SELECT *, lower(strip_accents(r)) AS t, sum(length(r) + length(g)) OVER (PARTITION BY digest ORDER BY place) AS high, place = 0 OR regexp_matches(g, '[.:][ \\t\\n\\r]+$') AS opens FROM w),
+h AS (SELECT *, high - length(r) AS low, coalesce(t = 'click' AND lead(t) OVER (PARTITION BY digest ORDER BY place) = 'k', false) AS a, t = 'the' AS b FROM x),
+y AS (SELECT *, max(a::INT) OVER f + max(b::INT) OVER f AS kinds, sum(a::INT + b::INT) OVER f AS n, max(CASE WHEN a THEN place + 2 WHEN b THEN place + 1 END) OVER f AS last,
+  min(CASE WHEN a OR b THEN place END) OVER l AS hit, min(CASE WHEN opens THEN place END) OVER l AS opening FROM h
+  WINDOW f AS (PARTITION BY digest ORDER BY place ROWS BETWEEN CURRENT ROW AND 63 FOLLOWING), l AS (PARTITION BY digest ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+c AS (SELECT digest, many, 999 * kinds + n AS score, place AS asked, 0 AS kind, greatest(0, least(many - 64, place - (64 - (last - place)) // 2)) AS first FROM y WHERE a OR b
+  UNION ALL SELECT digest, many, 999 * kinds + n + CASE place WHEN 0 THEN 120 ELSE 100 END, hit, 1, place FROM y WHERE many > 64 AND opens AND hit < coalesce(opening, many)),
+best AS (SELECT digest, first FROM c QUALIFY row_number() OVER (PARTITION BY digest ORDER BY score DESC, asked, kind) = 1),
+span AS (SELECT digest, many, first, CASE first WHEN 0 THEN 0 ELSE min(low) FILTER (WHERE place = first) END AS low, max(high) FILTER (WHERE place = first + 63) AS high, min(low) FILTER (WHERE place >= first AND (a OR b)) AS hit
+  FROM h JOIN best USING (digest) GROUP BY digest, many, first),
+e AS (SELECT digest, text, CASE WHEN first > 0 THEN ' … ' ELSE '' END || text[(low + 1)::BIGINT:CASE WHEN first + 64 < many THEN high ELSE length(text) END::BIGINT] || CASE WHEN first + 64 < many THEN ' … ' ELSE '' END AS excerpt,
+  (hit - low + CASE WHEN first > 0 THEN 3 ELSE 0 END)::BIGINT AS anchor FROM span JOIN content USING (digest)),
+p AS (SELECT *, right(left(excerpt, anchor), list_max(list_filter(range(0, 129), lambda k: strlen(right(left(excerpt, anchor), k)) <= 128))) AS before, excerpt[anchor + 1:] AS rest FROM e),
+q AS (SELECT *, CASE WHEN strlen(excerpt) <= 512 THEN excerpt ELSE before || left(rest, list_max(list_filter(range(0, 513), lambda k: strlen(left(rest, k)) <= 512 - strlen(before)))) END AS snippet FROM p)
+SELECT digest, excerpt, snippet, snippet <> text AS snippet_truncated FROM q""",
         "context_adjacent": f"""{_WITH} SELECT a.source_kind, a.instance_id, a.native_id, a.ordinal, b.ordinal AS context_ordinal FROM entry a JOIN entry b
   ON a.source_kind = b.source_kind AND a.instance_id = b.instance_id AND a.native_id = b.native_id AND abs(a.ordinal - b.ordinal) BETWEEN 1 AND 2 WHERE a.source_kind = 'event' AND a.entry_kind = 'signup'""",
         "context_linked": f"""{_WITH}, one AS (SELECT native_id, ordinal AS a, related AS b FROM entry WHERE entry_kind = 'tool-result'), pair AS (SELECT * FROM one UNION SELECT native_id, b, a FROM one),

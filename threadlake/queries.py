@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.functions import columns as C
-from threadlake.operators import clustered, doctor, entries, filters, ingest, lineage, listing, maintenance, proof, scope, search, transcript
+from threadlake.operators import clustered, doctor, entries, excerpts, filters, ingest, lineage, listing, maintenance, proof, scope, search, transcript
 from threadlake.operators.library import Library
 from threadlake.plans.requests import ConversationFilter, EntryFilter
 from threadlake.sources import shared, tables
@@ -141,6 +141,12 @@ def search_topk(lib: Library) -> DataFrame:
     return search.page(lib, ALL, EntryFilter(source="document"), limit=20).select(*KEY, F.round("score", 6).alias("score"))
 
 
+def search_excerpts(lib: Library) -> DataFrame:
+    """The excerpt of every text that has any of the phrases, and what 512 bytes of it hold."""
+    texts = lib["contents"].join(search.scored(lib, PHRASE, "any").select("digest"), "digest", "left_semi")
+    return excerpts.excerpts(texts, [search.token_list(t) for t in PHRASE.split()])
+
+
 def context_adjacent(lib: Library) -> DataFrame:
     return entries.adjacent(entries.selected(lib, EntryFilter(source="event", entry_kind="signup")), lib, 2)
 
@@ -314,7 +320,7 @@ _STORED = (stored_topk, stored_phrase, stored_support, stored_manifest, stored_p
 _QUERIES = (
     list_conversations, list_by_workspace_state, list_activity_bounds, list_keyset_page, capture_scope, coverage_counts, freshness, document_metrics, manifest,
     entries_all, entries_first, entries_last, entries_origin, entry_counts, entry_preview, entry_bodies, content_intern, content_orphans, content_recurrence,
-    search_all, search_any, search_phrase, search_support, search_matched_terms, search_best_segment, search_origin, search_topk, context_adjacent, context_linked, context_bodies,
+    search_all, search_any, search_phrase, search_support, search_matched_terms, search_best_segment, search_origin, search_topk, search_excerpts, context_adjacent, context_linked, context_bodies,
     entries_keyset_page, canonical_timestamps, segment_metadata, foreign_keys, vocabulary_diff, run_report,
     lineage_roots, lineage_support, changed_detect, missing_reconcile, run_retention, projection_diff, adjacent_collapse, tool_link, transcript_window,
     transcript_budget, sha256_text, identity_codec, metadata_filters,
