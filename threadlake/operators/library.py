@@ -295,8 +295,11 @@ class Store:
         found = self.manifest()
         return None if found is None else self._library(found)
 
-    def commit(self, library: Library) -> Library:
-        """Makes the library the next generation: its delta to the current one where it has it, else all of its tables."""
+    def commit(self, library: Library, note: dict | None = None) -> Library:
+        """Makes the library the next generation: its delta to the current one where it has it, else all of its tables.
+
+        A note is kept in this and later manifests, so what it tells holds exactly if the commit does.
+        """
         from threadlake.operators import lineage, listing, proof, search
 
         self.renew()
@@ -307,7 +310,7 @@ class Store:
         follows = library.delta is not None and library.generation == found["generation"] and (not library.generation or library.library_id == found["library_id"])
         parts = {n: list(p) for n, p in found["parts"].items()} if follows else {}
         dead = {k: list(p) for k, p in found["dead"].items()} if follows else {"conversations": [], "texts": []}
-        after = found | {"generation": generation, "parts": parts, "dead": dead}
+        after = found | {"generation": generation, "parts": parts, "dead": dead} | (note or {})
 
         def write(name: str, df: DataFrame) -> None:
             if name in BY_KEY:

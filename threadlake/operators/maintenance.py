@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threadlake.functions import columns as C
 from threadlake.operators import ingest
@@ -26,6 +27,50 @@ def repair_orphans(library: Library) -> Library:
     return library.with_tables(Delta({}, dropped=gone), contents=ingest.referenced(library))
 
 
+#: A window of a bounded repair: so many orphans at most, and so many bytes of them, the text that passes the mark included.
+WINDOW_ROWS, WINDOW_BYTES = 1_000_000, 16 << 30
+#: Digests are added up by so many first hex digits, so no task sees more than one of 65,536 parts of the orphans in order.
+HEAD = 4
+
+
+def orphans_between(library: Library, after: str = "", last: str | None = None) -> DataFrame:
+    """orphans() whose digest is above `after` and not above `last`; the bounds reach both scans, which are sorted by digest where they are stored."""
+    kept = library.stored("places")
+    used = (library["occurrences"].where("digest IS NOT NULL") if kept is None else kept).select("digest")
+    within = F.col("digest") > after
+    if last is not None:
+        within = within & (F.col("digest") <= last)
+    return library["contents"].where(within).join(used.where(within), "digest", "left_anti")
+
+
+def windows(library: Library, after: str = "", rows: int = WINDOW_ROWS, size: int = WINDOW_BYTES) -> DataFrame:
+    """How orphans above `after` are cut into windows: last (the window's last digest), rows and bytes.
+
+    Windows follow each other by digest. One ends where the number of orphans so far passes a multiple of
+    `rows` or their bytes pass one of `size`; the sums are those within a head plus the totals of the heads before.
+    """
+    lost = orphans_between(library, after).select("digest", F.octet_length("text").cast("long").alias("bytes"), F.substring("digest", 1, HEAD).alias("head"))
+    before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)  # 16 ** HEAD rows at most
+    heads = lost.groupBy("head").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    heads = heads.select("head", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("n", "b")])
+    inside = Window.partitionBy("head").orderBy("digest")
+    earlier = F.sum("bytes").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    placed = lost.join(heads, "head").select(
+        "digest",
+        "bytes",
+        F.floor((F.col("n") + F.row_number().over(inside) - 1) / rows).alias("by_rows"),
+        F.floor((F.col("b") + F.coalesce(earlier, F.lit(0))) / size).alias("by_size"),
+    )
+    cut = placed.groupBy("by_rows", "by_size").agg(F.max("digest").alias("last"), F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
+    return cut.select("last", "rows", "bytes")
+
+
+def repair_between(library: Library, after: str, last: str) -> Library:
+    """The library without the orphans of one window."""
+    gone = orphans_between(library, after, last).select("digest")
+    return library.with_tables(Delta({}, dropped=gone), contents=library["contents"].join(gone, "digest", "left_anti").select("digest", "text"))
+
+
 def forget(library: Library, identity: tuple[str, str, str]) -> Library:
     """Takes a conversation out of every table, with its contents that nothing else refers to; run items count it as omitted."""
     this = F.struct(*C.ID) == F.struct(*[F.lit(v).alias(c) for c, v in zip(C.ID, identity)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import columns as C
 from threadlake.operators import doctor, entries, ingest, lineage, listing, maintenance, scope, search, transcript
-from threadlake.operators.library import Library, Store, empty
+from threadlake.operators.library import Delta, Library, Store, empty
 from threadlake.plans import cursors
 from threadlake.plans.requests import (
     EntriesRequest,
@@ -204,6 +205,36 @@ class Writer:
     def repair_orphans(self) -> Library:
         return self._change(maintenance.repair_orphans)
 
+    def repair_in_windows(self, rows: int = maintenance.WINDOW_ROWS, size: int = maintenance.WINDOW_BYTES) -> Iterator[dict[str, Any]]:
+        """repair_orphans() by windows of bounded rows and bytes, each its own commit; yields what the repair has done after each.
+
+        How far it has come is in the manifest of the same commit. One that breaks off is gone on with
+        behind its last window, and its sums go on, whatever other writers have committed meanwhile.
+        """
+        self.store.lock()
+        staged = self.store.staging()
+        try:
+            library = self.store.open()
+            if library is None:
+                return
+            done = self.store.manifest().get("repair") or {}
+            if done.get("ended", True):
+                done = {"windows": 0, "rows": 0, "bytes": 0, "after": "", "ended": False}
+            maintenance.windows(library, done["after"], rows, size).write.parquet(staged)
+            cut = self.spark.read.schema("last string, rows long, bytes long").parquet(staged)
+            left = cut.count()
+            if not left and done["windows"]:
+                self.store.commit(library.with_tables(Delta({})), {"repair": done | {"ended": True}})
+            for w in cut.orderBy("last").toLocalIterator():
+                left -= 1
+                step = maintenance.repair_between(library, done["after"], w.last)
+                done = {"windows": done["windows"] + 1, "rows": done["rows"] + w.rows, "bytes": done["bytes"] + w.bytes, "after": w.last, "ended": not left}
+                library = self.store.commit(step, {"repair": done})
+                yield done
+        finally:
+            self.store.discard(staged)
+            self.store.unlock()
+
     def compact(self) -> int:
         self.store.lock()
         try:
