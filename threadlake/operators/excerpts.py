@@ -33,33 +33,36 @@ def _after() -> WindowSpec:
     return _text().orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _tokens(texts: DataFrame) -> DataFrame:
-    """One row for each token: digest, at (its number from 0), many (tokens of its text), term, low and high (where it begins and ends, in characters), opens (a sentence)."""
-    pattern = F.lit(C.TOKEN)
-    raw = F.regexp_extract_all("text", pattern, F.lit(0))
-    gaps = F.slice(F.split("text", C.TOKEN, -1), F.lit(1), F.size("raw"))
-    zipped = texts.select("digest", "text", raw.alias("raw")).select("digest", F.size("raw").alias("many"), F.posexplode(F.arrays_zip("raw", gaps.alias("gap"))).alias("at", "t"))
-    high = F.sum(F.char_length("t.gap") + F.char_length("t.raw")).over(_ordered().rowsBetween(Window.unboundedPreceding, 0))
-    opens = (F.col("at") == 0) | F.col("t.gap").rlike(r"[.:][ \t\n\r]+\z")
-    return zipped.select("digest", "many", "at", C.folded(F.col("t.raw")).alias("term"), (high - F.char_length("t.raw")).alias("low"), high.alias("high"), opens.alias("opens"))
+def _lists(text: str) -> tuple[Column, Column]:
+    """A text's tokens as written, and what stands before each of them and behind the last."""
+    return F.regexp_extract_all(text, F.lit(C.TOKEN), F.lit(0)), F.split(text, C.TOKEN, -1)
+
+
+def _marks(texts: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """One row for each token that begins an occurrence or a sentence: digest, many (tokens of its text), at (its number from 0), opens (a sentence) and here_p (0 or 1) for each phrase.
+
+    They are found within the text's row: no other token becomes one.
+    """
+    listed = texts.select("digest", C.tokens(F.col("text")).alias("terms"), _lists("text")[1].alias("gaps")).where(F.size("terms") > 0)
+    here = lambda x, i, phrase: reduce(lambda a, b: a & b, [(F.get("terms", i + j) if j else x["terms"]).eqNullSafe(F.lit(t)) for j, t in enumerate(phrase)])
+    mark = lambda x, i: F.struct(i.alias("at"), ((i == 0) | x["gaps"].rlike(r"[.:][ \t\n\r]+\z")).alias("opens"), *[here(x, i, p).cast("int").alias(f"here_{n}") for n, p in enumerate(phrases)])
+    each = F.transform(F.slice(F.arrays_zip("terms", "gaps"), F.lit(1), F.size("terms")), mark)
+    told = F.filter(each, lambda m: reduce(lambda a, b: a | b, [m[f"here_{n}"] == 1 for n in range(len(phrases))], m["opens"]))
+    return listed.select("digest", F.size("terms").alias("many"), F.explode(told).alias("m")).select("digest", "many", "m.*")
 
 
 def windows(texts: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """digest, many, first (the window's first token), low and high (the characters that it spans) and anchor (where its first occurrence begins), of each text (digest, text) that has an occurrence.
+    """digest, many, first (the window's first token) and hit (the first one in it that begins an occurrence), of each text (digest, text) that has an occurrence.
 
-    A text's tokens are sorted in one task, so memory is bounded by the longest text.
+    A text's occurrences and sentences are sorted in one task, so memory is bounded by the longest text.
     """
-    rows = _tokens(texts)
-    here = []
-    for p, phrase in enumerate(phrases):
-        follows = [F.coalesce((F.col("term") if j == 0 else F.lead("term", j).over(_ordered())) == t, F.lit(False)) for j, t in enumerate(phrase)]
-        rows = rows.withColumn(f"here_{p}", reduce(lambda a, b: a & b, follows).cast("int"))
-        here.append(F.col(f"here_{p}"))
+    rows = _marks(texts, phrases)
+    here = [F.col(f"here_{p}") for p in range(len(phrases))]
     inside = _ordered().rangeBetween(0, TOKENS - 1)
     total = reduce(lambda a, b: a + b, here)
     # Occurrences at one token are in the order of their phrases: the last one tells where the window's occurrences end.
     reach = F.coalesce(*[F.when(here[p] == 1, F.lit(len(phrases[p]))) for p in reversed(range(len(phrases)))])
-    rows = rows.withColumns({"total": total, "reach": F.when(total > 0, F.col("at") + reach), "low_": F.when(total > 0, F.col("low"))})
+    rows = rows.withColumns({"total": total, "reach": F.when(total > 0, F.col("at") + reach)})
     kinds = reduce(lambda a, b: a + b, [F.max(h).over(inside) for h in here])
     last = F.max(F.when(F.col("total") > 0, F.struct("at", "reach"))).over(inside)["reach"]
     next_hit, next_opening = (F.min(F.when(c, F.col("at"))).over(_after()) for c in (F.col("total") > 0, F.col("opens")))
@@ -72,17 +75,8 @@ def windows(texts: DataFrame, phrases: list[list[str]]) -> DataFrame:
     asked = (F.col("many") > TOKENS) & F.col("opens") & (F.col("next_hit") < F.coalesce("next_opening", F.col("many")))
     of_sentence = candidate(asked, worth + F.when(F.col("at") == 0, 120).otherwise(100), F.col("next_hit"), 1, F.col("at"))
     best = F.max(F.greatest(of_hit, of_sentence)).over(_text())["first"]
-    edge = lambda how, test, c: how(F.when(test, F.col(c)))
-    return (
-        rows.withColumn("first", best)
-        .where("first IS NOT NULL")
-        .groupBy("digest", "many", "first")
-        .agg(
-            edge(F.min, F.col("at") == F.col("first"), "low").alias("low"),
-            edge(F.max, F.col("at") == F.col("first") + TOKENS - 1, "high").alias("high"),
-            edge(F.min, F.col("at") >= F.col("first"), "low_").alias("anchor"),
-        )
-    )
+    hit = F.min(F.when((F.col("total") > 0) & (F.col("at") >= F.col("first")), F.col("at")))
+    return rows.withColumn("first", best).where("first IS NOT NULL").groupBy("digest", "many", "first").agg(hit.alias("hit"))
 
 
 def _suffix(text: Column, most: int) -> Column:
@@ -100,10 +94,16 @@ def excerpts(texts: DataFrame, phrases: list[list[str]]) -> DataFrame:
 
     Texts without an occurrence, or a search without tokens, give the text's beginning; a null text gives nulls.
     """
+    raw, gaps = _lists("text")
     if phrases:
         found = texts.join(windows(texts, phrases), "digest", "left")
     else:
-        found = texts.withColumns({c: F.lit(None).cast("int") for c in ("many", "first", "low", "high", "anchor")})
+        found = texts.withColumns({c: F.lit(None).cast("int") for c in ("many", "first", "hit")})
+    found = found.withColumns({"raw": raw, "gaps": gaps})
+    found = found.withColumn("sizes", F.transform(F.arrays_zip("raw", "gaps"), lambda x: F.char_length(F.coalesce(x["raw"], F.lit(""))) + F.char_length(x["gaps"])))
+    behind = lambda k: F.aggregate(F.slice("sizes", F.lit(1), k + 1), F.lit(0), lambda a, x: a + x)
+    ahead = lambda k: behind(k) - F.char_length(F.get("raw", k))
+    found = found.withColumns({"low": ahead(F.col("first")), "high": behind(F.col("first") + TOKENS - 1), "anchor": ahead(F.col("hit"))})
     ends = F.col("first") + TOKENS >= F.col("many")
     begin = F.when(F.col("first") == 0, 0).otherwise(F.col("low")).cast("int")
     end = F.when(ends, F.char_length("text")).otherwise(F.col("high")).cast("int")
