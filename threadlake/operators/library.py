@@ -19,6 +19,7 @@ import json
 import re
 import time
 import uuid
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
@@ -67,8 +68,10 @@ BY_TEXT = ("contents", "postings", "lengths")
 #: Tables of which a query reads a few keys' rows, and the order that they are cut into files and sorted by.
 BY_KEY = {
     "documents": C.ID, "relations": [*C.ID, "ordinal"], "entries": [*C.ID, "ordinal"], "occurrences": [*C.ID, "ordinal", "segment_ordinal"], "contents": ["digest"], "proofs": [*C.ID, "block"], "proof_roots": C.ID,
-    "postings": ["term", "block", "digest"], "blocks": ["term", "block"], "places": ["digest", *C.ID, "ordinal"],
+    "postings": ["term", "block"], "blocks": ["term", "block"], "places": ["digest", *C.ID, "ordinal"],
 }
+#: Those of them that are cut into files by hash, by these columns or as their last aggregate left them: ranges are drawn by making all rows once more, and these are dear to make.
+HASHED = {"postings": ["term", "block"], "blocks": None, "proofs": None, "proof_roots": None}
 #: Row groups of those tables, so that one key's rows are few of them.
 GROUP_BYTES = 8 << 20
 #: More parts of a table than this are written anew as one.
@@ -287,7 +290,8 @@ class Store:
         return self.spark.createDataFrame([], schema) if out is None else out
 
     def _library(self, manifest: dict) -> Library:
-        tables = {n: self._table(manifest, n) for n in SCHEMAS | DERIVED}
+        missing = set(manifest.get("missing", []))
+        tables = {n: self._table(manifest, n) for n in SCHEMAS | DERIVED if n not in missing}
         return Library(self.spark, tables, manifest["library_id"], manifest["generation"])
 
     def open(self) -> Library | None:
@@ -295,11 +299,22 @@ class Store:
         found = self.manifest()
         return None if found is None else self._library(found)
 
-    def commit(self, library: Library, note: dict | None = None) -> Library:
+    def commit(self, library: Library, note: dict | None = None, derived: Iterable[str] | None = None) -> Library:
         """Makes the library the next generation: its delta to the current one where it has it, else all of its tables.
 
         A note is kept in this and later manifests, so what it tells holds exactly if the commit does.
+        Where `derived` names derived tables, the others are left out until derive() or the next commit makes them; readers work them out.
         """
+        return self._commit(library, note, frozenset(DERIVED if derived is None else derived))
+
+    def derive(self, names: Iterable[str]) -> Library:
+        """The current generation with these derived tables, too: those that it lacks are made and committed."""
+        library = self.open()
+        lacks = frozenset(n for n in names if library.stored(n) is None)
+        return self._commit(library, None, lacks, False) if lacks else library
+
+    def _commit(self, library: Library, note: dict | None, derived: frozenset[str], base: bool = True) -> Library:
+        """commit(); without base, the current generation's tables stay and these derived ones come in addition."""
         from threadlake.operators import lineage, listing, proof, search
 
         self.renew()
@@ -308,16 +323,23 @@ class Store:
         folder = f"gen={generation}-{uuid.uuid4().hex[:8]}"
         # An empty library's delta is all of it.
         follows = library.delta is not None and library.generation == found["generation"] and (not library.generation or library.library_id == found["library_id"])
-        parts = {n: list(p) for n, p in found["parts"].items()} if follows else {}
-        dead = {k: list(p) for k, p in found["dead"].items()} if follows else {"conversations": [], "texts": []}
-        after = found | {"generation": generation, "parts": parts, "dead": dead} | (note or {})
+        # A change can't be added to tables that aren't there: the generation is written as a whole then.
+        follows = follows and base and derived == frozenset(DERIVED) and not found.get("missing")
+        kept = follows or not base
+        parts = {n: list(p) for n, p in found["parts"].items()} if kept else {}
+        dead = {k: list(p) for k, p in found["dead"].items()} if kept else {"conversations": [], "texts": []}
+        left = [n for n in (DERIVED if base else found.get("missing", [])) if n not in derived]
+        after = found | {"missing": left} | {"generation": generation, "parts": parts, "dead": dead} | (note or {})
 
         def write(name: str, df: DataFrame) -> None:
-            if name in BY_KEY:
+            if name in HASHED:
+                df = (df.repartition(*HASHED[name]) if HASHED[name] else df).sortWithinPartitions(*BY_KEY[name])
+            elif name in BY_KEY:
                 df = df.repartitionByRange(*BY_KEY[name]).sortWithinPartitions(*BY_KEY[name])
             elif by := [c for c in [*C.ID, "ordinal", "segment_ordinal", "digest", "run_id"] if c in df.columns]:
                 df = df.sortWithinPartitions(*by)
             out = df.select([c.split(" ")[0] for c in _columns(name)]).write
+            out = out.option("parquet.enable.dictionary#digest", "false") if name == "postings" else out  # a text's digest stands once for each of its terms, rarely twice in a row group
             (out.option("parquet.block.size", GROUP_BYTES) if name in BY_KEY else out).parquet(f"{self.path}/{folder}/{name}")
 
         def stored(tables: dict[str, DataFrame], alone: bool) -> None:
@@ -331,11 +353,11 @@ class Store:
             return self.spark.read.schema((SCHEMAS | DERIVED)[name]).parquet(f"{self.path}/{folder}/{name}")
 
         def index_texts(texts: DataFrame) -> None:
-            """The index of texts that are new; its blocks follow from the postings as written."""
-            stored({"lengths": search.lengths(texts)}, not follows)
-            bits = search.range_bits(fresh("lengths").count())
-            stored({"corpus": search.corpus(fresh("lengths")), "postings": search.postings(texts, bits)}, not follows)
-            stored({"blocks": search.blocks(fresh("postings"))}, not follows)
+            """The index of texts that are new; its blocks and totals follow from the postings as written."""
+            bits = search.range_bits(texts.count())
+            stored({n: make(texts) for n, make in (("lengths", search.lengths), ("postings", lambda t: search.postings(t, bits))) if n in derived}, not follows)
+            made = fresh("postings") if "postings" in derived else search.postings(texts, bits)
+            stored({n: df for n, df in (("corpus", search.totals(texts, made)), ("blocks", search.blocks(made))) if n in derived}, not follows)
 
         def further(tables: dict[str, DataFrame], label: str) -> None:
             """Rows of tables that were perhaps written already in this commit."""
@@ -369,11 +391,15 @@ class Store:
             if delta.removed is not None or delta.added:
                 stored({"roots": lineage.resolved(self._library(after))}, True)
         else:
-            stored({n: library[n] for n in SCHEMAS}, True)
-            made = Library(self.spark, {n: fresh(n) for n in SCHEMAS})
-            index_texts(made["contents"])
-            stored({"places": search.text_places(made["occurrences"]), "metrics": listing.computed_metrics(made), "roots": lineage.resolved(made), "proofs": proof.blocks(made)}, True)
-            stored({"proof_roots": proof.roots(made, fresh("proofs"))}, True)
+            if base:
+                stored({n: library[n] for n in SCHEMAS}, True)
+            made = Library(self.spark, {n: self._table(after, n) for n in SCHEMAS})
+            if derived & {"lengths", "postings", "corpus", "blocks"}:
+                index_texts(made["contents"])
+            makers = {"places": lambda: search.text_places(made["occurrences"]), "metrics": lambda: listing.computed_metrics(made), "roots": lambda: lineage.resolved(made), "proofs": lambda: proof.blocks(made)}
+            stored({n: make() for n, make in makers.items() if n in derived}, True)
+            if "proof_roots" in derived:
+                stored({"proof_roots": proof.roots(made, self._table(after, "proofs"))}, True)
         self._put(after)
         if max(len(p) for p in parts.values()) > MERGE_PARTS:
             return self.commit(replace(self.open(), delta=None))

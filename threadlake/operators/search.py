@@ -8,8 +8,12 @@ the statistics of all texts, whatever the filter. Lower scores are better.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,17 +63,38 @@ def range_bits(texts: int) -> int:
     return min(RANGE_BITS, max(0, (texts // BLOCK_TEXTS).bit_length()))
 
 
+#: Tokens of texts that a task groups at a time; a longer text is grouped alone.
+GROUP_TOKENS = 1 << 19
+
+
 def postings(contents: DataFrame, bits: int = 0) -> DataFrame:
-    """term, block, digest, length (of the text, in tokens) and positions (from 0, ascending), one row for each term of each text; made within the text's row."""
+    """term, block, digest, length (of the text, in tokens) and positions (from 0, ascending), one row for each term of each text; made of the text's own row, in blocks of texts."""
     listed = contents.select("digest", C.tokens(F.col("text")).alias("tokens"))
-    at = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("position")))
-    ordered = listed.select("digest", F.size("tokens").cast("long").alias("length"), F.sort_array(at).alias("at"))
-    # Equal terms stand together now: a term's positions are a slice from where it begins to where the next one does.
-    begins = F.filter(F.sequence(F.lit(0), F.size("at") - 1), lambda i: (i == 0) | (F.get("at", i - 1)["term"] != F.get("at", i)["term"]))
-    cut = ordered.withColumn("begins", F.when(F.size("at") > 0, begins))
-    ends = lambda k: F.coalesce(F.get("begins", k + 1), F.size("at"))
-    runs = F.transform("begins", lambda i, k: F.struct(F.get("at", i)["term"].alias("term"), F.transform(F.slice("at", i + 1, ends(k) - i), lambda x: x["position"]).alias("positions")))
-    return cut.select("digest", "length", F.explode(runs).alias("p")).select("p.term", _block(bits).alias("block"), "digest", "length", "p.positions")
+    made = listed.mapInArrow(_grouped, "term string, digest string, length long, positions array<int>")
+    return made.select("term", _block(bits).alias("block"), "digest", "length", "positions")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of digest and tokens as one row for each term of each: term, digest, length, positions."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column("tokens")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.unique((np.cumsum(sizes) - sizes) // GROUP_TOKENS, return_index=True)[1].tolist()
+        for low, high in zip(starts, [*starts[1:], len(sizes)]):
+            size, rows = sizes[low:high], batch.slice(low, high - low)
+            terms = rows.column("tokens").flatten().dictionary_encode()
+            if not len(terms):
+                continue
+            text = np.repeat(np.arange(len(size)), size)
+            position = np.arange(len(terms)) - np.repeat(np.cumsum(size) - size, size)
+            key = text * len(terms.dictionary) + terms.indices.to_numpy()
+            order = np.argsort(key, kind="stable")  # equal terms of a text stand together, by position
+            key = key[order]
+            begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            at = order[begins]
+            positions = pa.ListArray.from_arrays(pa.array(np.append(begins, len(key)).astype(np.int32)), pa.array(position[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [terms.dictionary.take(terms.indices.take(pa.array(at))), rows.column("digest").take(pa.array(text[at])), pa.array(size[text[at]]), positions], ["term", "digest", "length", "positions"]
+            )
 
 
 def _block(bits: int) -> Column:
@@ -99,6 +124,12 @@ def corpus(long: DataFrame) -> DataFrame:
     return long.agg(F.count("*").alias("texts"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
 
 
+def totals(contents: DataFrame, kept: DataFrame) -> DataFrame:
+    """corpus() of texts whose postings are there: every token is a position of one of them."""
+    tokens = kept.agg(F.coalesce(F.sum(F.size("positions").cast("long")), F.lit(0)).alias("tokens"))
+    return contents.agg(F.count("*").alias("texts")).crossJoin(tokens)  # one row each
+
+
 def index(library: Library) -> Index:
     """The stored index, of whose tables a query reads its own terms' row groups and a few rows of totals; or one worked out from the texts."""
     kept, held, totals = (library.stored(n) for n in ("postings", "blocks", "corpus"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadlake.functions import columns as C
-from threadlake.operators.library import SCHEMAS, Library, Store, empty
+from threadlake.operators.library import DERIVED, SCHEMAS, Library, Store, empty
 from threadlake.sources import shared
 
 
@@ -195,11 +195,12 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
 _STORED: dict[tuple[str, str], str] = {}
 
 
-def stored_library(spark: SparkSession, sf_dir: str) -> Library:
-    """library() as a Store keeps it, with its index and other derived tables; written to the shared folder once for each application."""
+def stored_library(spark: SparkSession, sf_dir: str, derived: tuple[str, ...] | None = None) -> Library:
+    """library() as a Store keeps it, with these derived tables (all of them if none are named); each table is written to the shared folder once for each application."""
+    names = tuple(DERIVED) if derived is None else derived
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
         path = shared.fresh_path(spark, "library")
-        Store(spark, path).commit(library(spark, sf_dir))
+        Store(spark, path).commit(library(spark, sf_dir), derived=names)
         _STORED[key] = path
-    return Store(spark, _STORED[key]).open()
+    return Store(spark, _STORED[key]).derive(names)
