@@ -63,3 +63,10 @@ def test_postings_in_blocks_of_any_size(monkeypatch, most):
     got = sorted(tuple(r[c] for c in COLUMNS) for part in (batch, batch.slice(3, 3)) for b in search._grouped(iter([part])) for r in b.to_pylist())
     of = lambda i: [(t, str(i), len(tokens[i]), [k for k, x in enumerate(tokens[i]) if x == t]) for t in sorted(set(tokens[i] or []))]
     assert got == sorted(row for i in [*range(len(tokens)), 3, 4, 5] for row in of(i))
+
+
+def test_a_search_without_an_index_tokenises_for_its_hits_once(spark):
+    """Weights and hits come from the same counts, so the hits' own plan has no tokens left to make."""
+    found = search.scored(tables.library(spark, SF), "the and", "any")
+    plan = found._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan and "phrase-counts" in plan and found.count() > 0

@@ -23,6 +23,7 @@ from threadlake.operators import entries as E
 from threadlake.operators import excerpts, filters, lineage
 from threadlake.operators.library import Library
 from threadlake.plans.requests import EntryFilter, search_terms
+from threadlake.sources import shared
 
 K1, B = 1.2, 0.75
 
@@ -245,6 +246,8 @@ def scored(library: Library, text: str, mode: str = "all", found: Index | None =
     if phrases is None:
         return library.spark.createDataFrame([], "digest string, score double, " + ", ".join(f"tf_{i} int" for i in range(len(search_terms(text)))))
     counts = phrase_counts(found, phrases)
+    if not found.stored:  # they are read twice, and made of all texts
+        counts = shared.saved(counts, "phrase-counts")
     idf = weights(found, text_counts(found, phrases, counts))
     return rated(matched(counts, len(phrases), mode), found, idf).select("digest", "score", *[f"tf_{i}" for i in range(len(phrases))])
 
