@@ -309,7 +309,7 @@ def _spread(b: Column) -> Column:
 
 
 def links(docs: DataFrame, of: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """k1, k2, component of the different lines that links join; components are numbers of no meaning. of is forms(docs), saved."""
+    """k1, k2, component of the different lines that links join; components are numbers of no meaning. of is forms(docs), saved; so is the result, and what was written for it goes."""
     long = _indexed_lines(docs, of, min_chars)
     wide = F.when(F.col("n") < CHARS_AN_EDIT * (edits + 1), F.encode("form", "UTF-32")).alias("wide")
     spread = long.select("k1", "n", "form", wide).select("k1", near_length(F.col("n"), edits).alias("b"), F.explode(entries(edits=edits)).alias("e"))
@@ -335,6 +335,7 @@ def links(docs: DataFrame, of: DataFrame, edits: int = EDITS, min_chars: int = M
 
     pair = [F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")]
     tried = joined = None
+    tries: list[DataFrame] = []
     open_ = members.withColumn("c", F.col("id"))
     for turn in range(TURNS):
         # Each key has a pivot of its own, so a member that meets others in many keys is tried with many of them.
@@ -344,17 +345,21 @@ def links(docs: DataFrame, of: DataFrame, edits: int = EDITS, min_chars: int = M
         meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.c") != F.col("y.c")) & _allowed("x", "y", edits)
         fresh = x.join(y, meet).select(*pair).distinct()
         fresh = store.saved(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "tried")
+        tries.append(fresh)
         tried = fresh if tried is None else tried.unionByName(fresh)
         new = verified(fresh)
         joined = components(new if joined is None else joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
         placed = members.join(_bounded(joined.withColumnRenamed("node", "id")), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-        open_ = store.saved(placed.join(mixed, "key"), "open")
+        before, open_ = open_, store.saved(placed.join(mixed, "key"), "open")
+        store.drop(new, *([before] if turn else []))
+    store.drop(members)
     # What is left of a key in several components, across them. A pair that meets in several keys is tried in the
     # smallest that the first line is indexed by, so there is a row for each pair, not for each key that it shares.
     keyed = open_.groupBy("id").agg(F.collect_set(F.when(F.col("indexed"), F.col("key"))).alias("own"), F.collect_set("key").alias("every"))
     keyed = keyed.select("id", "own", F.when(F.size("every") > F.size("own"), F.col("every")).alias("every"))  # no more than a line's entries
     held = store.saved(open_.join(keyed, "id"), "held")
+    store.drop(open_)
     x, y = held.where("indexed").alias("x"), held.withColumn("at", _spread(F.col("b"))).alias("y")
     every = lambda side: F.coalesce(F.col(f"{side}.every"), F.col(f"{side}.own"))
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.b") == F.col("y.at")) & (F.col("x.c") != F.col("y.c")) & _allowed("x", "y", edits)
@@ -363,13 +368,15 @@ def links(docs: DataFrame, of: DataFrame, edits: int = EDITS, min_chars: int = M
     crossing = store.saved(x.join(y, meet & first & once).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
     if crossing.take(1):
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(crossing)))
-    return texts.select("id", "k1", "k2").join(joined.withColumnRenamed("node", "id"), "id").select("k1", "k2", "component")
+    out = store.saved(texts.select("id", "k1", "k2").join(joined.withColumnRenamed("node", "id"), "id").select("k1", "k2", "component"), "linked")
+    store.drop(texts, held, crossing, *tries)
+    return out
 
 
 def _repeated(docs: DataFrame, edits: int, min_chars: int, copies_from: int) -> DataFrame:
     """k1, k2, class_doc_id, class_line_no of the lines that have a copy or a link, saved."""
     of = store.saved(forms(docs), "forms")
-    linked = store.saved(links(docs, of, edits, min_chars), "linked")
+    linked = links(docs, of, edits, min_chars)
     wanted = of.where(F.col("n") >= copies_from)
     joined = wanted.join(_bounded(linked), ["k1", "k2"]).select("k1", "k2", "component", "first")
     firsts = joined.groupBy("component").agg(F.min("first").alias("class"))

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows with whole texts in a batch for Python.
+TEXT_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,11 +42,23 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go when it ends, not when the driver's garbage is collected."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends here, and any executor may be lost."""
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends here, any executor may be lost, and its shuffle files go."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
@@ -54,6 +73,12 @@ def drop(*tables: DataFrame) -> None:
         target.getFileSystem(hadoop).delete(target, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of TEXT_ROWS rows: Spark's default of 10,000 is a batch for a whole split, held on both sides at once. Another setting stays."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, str(TEXT_ROWS))
+
+
 def free_name(df: DataFrame) -> str:
     """A column name that df doesn't have."""
     taken, name = {c.lower() for c in df.columns}, "threadlake"
