@@ -20,11 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from threadlake.llm import store
 from threadlake.llm import words as W
 
 _NONE = np.int64(1 << 62)
 #: At most so many leaves in the trees of one step.
-_LEAVES = 1 << 20
+_LEAVES = 1 << 17
+#: So many words' ids are kept at most: each of an executor's workers has them.
+_WORDS = 50_000
 
 
 def byte_symbols() -> list[str]:
@@ -169,7 +172,7 @@ class Codec:
     def __init__(self, path: str):
         self.table = merge_table(path)
         self._clear()
-        self._words = W.WordTable(self._learn, self._clear)
+        self._words = W.WordTable(self._learn, self._clear, _WORDS)
 
     def _clear(self) -> None:
         self._count: list[int] = []
@@ -245,5 +248,6 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    store.small_batches(docs.sparkSession)
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -148,6 +148,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array(n), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), *lists], names=["doc_id", "n", "f1", "f2", "bands", "sketch"]
             )
 
+    store.small_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
 

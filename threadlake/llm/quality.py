@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadlake.llm import store
 from threadlake.llm import words as W
 
 #: The classifier is fitted on at most so many labelled rows, those of least hash of doc_id.
@@ -196,6 +197,7 @@ def score(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) ->
             s = model.scores(features(batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array(s >= threshold).cast(pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
+    store.small_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -210,4 +212,5 @@ def accepted(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD)
         for batch in W.slices(batches):
             yield batch.filter(pa.array(model.scores(features(batch.column("text").to_pylist())) >= threshold))
 
+    store.small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

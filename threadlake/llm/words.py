@@ -38,13 +38,13 @@ def char_classes() -> np.ndarray:
     from tokenizers.pre_tokenizers import Split
 
     # Beyond these planes no code point is a letter, number or white space.
-    points = [*range(0xD800), *range(0xE000, 0x32400)]
-    text = "".join(map(chr, points))
-    at = np.array(points, dtype=np.int64)
     out = np.zeros(0x110000, dtype=np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for _, (a, b) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
-            out[at[a:b]] = kind
+        split = Split(Regex(pattern), "removed", invert=True)
+        # Few code points at a time, as every worker has what this takes.
+        for low in [*range(0, 0xD800, 0x400), *range(0xE000, 0x32400, 0x400)]:
+            for _, (a, b) in split.pre_tokenize_str("".join(map(chr, range(low, low + 0x400)))):
+                out[low + a : low + b] = kind
     return out
 
 
