@@ -125,4 +125,11 @@ def difference(left: DataFrame, right: DataFrame, key: str | None = None) -> Dat
         if not ranges:
             return left.limit(0).withColumn("side", F.lit("left"))
         left, right = (df.where(_range(key).isin(ranges)) for df in (left, right))
-    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+    # Both directions from one count of each row: how many more the left side has.
+    more = "more"
+    while more in names:
+        more += "_"
+    both = left.withColumn(more, F.lit(1)).unionByName(right.withColumn(more, F.lit(-1)))
+    odd = both.groupBy(*names).agg(F.sum(more).alias(more)).where(F.col(more) != 0)
+    side = F.when(F.col(more) > 0, "left").otherwise("right").alias("side")
+    return odd.select(*names, side, F.explode(F.array_repeat(F.lit(0), F.abs(more).cast("int"))).alias(more)).drop(more)
