@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -131,11 +133,19 @@ def totals(contents: DataFrame, kept: DataFrame) -> DataFrame:
     return contents.agg(F.count("*").alias("texts")).crossJoin(tokens)  # one row each
 
 
+_TABLES = ("postings", "blocks", "corpus")
+
+
+def is_stored(library: Library) -> bool:
+    return all(library.stored(n) is not None for n in _TABLES)
+
+
 def index(library: Library) -> Index:
     """The stored index, of whose tables a query reads its own terms' row groups and a few rows of totals; or one worked out from the texts."""
-    kept, held, totals = (library.stored(n) for n in ("postings", "blocks", "corpus"))
-    stored = kept is not None and held is not None and totals is not None
-    if not stored:
+    stored = is_stored(library)
+    if stored:
+        kept, held, totals = (library[n] for n in _TABLES)
+    else:
         kept = postings(library["contents"])
         held, totals = blocks(kept), corpus(lengths(library["contents"]))
     n = totals.agg(F.sum("texts").alias("texts"), F.sum("tokens").alias("tokens")).collect()[0]
@@ -156,6 +166,15 @@ def vocabulary_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return x.join(y, "term", "full").where(~same)
 
 
+def vocabulary_difference_within(kept: DataFrame, left: Column, right: Column) -> DataFrame:
+    """vocabulary_difference() of two parts of one postings table, told by conditions on its rows: the postings are made and counted once."""
+    counts = lambda side, c: (F.count_if(c).alias(f"{side}_texts"), F.sum(F.when(c, F.size("positions"))).alias(f"{side}_instances"))
+    both = kept.groupBy("term").agg(*counts("left", left), *counts("right", right))
+    both = both.select("term", *[F.when(F.col(f"{side}_texts") > 0, F.col(f"{side}_{c}")).alias(f"{side}_{c}") for side in ("left", "right") for c in ("texts", "instances")])
+    same = F.col("left_texts").eqNullSafe(F.col("right_texts")) & F.col("left_instances").eqNullSafe(F.col("right_instances"))
+    return both.where(~same)
+
+
 def token_list(text: str) -> list[str]:
     """The same tokens as columns.tokens, for a query's own text."""
     import unicodedata
@@ -192,6 +211,21 @@ def phrase_counts(found: Index, phrases: list[list[str]]) -> DataFrame:
     return held.select("digest", "block", "length", *[count(p).alias(f"tf_{i}") if p else F.lit(0).alias(f"tf_{i}") for i, p in enumerate(phrases)])
 
 
+def text_phrases(contents: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """length and tf_0 .. tf_n of every text, made of its own row, and the digest of those that have any phrase (else null)."""
+    tokens, tf = F.col("tokens"), [f"tf_{i}" for i in range(len(phrases))]
+
+    def count(phrase: list[str]) -> Column:
+        if len(phrase) < 2:
+            return F.size(tokens) - F.size(F.array_remove(tokens, phrase[0])) if phrase else F.lit(0)
+        follows = lambda t, i: reduce(and_, [F.get(tokens, i + k) == w for k, w in enumerate(phrase[1:], 1)], t == phrase[0])
+        return F.when(reduce(and_, [F.array_contains(tokens, w) for w in phrase]), F.size(F.filter(tokens, follows))).otherwise(0)
+
+    listed = contents.select("digest", C.tokens(F.col("text")).alias("tokens"))
+    counts = listed.select("digest", F.size("tokens").cast("long").alias("length"), *[count(p).alias(c) for p, c in zip(phrases, tf)])
+    return counts.select(F.when(F.greatest(F.lit(0), *tf) > 0, F.col("digest")).alias("digest"), "length", *tf)
+
+
 def text_counts(found: Index, phrases: list[list[str]], counts: DataFrame | None = None) -> list[int]:
     """How many texts have each phrase: by the stored blocks where it is one token, else counted."""
     out = [0] * len(phrases)
@@ -242,14 +276,21 @@ def rated(rows: DataFrame, found: Index, idf: list[float]) -> DataFrame:
 
 def scored(library: Library, text: str, mode: str = "all", found: Index | None = None) -> DataFrame:
     """digest, score and tf_i (a repeated term is another phrase) of every text that matches."""
-    found, phrases = found or index(library), parsed(text, mode)
+    phrases = parsed(text, mode)
     if phrases is None:
         return library.spark.createDataFrame([], "digest string, score double, " + ", ".join(f"tf_{i} int" for i in range(len(search_terms(text)))))
-    counts = phrase_counts(found, phrases)
-    if not found.stored:  # they are read twice, and made of all texts
-        counts = shared.saved(counts, "phrase-counts")
-    idf = weights(found, text_counts(found, phrases, counts))
-    return rated(matched(counts, len(phrases), mode), found, idf).select("digest", "score", *[f"tf_{i}" for i in range(len(phrases))])
+    if found.stored if found else is_stored(library):
+        found = found or index(library)
+        counts, seen = phrase_counts(found, phrases), text_counts(found, phrases)
+    else:
+        # One pass over the texts tells the totals, the weights and the hits; it is written, as all of them read it.
+        contents = found.contents if found else library["contents"]
+        every = shared.saved(text_phrases(contents, phrases), "phrase-counts")
+        n, tokens, *seen = every.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), *[F.count_if(F.col(f"tf_{i}") > 0) for i in range(len(phrases))]).collect()[0]
+        kept = postings(contents)
+        found = Index(kept, blocks(kept), n, tokens / n if n else 0.0, contents)
+        counts = every.where("digest IS NOT NULL")
+    return rated(matched(counts, len(phrases), mode), found, weights(found, seen)).select("digest", "score", *[f"tf_{i}" for i in range(len(phrases))])
 
 
 def places(library: Library) -> DataFrame:
@@ -307,8 +348,8 @@ def page(library: Library, text: str, f: EntryFilter = EntryFilter(), mode: str
     """limit + 1 hits in order; texts are joined only to these. Over a stored index only the blocks that can reach the page are read."""
     from threadlake.operators import topk
 
-    found = found or index(library)
-    if found.stored:
+    if found.stored if found else is_stored(library):
+        found = found or index(library)
         return topk.page(library, text, f, mode, limit, offset, found).hits
     return hits(matching(library, text, f, mode, found), text, mode).orderBy(*order()).offset(offset).limit(limit + 1)
 

@@ -110,12 +110,17 @@ def _relations(heads: DataFrame) -> DataFrame:
     )
 
 
+def _texts() -> F.Column:
+    """An entry's texts, in order: a conversation's in two pieces, parted at the first blank."""
+    at = F.instr("text", " ")
+    two = F.array(F.substring("text", F.lit(1), at - 1), F.substring("text", at + 1, F.char_length("text")))
+    return F.when(F.col("text").isNull(), F.array().cast("array<string>")).when((F.col("source_kind") == "conversation") & (at > 0), two).otherwise(F.array("text"))
+
+
 def _segments(entries: DataFrame) -> DataFrame:
     """A row for each segment: KEY, segment_ordinal, text or content_class and source_type, origin, metadata."""
     told = F.col("source_kind") == "conversation"
-    at = F.instr("text", " ")
-    two = F.array(F.substring("text", F.lit(1), at - 1), F.substring("text", at + 1, F.char_length("text")))
-    texts = F.when(F.col("text").isNull(), F.array().cast("array<string>")).when(told & (at > 0), two).otherwise(F.array("text"))
+    texts = _texts()
     shaped = F.transform(texts, lambda t: F.struct(t.alias("text"), F.lit(None).cast("string").alias("content_class")))
     omitted = F.struct(F.lit(None).cast("string").alias("text"), F.lit("image").alias("content_class"))
     whole = F.when(told & (F.col("ordinal") % 3 == 2), F.array_append(shaped, omitted)).otherwise(shaped)
@@ -182,7 +187,8 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
         "relations": _relations(kept),
         "entries": entries.withColumns({"locator_uri": locator, "locator_record": F.col("ordinal").cast("string")}),
         "occurrences": segments.withColumn("digest", F.sha2("text", 256)),
-        "contents": segments.where("text IS NOT NULL").select(F.sha2("text", 256).alias("digest"), "text").dropDuplicates(["digest"]),
+        # Of the texts alone: places in conversations, which take a window over all entries, aren't asked for.
+        "contents": entries.select(F.explode(_texts()).alias("text")).select(F.sha2("text", 256).alias("digest"), "text").dropDuplicates(["digest"]),
     }
     shaped = {}
     for name, df in made.items():
