@@ -41,3 +41,19 @@ def test_texts_go_to_python_in_small_batches(spark):
     bpe.store.small_batches(spark)
     assert spark.conf.get(key) == "77"
     spark.conf.unset(key)
+
+
+def test_lines_that_share_a_piece_by_chance_are_not_members(spark, monkeypatch):
+    """Lines of one length that share a long piece and nothing else meet in its key; none of them is sorted, joined or written any further."""
+    docs = spark.createDataFrame([(i, "internationalised organs " + (chr(97 + i) * 7 + " ") * 6) for i in range(20)] + [(90, "q" * 40 + " these two are near"), (91, "q" * 40 + " these two are neat")], "doc_id long, text string")
+    written, saved = {}, store.saved
+
+    def counted(df, label):
+        out = saved(df, label)
+        written.setdefault(label, []).append(out.select("id").distinct().count() if label in ("members", "open") else out.count())
+        return out
+
+    monkeypatch.setattr(store, "saved", counted)
+    found = {r.doc_id: r.class_doc_id for r in line_dedup.line_classes(docs).collect()}
+    assert found == {i: i for i in range(20)} | {90: 90, 91: 90}
+    assert written["nodes"] == [22] and written["members"] == [2] and written["open"] == [0, 0]

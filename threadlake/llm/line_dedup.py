@@ -303,9 +303,18 @@ def _indexed_lines(docs: DataFrame, of: DataFrame, min_chars: int) -> DataFrame:
     return long.join(F.broadcast(hot), copy, "left_anti")
 
 
-def _spread(b: Column) -> Column:
-    """Where members of about the same length stand: at b and beside it; a segment's key has the length in it."""
-    return F.explode(F.when(b < 0, F.array(b)).otherwise(F.array(b - 1, b, b + 1)))
+#: A cell is so many lengths.
+CELL = 4
+
+
+def _cell(b: Column) -> Column:
+    return F.floor(b / CELL).cast("int")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """The rows, each once for every cell where members of about its length stand, one or two; a segment's key has the length in it."""
+    b = F.col("b")
+    return rows.withColumn("at", F.explode(F.when(b < 0, F.array(_cell(b))).otherwise(F.array_distinct(F.array(_cell(b - 1), _cell(b + 1))))))
 
 
 def links(docs: DataFrame, of: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -323,7 +332,14 @@ def links(docs: DataFrame, of: DataFrame, edits: int = EDITS, min_chars: int = M
     # Lines that differ may have k1 in common, so a node is a number for (k1, k2) from here on.
     text = long.select("k1", "k2", "form", "n").join(_bounded(nodes, BROADCAST_KEYS), "k1").groupBy("k1", "k2").agg(F.min(F.struct("form", "n")).alias("t"))
     texts = store.saved(text.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "t.form", "t.n", count_sketch(F.col("t.form")).alias("s")), "texts")
-    members = store.saved(shared.join(_bounded(texts.select("k1", "id", "n", "s")), "k1").drop("k1"), "members")
+    # Most keys are shared by chance. What no other line of a key comes near goes before all else, and leaves no pairs.
+    every = shared.join(_bounded(texts.select("k1", "id", "n", "s")), "k1").drop("k1")
+    in_cell = lambda rows: rows.withColumn("at", _cell(F.col("b")))
+    beside = F.abs(F.col("x.b") - F.col("y.b")) <= 1
+    near_by = (F.col("x.key") == F.col("y.key")) & (F.col("x.at") == F.col("y.at")) & beside & _allowed("x", "y", edits)
+    other = (F.col("x.id") != F.col("y.id")) & (F.col("x.indexed") | F.col("y.indexed"))
+    beside_another = lambda rows, how: in_cell(rows).alias("x").join(_cells(rows).alias("y"), how & other, "left_semi").drop("at")
+    members = store.saved(beside_another(every, near_by), "members")
     store.drop(shared, nodes)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -334,15 +350,15 @@ def links(docs: DataFrame, of: DataFrame, edits: int = EDITS, min_chars: int = M
         return store.saved(pairs.join(x, "a").join(y, "b").where(_let(middle, within)).select("a", "b"), "links")
 
     pair = [F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")]
+    meet = near_by & (F.col("x.c") != F.col("y.c"))
     tried = joined = None
     tries: list[DataFrame] = []
     open_ = members.withColumn("c", F.col("id"))
     for turn in range(TURNS):
         # Each key has a pivot of its own, so a member that meets others in many keys is tried with many of them.
         order = F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("order"), "id", "n", "s", "c")
-        pivots = open_.where("indexed").groupBy("key", "b").agg(F.min(order).alias("p")).select("key", F.col("b").alias("at"), "p.id", "p.n", "p.s", "p.c")
-        x, y = open_.select("key", _spread(F.col("b")).alias("at"), "id", "n", "s", "c").alias("x"), pivots.alias("y")
-        meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.at") == F.col("y.at")) & (F.col("x.c") != F.col("y.c")) & _allowed("x", "y", edits)
+        pivots = open_.where("indexed").groupBy("key", "b").agg(F.min(order).alias("p")).select("key", "b", "p.id", "p.n", "p.s", "p.c")
+        x, y = in_cell(open_).alias("x"), _cells(pivots).alias("y")
         fresh = x.join(y, meet).select(*pair).distinct()
         fresh = store.saved(fresh if tried is None else fresh.join(tried, ["a", "b"], "left_anti"), "tried")
         tries.append(fresh)
@@ -350,8 +366,7 @@ def links(docs: DataFrame, of: DataFrame, edits: int = EDITS, min_chars: int = M
         new = verified(fresh)
         joined = components(new if joined is None else joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new))
         placed = members.join(_bounded(joined.withColumnRenamed("node", "id")), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-        before, open_ = open_, store.saved(placed.join(mixed, "key"), "open")
+        before, open_ = open_, store.saved(beside_another(placed, meet), "open")
         store.drop(new, *([before] if turn else []))
     store.drop(members)
     # What is left of a key in several components, across them. A pair that meets in several keys is tried in the
@@ -360,11 +375,10 @@ def links(docs: DataFrame, of: DataFrame, edits: int = EDITS, min_chars: int = M
     keyed = keyed.select("id", "own", F.when(F.size("every") > F.size("own"), F.col("every")).alias("every"))  # no more than a line's entries
     held = store.saved(open_.join(keyed, "id"), "held")
     store.drop(open_)
-    x, y = held.where("indexed").alias("x"), held.withColumn("at", _spread(F.col("b"))).alias("y")
-    every = lambda side: F.coalesce(F.col(f"{side}.every"), F.col(f"{side}.own"))
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.b") == F.col("y.at")) & (F.col("x.c") != F.col("y.c")) & _allowed("x", "y", edits)
-    first = F.array_min(F.array_intersect(F.col("x.own"), every("y"))) == F.col("x.key")
-    once = (F.col("x.id") < F.col("y.id")) | ~F.arrays_overlap(F.col("y.own"), every("x"))
+    x, y = in_cell(held.where("indexed")).alias("x"), _cells(held).alias("y")
+    all_of = lambda side: F.coalesce(F.col(f"{side}.every"), F.col(f"{side}.own"))
+    first = F.array_min(F.array_intersect(F.col("x.own"), all_of("y"))) == F.col("x.key")
+    once = (F.col("x.id") < F.col("y.id")) | ~F.arrays_overlap(F.col("y.own"), all_of("x"))
     crossing = store.saved(x.join(y, meet & first & once).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
     if crossing.take(1):
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verified(crossing)))
