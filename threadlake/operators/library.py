@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import columns as C
 from threadlake.plans.requests import OperationError
+from threadlake.sources import shared
 
 SCHEMA_VERSION = 3
 _ID = "source_kind string, instance_id string, native_id string"
@@ -70,10 +71,11 @@ BY_KEY = {
     "documents": C.ID, "relations": [*C.ID, "ordinal"], "entries": [*C.ID, "ordinal"], "occurrences": [*C.ID, "ordinal", "segment_ordinal"], "contents": ["digest"], "proofs": [*C.ID, "block"], "proof_roots": C.ID,
     "postings": ["term", "block"], "blocks": ["term", "block"], "places": ["digest", *C.ID, "ordinal"],
 }
-#: Those of them that are cut into files by hash, by these columns or as their last aggregate left them: ranges are drawn by making all rows once more, and these are dear to make.
-HASHED = {"postings": ["term", "block"], "blocks": None, "proofs": None, "proof_roots": None}
-#: Row groups of those tables, so that one key's rows are few of them.
-GROUP_BYTES = 8 << 20
+#: Those of them whose files are as the step that makes them left them, each sorted (blocks as the postings are that they are made of): ranges are drawn by making all rows once more, and these are dear to make.
+#: A file of postings is that of some texts, whose digests are a dictionary of each row group then; spread by term, each posting held 64 bytes of its own, which don't compress.
+UNMOVED = ("postings", "blocks", "proofs", "proof_roots")
+#: Row groups of those tables, so that one key's rows are few of them; the digests that a row group's dictionary may hold; and the texts whose postings a task sorts.
+GROUP_BYTES, DICTIONARY_BYTES, SPLIT_BYTES = 8 << 20, 4 << 20, 16 << 20
 #: More parts of a table than this are written anew as one.
 MERGE_PARTS = 16
 #: For so many seconds a lock holds unless it is renewed; then its writer counts as lost.
@@ -315,6 +317,10 @@ class Store:
 
     def _commit(self, library: Library, note: dict | None, derived: frozenset[str], base: bool = True) -> Library:
         """commit(); without base, the current generation's tables stay and these derived ones come in addition."""
+        with shared.shuffles_removed(self.spark):
+            return self._written(library, note, derived, base)
+
+    def _written(self, library: Library, note: dict | None, derived: frozenset[str], base: bool) -> Library:
         from threadlake.operators import lineage, listing, proof, search
 
         self.renew()
@@ -332,14 +338,14 @@ class Store:
         after = found | {"missing": left} | {"generation": generation, "parts": parts, "dead": dead} | (note or {})
 
         def write(name: str, df: DataFrame) -> None:
-            if name in HASHED:
-                df = (df.repartition(*HASHED[name]) if HASHED[name] else df).sortWithinPartitions(*BY_KEY[name])
+            if name in UNMOVED:
+                df = df if name == "blocks" else df.sortWithinPartitions(*BY_KEY[name])
             elif name in BY_KEY:
                 df = df.repartitionByRange(*BY_KEY[name]).sortWithinPartitions(*BY_KEY[name])
             elif by := [c for c in [*C.ID, "ordinal", "segment_ordinal", "digest", "run_id"] if c in df.columns]:
                 df = df.sortWithinPartitions(*by)
             out = df.select([c.split(" ")[0] for c in _columns(name)]).write
-            out = out.option("parquet.enable.dictionary#digest", "false") if name == "postings" else out  # a text's digest stands once for each of its terms, rarely twice in a row group
+            out = out.option("parquet.dictionary.page.size", DICTIONARY_BYTES) if name == "postings" else out
             (out.option("parquet.block.size", GROUP_BYTES) if name in BY_KEY else out).parquet(f"{self.path}/{folder}/{name}")
 
         def stored(tables: dict[str, DataFrame], alone: bool) -> None:
@@ -355,9 +361,10 @@ class Store:
         def index_texts(texts: DataFrame) -> None:
             """The index of texts that are new; its blocks and totals follow from the postings as written."""
             bits = search.range_bits(texts.count())
-            stored({n: make(texts) for n, make in (("lengths", search.lengths), ("postings", lambda t: search.postings(t, bits))) if n in derived}, not follows)
+            with shared.set_for(self.spark, "spark.sql.files.maxPartitionBytes", SPLIT_BYTES):
+                stored({n: make(texts) for n, make in (("lengths", search.lengths), ("postings", lambda t: search.postings(t, bits))) if n in derived}, not follows)
             made = fresh("postings") if "postings" in derived else search.postings(texts, bits)
-            stored({n: df for n, df in (("corpus", search.totals(texts, made)), ("blocks", search.blocks(made))) if n in derived}, not follows)
+            stored({n: df for n, df in (("corpus", search.totals(texts, made)), ("blocks", search.partial_blocks(made))) if n in derived}, not follows)
 
         def further(tables: dict[str, DataFrame], label: str) -> None:
             """Rows of tables that were perhaps written already in this commit."""

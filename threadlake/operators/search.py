@@ -72,13 +72,13 @@ GROUP_TOKENS = 1 << 19
 
 def postings(contents: DataFrame, bits: int = 0) -> DataFrame:
     """term, block, digest, length (of the text, in tokens) and positions (from 0, ascending), one row for each term of each text; made of the text's own row, in blocks of texts."""
-    listed = contents.select("digest", C.tokens(F.col("text")).alias("tokens"))
-    made = listed.mapInArrow(_grouped, "term string, digest string, length long, positions array<int>")
-    return made.select("term", _block(bits).alias("block"), "digest", "length", "positions")
+    listed = contents.select("digest", C.tokens(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens").cast("long"))
+    made = listed.select("digest", _block(bits).alias("block"), "tokens").mapInArrow(_grouped, "term string, block int, digest string, length long, positions array<int>")
+    return made.select("term", "block", "digest", "length", "positions")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of digest and tokens as one row for each term of each: term, digest, length, positions."""
+    """Rows of digest and tokens, and perhaps block, as one row for each term of each: term, block, digest, length, positions. They come in long runs by term and block, which are soon sorted."""
     for batch in batches:
         sizes = pc.fill_null(pc.list_value_length(batch.column("tokens")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         starts = np.unique((np.cumsum(sizes) - sizes) // GROUP_TOKENS, return_index=True)[1].tolist()
@@ -89,15 +89,19 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             text = np.repeat(np.arange(len(size)), size)
             position = np.arange(len(terms)) - np.repeat(np.cumsum(size) - size, size)
-            key = text * len(terms.dictionary) + terms.indices.to_numpy()
+            of_text = [c for c in ("block", "digest") if c in batch.schema.names]
+            term_rank, text_rank = np.empty(len(terms.dictionary), np.int64), np.arange(len(size))
+            term_rank[pc.sort_indices(terms.dictionary).to_numpy()] = np.arange(len(terms.dictionary))
+            if "block" in of_text:
+                text_rank[np.argsort(pc.fill_null(rows.column("block"), 0).to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(size))
+            key = term_rank[terms.indices.to_numpy()] * len(size) + text_rank[text]
             order = np.argsort(key, kind="stable")  # equal terms of a text stand together, by position
             key = key[order]
             begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             at = order[begins]
             positions = pa.ListArray.from_arrays(pa.array(np.append(begins, len(key)).astype(np.int32)), pa.array(position[order].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [terms.dictionary.take(terms.indices.take(pa.array(at))), rows.column("digest").take(pa.array(text[at])), pa.array(size[text[at]]), positions], ["term", "digest", "length", "positions"]
-            )
+            told = [rows.column(c).take(pa.array(text[at])) for c in of_text]
+            yield pa.RecordBatch.from_arrays([terms.dictionary.take(terms.indices.take(pa.array(at))), *told, pa.array(size[text[at]]), positions], ["term", *of_text, "length", "positions"])
 
 
 def _block(bits: int) -> Column:
@@ -112,6 +116,24 @@ def blocks(kept: DataFrame) -> DataFrame:
     return kept.groupBy("term", "block").agg(F.count("*").alias("texts"), F.max(F.size("positions")).alias("most"), F.min("length").alias("least"))
 
 
+def partial_blocks(kept: DataFrame) -> DataFrame:
+    """blocks() of rows that stand by term and block in their files, without an exchange: where a block's texts are in several files or batches it has several rows of a term, which add up."""
+    told = kept.select("term", "block", F.size("positions").alias("size"), "length")
+    return told.mapInArrow(_summed, "term string, block int, texts long, most int, least long")
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of one term and block as one: how many, the largest size and the least length."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        term, block = batch.column("term").dictionary_encode().indices.to_numpy(), batch.column("block").to_numpy()
+        begins = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])))
+        most, least = np.maximum.reduceat(batch.column("size").to_numpy(), begins), np.minimum.reduceat(batch.column("length").to_numpy(), begins)
+        first = batch.take(pa.array(begins))
+        yield pa.RecordBatch.from_arrays([first.column("term"), first.column("block"), pa.array(np.diff(np.append(begins, batch.num_rows))), pa.array(most), pa.array(least)], ["term", "block", "texts", "most", "least"])
+
+
 def without_blocks(kept: DataFrame) -> DataFrame:
     """What blocks get for postings that go: their number is taken off; what is left scores no higher than before."""
     return blocks(kept).select("term", "block", (-F.col("texts")).alias("texts"), F.lit(0).alias("most"), F.lit(None).cast("long").alias("least"))

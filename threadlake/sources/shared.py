@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +32,25 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextmanager
+def set_for(spark: SparkSession, name: str, value: object) -> Iterator[None]:
+    """Inside, the session has this setting."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def shuffles_removed(spark: SparkSession) -> AbstractContextManager[None]:
+    """Inside, a query's shuffle files go when it ends, not when the driver's garbage is collected."""
+    return set_for(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends here, and any executor may be lost."""
+    """df as a table in the shared folder: its lineage ends here, any executor may be lost, and its shuffle files go."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
