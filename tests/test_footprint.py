@@ -1,13 +1,16 @@
 """What a stored library takes on disk while it is written and afterwards."""
 
 import random
+import re
 
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
-from threadlake.operators import search
+from threadlake import queries
+from threadlake.operators import maintenance, search
 from threadlake.operators.library import SCHEMAS, Store, empty
-from threadlake.sources import shared
+from threadlake.sources import shared, tables
 
 
 def _library(spark, n=1200, words=60):
@@ -50,3 +53,24 @@ def test_shuffle_files_go_with_their_step(spark, tmp_path):
     assert seen == ["true"] and spark.conf.get(name, None) == before
     with shared.set_for(spark, "spark.sql.files.maxPartitionBytes", 1 << 20):
         assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(1 << 20)
+
+
+ROWS = [("a", "x"), ("a", "x"), ("a", None), ("b", "x"), ("b", "y"), ("b", "y"), (None, "x"), (None, None), ("c", "z"), ("d", "q"), ("d", "r")]
+
+
+@pytest.mark.parametrize("left,right", [("k < 'b'", "k > 'a'"), ("v IS NOT NULL", "k <> 'c' OR k IS NULL"), ("k = 'd' AND v = 'q' OR k IS NULL", "k = 'd' AND v = 'r' OR v IS NULL"), ("true", "true"), ("false", "true")])
+def test_differences_by_key(spark, left, right):
+    """The same as comparing all rows one by one, with repeats, nulls, and keys of which each side has other rows."""
+    rows = spark.createDataFrame(ROWS, "k string, v string")
+    wanted = maintenance.difference(rows.where(left), rows.where(right)).groupBy("side", "k").agg(F.count("*").alias("n"))
+    got = maintenance.key_differences(rows, F.expr(left), F.expr(right), "k")
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_a_projection_shuffles_no_terms(spark, monkeypatch):
+    plans = []
+    saved = shared.saved
+    monkeypatch.setattr(shared, "saved", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or saved(df, label))
+    found = queries.projection_diff(tables.library(spark, "/root/testdata/sf0.001"))
+    assert found.count() > 50 and found.columns == ["side", "digest", "n"]
+    assert len(plans) == 1 and not re.search(r"hashpartitioning\([^)]*term", plans[0] + found._jdf.queryExecution().executedPlan().toString())

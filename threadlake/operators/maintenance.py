@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +10,7 @@ from threadlake.functions import columns as C
 from threadlake.operators import ingest
 from threadlake.operators.library import Delta, Library
 from threadlake.plans.requests import OperationError
+from threadlake.sources import shared
 
 
 def orphans(library: Library) -> DataFrame:
@@ -94,12 +95,38 @@ def _range(key: str):
     return F.pmod(F.xxhash64(key), F.lit(RANGES)).cast("int")
 
 
+def _halves(names: list[str]) -> list[Column]:
+    """Two 64-bit hashes of a row, by halves, whose sums don't depend on the order of rows."""
+    told = [*names, *[F.col(c).isNull() for c in names]]  # a hash passes over nulls
+    hashes = [F.xxhash64(F.lit(0), *told), F.xxhash64(F.lit(1), *told)]
+    return [f(h) for h in hashes for f in (lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)), lambda h: F.shiftrightunsigned(h, 32))]
+
+
 def range_digests(rows: DataFrame, key: str) -> DataFrame:
     """A digest for each range of key values that doesn't depend on the order of rows, nor forgets repeats: their number, and sums of two 64-bit hashes by halves. Nothing but these is shuffled."""
-    told = [*rows.columns, *[F.col(c).isNull() for c in rows.columns]]  # a hash passes over nulls
-    hashes = [F.xxhash64(*told), F.xxhash64(F.lit(1), *told)]
-    halves = [f(h) for h in hashes for f in (lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)), lambda h: F.shiftrightunsigned(h, 32))]
-    return rows.groupBy(_range(key).alias("range")).agg(F.count("*").alias("rows"), *[F.sum(h).alias(f"sum_{i}") for i, h in enumerate(halves)])
+    return rows.groupBy(_range(key).alias("range")).agg(F.count("*").alias("rows"), *[F.sum(h).alias(f"sum_{i}") for i, h in enumerate(_halves(rows.columns))])
+
+
+def key_differences(rows: DataFrame, left: Column, right: Column, key: str) -> DataFrame:
+    """side, key and n: how many rows of a key, with repeats, one side has and the other lacks, as difference() of two parts of one table has them; the parts are told by conditions on its rows.
+
+    Each key's rows are counted and digested where they are read, so a row for a key is shuffled. That is all of a key
+    which one side alone has, or both alike; only rows of keys that differ otherwise are compared one by one.
+    """
+    halves, sides = _halves([c for c in rows.columns if c != key]), {"left": left, "right": right}
+    sums = [F.sum(F.when(c, h)).alias(f"{side}_{i}") for side, c in sides.items() for i, h in enumerate(halves)]
+    each = rows.groupBy(key).agg(*[F.count_if(c).alias(side) for side, c in sides.items()], *sums)
+    same = F.col("left") == F.col("right")
+    for i in range(len(halves)):
+        same = same & F.col(f"left_{i}").eqNullSafe(F.col(f"right_{i}"))
+    odd = shared.saved(each.where(~same).select(key, "left", "right"), "odd-keys")
+    alone = odd.where((F.col("left") == 0) | (F.col("right") == 0))
+    out = alone.select(F.when(F.col("left") > 0, "left").otherwise("right").alias("side"), key, F.greatest("left", "right").alias("n"))
+    both = odd.where("left > 0 AND right > 0").select(F.col(key).alias("odd_key"))
+    if both.take(1):
+        mixed = rows.join(both, F.col(key).eqNullSafe(F.col("odd_key")), "left_semi")
+        out = out.unionByName(difference(mixed.where(left), mixed.where(right)).groupBy("side", key).agg(F.count("*").alias("n")))
+    return out
 
 
 def changed_ranges(left: DataFrame, right: DataFrame, key: str) -> list[int]:
