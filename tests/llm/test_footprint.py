@@ -2,6 +2,9 @@
 
 from pathlib import Path
 
+import pytest
+from pyspark.sql import functions as F
+
 from threadlake.llm import bpe, line_dedup, store
 
 
@@ -57,3 +60,22 @@ def test_lines_that_share_a_piece_by_chance_are_not_members(spark, monkeypatch):
     found = {r.doc_id: r.class_doc_id for r in line_dedup.line_classes(docs).collect()}
     assert found == {i: i for i in range(20)} | {90: 90, 91: 90}
     assert written["nodes"] == [22] and written["members"] == [2] and written["open"] == [0, 0]
+
+
+@pytest.mark.parametrize("most,indexed", [(500_000, 6), (1, 7), (0, 11)])
+def test_a_line_is_indexed_once(spark, monkeypatch, most, indexed):
+    """Of a line's copies the first stands for all, however few they are; where not all firsts can be broadcast, of those with the most copies."""
+    line = "the line number {} that stands here, long enough".format
+    docs = [(2, line("a")), (1, f"{line('b')}\n{line('a')}\n{line('c')}"), (3, f"{line('d')}\n{line('b')}\n{line('b')}\n{line('e')}"), (4, f"{line('b')}\n{line('f')}\n{line('b')}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", most)
+    of = store.saved(line_dedup.forms(df), "forms")
+    found = {(r.doc_id, r.line_no) for r in line_dedup._indexed_lines(df, of, 25).collect()}
+    firsts = {tuple(r["first"]) for r in of.collect()}
+    assert len(found) == indexed and firsts <= found
+
+
+def test_long_ends_that_lines_share_are_cut_off(spark):
+    df = spark.createDataFrame([("x" * 60_000 + "ab" + "y" * 60_000, "x" * 60_000 + "b" + "y" * 60_000)], "p string, t string")
+    m = df.select(line_dedup.trimmed(F.col("p"), F.col("t")).alias("m")).select("m.*").first()
+    assert len(m.p) < 32 and len(m.p) - len(m.t) == 1

@@ -23,8 +23,8 @@ more than 2k chunks that are long enough, they may share none:
 Pairs that meet are verified by banded edit distance, up to EDITS bit-parallel: a
 column of the band is a word of 2 EDITS + 2 bits, and a step is a few additions and shifts.
 
-Copies of a line are one node, and of a line with very many copies only the first is
-indexed. A key's members are tried against a pivot, TURNS times, and each key draws its
+Copies of a line are one node, and only the first is indexed (where very many lines have
+copies, of those with the most). A key's members are tried against a pivot, TURNS times, and each key draws its
 own: where many lines are near, most are linked to some pivot. Keys that then still hold
 several components are tried across them, so no link is missed. Before a pair becomes a row,
 a sketch of character counts must allow it: characters are counted in 40 classes (frequent
@@ -67,8 +67,8 @@ AHEAD, WORD_AHEAD = 6, 4
 #: Characters that are counted one by one; those of the rest that agree in the low four bits of their code points are counted together.
 SINGLES = " abcdefghiklmnoprstuvwyA"
 SKETCH_LONGS = (len(SINGLES) + 16) // 8
-#: A line with more copies than this, and than one in HOT_LINES of all lines, is indexed by its first copy alone.
-LEAST_HOT, HOT_LINES = 8, 100_000
+#: Numbers of copies are told apart up to the first; a line with more than one in HOT_LINES of all lines is indexed by its first copy alone in any case.
+COPIES_TOLD, HOT_LINES = 1024, 100_000
 #: So many times the members of a key are tried with one of them, before what is left is tried across components.
 TURNS = 2
 #: At most so many rows of a few numbers are broadcast, and of one number.
@@ -137,7 +137,7 @@ def edit_distance(pattern: Column, text: Column, most: int = EDITS) -> Column:
     return F.when(m - n > most, m - n).when(n <= most, F.levenshtein(pattern, text)).otherwise(inside)
 
 
-def trimmed(p: Column, t: Column, sizes: tuple[int, ...] = (512, 256, 128, 64, 32, 16, 8)) -> Column:
+def trimmed(p: Column, t: Column, sizes: tuple[int, ...] = tuple(1 << k for k in range(16, 2, -1))) -> Column:
     """p and t without most of the beginning and end that they share, which changes no edit distance."""
 
     def step(s: Column, k: Column) -> Column:
@@ -290,14 +290,22 @@ def forms(docs: DataFrame) -> DataFrame:
 
 
 def _indexed_lines(docs: DataFrame, of: DataFrame, min_chars: int) -> DataFrame:
-    """Lines of min_chars or more; of those with the most copies, only the first.
+    """Lines of min_chars or more; of those with copies, only the first.
 
-    Copies are one node, so their keys say nothing new. A line with a share of more than
-    1 / HOT_LINES of all lines is hot, so there are HOT_LINES of them at most to broadcast,
-    and no copies that stay fill a key.
+    Copies are one node, so their keys say nothing new. The firsts are broadcast, so where there are more than
+    BROADCAST_ROWS, those with the most copies are.
     """
-    total = of.agg(F.sum("size").alias("n")).collect()[0]["n"] or 0
-    hot = of.where((F.col("n") >= min_chars) & (F.col("size") > max(LEAST_HOT, total // HOT_LINES))).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), "first")
+    copied = of.where((F.col("n") >= min_chars) & (F.col("size") > 1))
+    each = copied.groupBy(F.least("size", F.lit(COPIES_TOLD)).alias("copies")).agg(F.count("*").alias("n"), F.sum("size").alias("lines")).collect()
+    least, held = None, 0
+    for r in sorted(each, key=lambda r: -r["copies"]):
+        held += r["n"]
+        if held > BROADCAST_ROWS:
+            break
+        least = r["copies"]
+    if least is None:
+        least = max(COPIES_TOLD, sum(r["lines"] for r in each) // HOT_LINES)  # so there are HOT_LINES of them at most
+    hot = copied.where(F.col("size") >= least).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), "first")
     long = lines(docs).where(F.col("n") >= min_chars)
     copy = (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")) & ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")))
     return long.join(F.broadcast(hot), copy, "left_anti")
